@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, media, sharding, token_counts
+from . import bpe, media, quality, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": quality.op2_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_media": media.op6_media,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_quality_rules": quality.oracle_sql()}
