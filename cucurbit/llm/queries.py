@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, media, quality, sharding, token_counts
+from . import bpe, media, quality, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality_rules": quality.op2_quality_rules,
         "op4_bpe": bpe.op4_bpe,
         "op5_token_counts": token_counts.op5_token_counts,
