@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 
 LONG_WORD = 48
 #: Strings between white space that a worker keeps with their ids; reaching it empties the table.
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 500_000
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 12_000_000
 NO_RANK = np.int32(2**31 - 1)
+#: Stands between the ids of two strings.
+END = NO_RANK.astype("<u4").tobytes()
 
 
 class WordBpe:
@@ -133,7 +135,7 @@ class WordBpe:
         out = {w: np.array([i], "<u4").tobytes() for w, i in self.specials.items()}
         by_length: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
-            if w not in out:
+            if w not in out and w != "\n":
                 raw = w.encode("utf-8", "replace")
                 by_length.setdefault(len(raw) if len(raw) <= LONG_WORD else 0, []).append((w, raw))
         for n, group in by_length.items():
@@ -168,28 +170,18 @@ class WordBpe:
         if len(self.ids) + len(chunks) > CACHED_CHUNKS:
             self.ids.clear()
         plain = [c for c in chunks if "<|" not in c]
-        split = self.each(self.joined(normal("\n".join(plain)))) if plain else []
-        if len(split) != len(plain):  # a letter became a line end or was lost: one at a time
-            split = [self.split(c) for c in plain]
-        if len(plain) < len(chunks):
-            odd = [c for c in chunks if "<|" in c]
-            plain, split = plain + odd, split + [self.split(c) for c in odd]
-        known = self.word_ids(list(set().union(*split)))
-        for chunk, words in zip(plain, split, strict=True):
-            self.ids[chunk] = known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-
-    @staticmethod
-    def each(words: list[str]) -> list[list[str]]:
-        """The words between line ends."""
-        out: list[list[str]] = [[]]
-        own = out[0]
-        for w in words:
-            if w == "\n":
-                own = []
-                out.append(own)
-            else:
-                own.append(w)
-        return out
+        words = self.joined(normal("\n".join(plain))) if plain else []
+        if words.count("\n") != len(plain) - 1:  # a letter became a line end or was lost
+            plain, words = [], []
+        done = set(plain)
+        odd = [] if len(plain) == len(chunks) else [c for c in chunks if c not in done]
+        split = [self.split(c) for c in odd]
+        known = self.word_ids(list(set(words).union(*split))) | {"\n": END}
+        flat = b"".join(map(known.__getitem__, words))
+        ends = np.append(np.flatnonzero(np.frombuffer(flat, "<u4") == NO_RANK) * 4, len(flat))
+        starts = np.concatenate([[0], ends[:-1] + 4])
+        self.ids.update(zip(plain, [flat[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], strict=False))
+        self.ids.update((c, b"".join([known[w] for w in own])) for c, own in zip(odd, split, strict=True))
 
     def encode_column(self, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
         """For slices of the texts: the code of each string between white space as a list column, and by code the ids of these strings as bytes."""
