@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, packing, quality, sharding, token_counts, toxicity
+from . import bpe, media, packing, quality, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_media": media.op6_media,
         "op7_sharding": sharding.op7_sharding,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op10_packing": packing.op10_packing,
     }
 
