@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, media, packing, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, jaccard_join, media, packing, quality, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality_rules": quality.op2_quality_rules,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_bpe": bpe.op4_bpe,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_media": media.op6_media,
