@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, media, packing, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, jaccard_join, media, packing, passages, quality, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_media": media.op6_media,
         "op7_sharding": sharding.op7_sharding,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_passages": passages.op9_passages,
         "op10_packing": packing.op10_packing,
     }
 
