@@ -1,0 +1 @@
+"""Molecular fingerprint analytics on Spark: sources, sparse vectors, similarity, losses, embedding."""
