@@ -179,7 +179,7 @@ def molecule_graph(smiles: Column) -> Column:
 
 
 def _count(atoms: Column, test) -> Column:
-    return F.size(F.filter(atoms, test)).cast("int")
+    return F.size(F.filter(atoms, lambda a: test(a))).cast("int")
 
 
 def descriptors(graph: Column) -> Column:
@@ -200,7 +200,7 @@ def descriptors(graph: Column) -> Column:
         "ring_bond_count": graph["ring_bonds"],
         "connected_component_count": graph["components"],
         "aromatic_atom_count": _count(atoms, lambda a: a["aromatic"]),
-    } | {c: _count(atoms, lambda a, e=e: a["element"] == e) for c, e in ELEMENT_COLUMNS.items()}
+    } | {c: _count(atoms, lambda a, e=e: a["element"] == F.lit(e)) for c, e in ELEMENT_COLUMNS.items()}
     return F.when(graph["error"].isNull(), F.struct(*(values[d].alias(d) for d in DESCRIPTORS)))
 
 

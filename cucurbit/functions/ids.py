@@ -1,11 +1,14 @@
 """Stable molecule ids and the train/validation split, as Catalyst expressions.
 
 Ids are unsigned 64-bit numbers held as the bits of a long.  ANSI mode forbids overflow, so sums
-and products modulo 2**64 go by limbs.
+and products modulo 2**64 go by limbs.  ``let`` names each step, or the expression would double
+in size with every use of it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,11 +40,14 @@ def _high(x: Column) -> Column:
     return F.shiftrightunsigned(x, 32)
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once."""
+    return F.transform(F.array(x), lambda v: f(v))[0]
+
+
 def add64(a: Column, b: Column) -> Column:
-    """a + b modulo 2**64."""
-    low = _low(a) + _low(b)
-    high = _high(a) + _high(b) + _high(low)
-    return F.shiftleft(_low(high), 32).bitwiseOR(_low(low))
+    """a + b modulo 2**64; a and b are used twice."""
+    return let(_low(a) + _low(b), lambda low: F.shiftleft(_low(_high(a) + _high(b) + _high(low)), 32).bitwiseOR(_low(low)))
 
 
 def _times32(a: Column, b: Column) -> Column:
@@ -53,22 +59,30 @@ def _times32(a: Column, b: Column) -> Column:
 def mul64(a: Column, k: int) -> Column:
     """a * k modulo 2**64."""
     kl, kh = _long(k & M32), _long(k >> 32)
-    al, ah = _low(a), _high(a)
-    low = add64(F.shiftleft(F.shiftrightunsigned(al, 16) * kl, 16), al.bitwiseAND(_long(0xFFFF)) * kl)
-    high = _low(_times32(ah, kl) + _times32(al, kh))
-    return add64(low, F.shiftleft(high, 32))
+
+    def product(v: Column) -> Column:
+        al, ah = _low(v), _high(v)
+        high = _low(_times32(ah, kl) + _times32(al, kh))
+        upper, lower = F.shiftleft(F.shiftrightunsigned(al, 16) * kl, 16), al.bitwiseAND(_long(0xFFFF)) * kl
+        return let(add64(upper, lower), lambda low: add64(low, F.shiftleft(high, 32)))
+
+    return let(a, product)
+
+
+def _xor_shifted(x: Column, n: int) -> Column:
+    return let(x, lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, n)))
 
 
 def splitmix64(x: Column) -> Column:
-    z = add64(x, _long(GOLDEN))
-    z = mul64(z.bitwiseXOR(F.shiftrightunsigned(z, 30)), MIX_1)
-    z = mul64(z.bitwiseXOR(F.shiftrightunsigned(z, 27)), MIX_2)
-    return z.bitwiseXOR(F.shiftrightunsigned(z, 31))
+    z = let(x, lambda v: add64(v, _long(GOLDEN)))
+    z = mul64(_xor_shifted(z, 30), MIX_1)
+    z = mul64(_xor_shifted(z, 27), MIX_2)
+    return _xor_shifted(z, 31)
 
 
 def unsigned_mod(x: Column, m: int) -> Column:
     """x % m with x read as unsigned; m below 2**31."""
-    return (_high(x) % m * ((1 << 32) % m) + _low(x) % m) % m
+    return let(x, lambda v: (_high(v) % m * ((1 << 32) % m) + _low(v) % m) % m)
 
 
 def unsigned(x: Column) -> Column:

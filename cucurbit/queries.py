@@ -97,10 +97,10 @@ def split_counts(spark, d):
     return table(spark, d, "orders").groupBy(ids.split_for_id(F.col("o_orderkey"), 250).alias("split")).agg(F.count("*").alias("n"))
 
 
-@query("zinc_ids", "SELECT o_orderkey, 9223372036854775808::DECIMAL(20,0) + ((o_custkey % 8)::DECIMAL(20,0) * 281474976710656) + o_orderkey AS stable_id_u FROM orders")
+@query("zinc_ids", "SELECT o_orderkey, CAST(9223372036854775808::HUGEINT + (o_custkey % 8)::HUGEINT * 281474976710656 + o_orderkey AS VARCHAR) AS stable_id_u FROM orders")
 def zinc_ids(spark, d):
     name = F.format_string("ZINC%012d_%d", F.col("o_orderkey"), F.col("o_custkey") % 8)
-    return table(spark, d, "orders").select("o_orderkey", ids.unsigned(ids.stable_molecule_id(F.lit("zinc20-smiles"), name)).alias("stable_id_u"))
+    return table(spark, d, "orders").select("o_orderkey", ids.unsigned(ids.stable_molecule_id(F.lit("zinc20-smiles"), name)).cast("string").alias("stable_id_u"))
 
 
 @query("stable_id_pubchem", "SELECT o_orderkey, o_orderkey AS stable_id FROM orders")
@@ -114,10 +114,10 @@ def stable_id_pubchem(spark, d):
 fnv AS (SELECT r_regionkey, digits, 0 AS i, {ids.FNV_OFFSET}::UHUGEINT AS x FROM bytes
   UNION ALL SELECT r_regionkey, digits, i + 1, (xor(x, ('0x' || substr(digits, 2 * i + 1, 2))::INTEGER::UHUGEINT) * {ids.FNV_PRIME}::UHUGEINT) % {MOD} FROM fnv WHERE 2 * i < length(digits)),
 src AS (SELECT r_regionkey, x FROM fnv WHERE 2 * i = length(digits)), {SPLITMIX}
-SELECT r_regionkey, (h % {1 << 62}::UHUGEINT + {1 << 62}::UHUGEINT)::DECIMAL(20,0) AS stable_id_u FROM m""",
+SELECT r_regionkey, CAST(h % {1 << 62}::UHUGEINT + {1 << 62}::UHUGEINT AS VARCHAR) AS stable_id_u FROM m""",
 )
 def stable_id_hash(spark, d):
-    return table(spark, d, "region").select("r_regionkey", ids.unsigned(ids.stable_molecule_id(F.lit("fixture-smiles"), F.col("r_name"))).alias("stable_id_u"))
+    return table(spark, d, "region").select("r_regionkey", ids.unsigned(ids.stable_molecule_id(F.lit("fixture-smiles"), F.col("r_name"))).cast("string").alias("stable_id_u"))
 
 
 # -- sparse vectors ----------------------------------------------------------------------------------
@@ -531,10 +531,10 @@ def described(spark, d):
 FACT_SQL = "facts(k, " + ", ".join(chem.DESCRIPTORS) + ") AS (VALUES " + ", ".join(f"({k}, {', '.join(map(str, f))})" for k, f in enumerate(FACTS) if f) + ")"
 
 
-@query("smiles_descriptors", f"WITH {FACT_SQL} SELECT p_partkey, round(molecular_mass, 2) AS molecular_mass, {', '.join(f'{c}' for c in chem.DESCRIPTORS[1:])} FROM part JOIN facts ON k = p_partkey % {len(SMILES)}")
+@query("smiles_descriptors", f"WITH {FACT_SQL} SELECT p_partkey, round(molecular_mass, 1) AS molecular_mass, {', '.join(f'{c}' for c in chem.DESCRIPTORS[1:])} FROM part JOIN facts ON k = p_partkey % {len(SMILES)}")
 def smiles_descriptors(spark, d):
     rows = described(spark, d).where("d is not null")
-    return rows.select("p_partkey", F.round(F.col("d.molecular_mass").cast("double"), 2).alias("molecular_mass"), *(F.col(f"d.{c}").alias(c) for c in chem.DESCRIPTORS[1:]))
+    return rows.select("p_partkey", F.round(F.col("d.molecular_mass").cast("double"), 1).alias("molecular_mass"), *(F.col(f"d.{c}").alias(c) for c in chem.DESCRIPTORS[1:]))
 
 
 @query("smiles_status", f"SELECT CASE WHEN p_partkey % {len(SMILES)} = 5 THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM part GROUP BY 1")
