@@ -7,7 +7,7 @@ placing a row is one look at a broadcast table of that fixed size.  Taking a sha
 few keys besides its own.
 
 Defined results: a null key is placed by the hash of a null; rows with the same key go to the
-same shard; a shard of weight w takes w turns in a round.
+same shard; a shard of weight w takes w turns in a round.  Columns named slot or shard are replaced.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def table_frame(spark: SparkSession, shards: dict[str, int], size: int = TABLE_S
 def place(rows: DataFrame, keys: list[str], shards: dict[str, int], size: int = TABLE_SIZE) -> DataFrame:
     """Adds slot and shard.  What is broadcast has ``size`` rows, however many rows are placed."""
     table = table_frame(rows.sparkSession, shards, size)
-    return rows.withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")).join(F.broadcast(table), "slot")
+    return rows.drop("slot", "shard").withColumn("slot", F.pmod(F.xxhash64(*keys), F.lit(size)).cast("int")).join(F.broadcast(table), "slot")
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
