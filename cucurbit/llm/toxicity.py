@@ -2,9 +2,10 @@
 
 1. A character language model: trigram counts over the letters of every text, summed by Spark.
    It has at most ``len(LETTERS) + 2`` cubed entries, so the table that workers get is bounded.
-2. A string that looks disguised (leetspeak, letters set apart, repeated letters) becomes a
-   lattice: each character may stand for itself, for the letters it is used for, or for nothing
-   if it repeats or separates.  Viterbi decoding finds the likeliest string under the model.
+2. A string of any length with a sign that is used for a letter, a separator within, a repeated
+   character or letters set apart becomes a lattice: each character may stand for itself, for the
+   letters it is used for, or for nothing if it repeats or separates.  Viterbi decoding over all
+   states finds the likeliest string under the model.
 3. A classifier over words and character 5-grams of the restored text, from how many labelled
    training texts of either kind have them.  At most ``SAMPLE`` labelled rows are used and at
    most ``MOST_FEATURES`` features kept; near copies of a training text count once.
@@ -48,11 +49,12 @@ SPACE, OTHER = 0, len(LETTERS) + 1
 CODE = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": SPACE}
 #: What a step through the lattice costs, in nats.
 COST_LEET, COST_DROPPED_REPEAT, COST_DROPPED_SEPARATOR, COST_KEPT_SIGN = 1.0, 2.0, 1.2, 6.0
-BEAM = 16
 CACHED = 200_000
 
 EDGES = re.compile(r"^[^\w@$€£]+|[^\w]+$")
-DISGUISED = re.compile(r"(\w)\1\1|[^\W\d_][0-9@$!|+(€£.\-_*~/']+[^\W\d_]|^[0-9@$€£][^\W\d_]{2}|[^\W\d_]{2}[0-9]$")
+#: Signs at the ends that stand for no letter.
+OUTER = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+(€£]+$")
+DISGUISED = re.compile(r"(.)\1|[013456789@$!|+(€£]|.[.\-_*~/'].", re.DOTALL)
 
 
 # -- the language model ---------------------------------------------------------------------------
@@ -102,7 +104,8 @@ def log_probabilities(counts: list[tuple[int, int]]) -> np.ndarray:
 
 def restore(disguised: str, model: np.ndarray) -> str:
     """The likeliest string that was written in this disguise."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(SPACE, SPACE): (0.0, "")}
+    # A path is its last letter and the path before, so that long strings are not copied at each step.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(SPACE, SPACE): (0.0, None)}
     before = ""
     for c in disguised.lower():
         steps: list[tuple[str, float]] = []
@@ -115,20 +118,24 @@ def restore(disguised: str, model: np.ndarray) -> str:
         steps += [(x, COST_LEET) for x in LEET.get(c, "")]
         if c == before:
             steps.append(("", COST_DROPPED_REPEAT))
-        found: dict[tuple[int, int], tuple[float, str]] = {}
+        found: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, out) in paths.items():
             for said, cost in steps:
                 if said:
                     k = CODE.get(said, OTHER)
-                    state, value, text = (b, k), score - cost + model[a, b, k], out + said
+                    state, value, path = (b, k), score - cost + model[a, b, k], (said, out)
                 else:
-                    state, value, text = (a, b), score - cost, out
+                    state, value, path = (a, b), score - cost, out
                 if state not in found or found[state][0] < value:
-                    found[state] = (value, text)
-        paths = dict(sorted(found.items(), key=lambda x: -x[1][0])[:BEAM]) if len(found) > BEAM else found
+                    found[state] = (value, path)
+        paths = found
         before = c
-    last = max(((score + model[a, b, SPACE], text) for (a, b), (score, text) in paths.items()), default=(0, ""))
-    return last[1].strip()
+    _, last = max(((score + model[a, b, SPACE], path) for (a, b), (score, path) in paths.items()), key=lambda x: x[0], default=(0, None))
+    letters = []
+    while last:
+        letters.append(last[0])
+        last = last[1]
+    return "".join(reversed(letters)).strip()
 
 
 # -- words of a text ----------------------------------------------------------------------------------
@@ -136,12 +143,13 @@ def restore(disguised: str, model: np.ndarray) -> str:
 
 def restored_words(chunk: str, model: np.ndarray) -> list[str]:
     """The plain words that a string between white space may stand for; the string as written is the first."""
-    word = EDGES.sub("", chunk.lower())
-    if not word:
-        return []
-    if not DISGUISED.search(word) or len(word) > 60:
-        return [word]
-    return [word, *restore(word, model).split()]
+    chunk = chunk.lower()
+    word, outer = EDGES.sub("", chunk), OUTER.sub("", chunk)
+    found = [word] if word else []
+    for own in dict.fromkeys((word, outer)):
+        if own and DISGUISED.search(own):
+            found += restore(own, model).split()
+    return found
 
 
 def features(word: str) -> set[str]:
