@@ -6,6 +6,8 @@ stands in for latent vectors.  Chemistry runs on literal molecules that rows of
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,8 +180,8 @@ def max_nnz_per_batch(spark, d):
 
 
 @query("dense_counts_small", "WITH k AS (SELECT unnest(range(32)) AS idx), v AS (SELECT l_orderkey AS id, l_partkey % 32 AS idx, least(sum(l_quantity), 65535) AS cnt FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 2) SELECT i.id, string_agg(coalesce(v.cnt, 0)::INTEGER::VARCHAR, ',' ORDER BY k.idx) AS dense FROM (SELECT DISTINCT id FROM v) i CROSS JOIN k LEFT JOIN v ON v.id = i.id AND v.idx = k.idx GROUP BY i.id")
-def dense_counts_small(spark, d):
-    arrays = vectors.to_arrays(vectors.order_vectors(table(spark, d, "lineitem").where("l_orderkey < 200"), 32))
+def dense_counts_small(spark, d, every=False):
+    arrays = vectors.to_arrays(vectors.order_vectors(table(spark, d, "lineitem").where("true" if every else "l_orderkey < 200"), 32))
     return arrays.select("id", F.array_join(sparse.dense_counts(F.col("indices"), F.col("counts"), 32).cast("array<string>"), ",").alias("dense"))
 
 
@@ -214,51 +216,55 @@ def binary_tanimoto_pairs(spark, d):
 # -- reconstruction -------------------------------------------------------------------------------------
 
 
-def predicted(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey % 16 = 0").select(F.col("l_orderkey").alias("row_id")).distinct()
+#: What the SQL of the reconstruction queries scores; every=True scores all orders.
+SIXTEENTH = "l_orderkey % 16 = 0"
+
+
+def predicted(spark, d, every=False):
+    rows = table(spark, d, "lineitem").where("true" if every else SIXTEENTH).select(F.col("l_orderkey").alias("row_id")).distinct()
     return rows.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("idx")).withColumn("pred", 0.25 * ((F.col("row_id") + F.col("idx")) % 17) - 1.0).withColumn("idx", F.col("idx").cast("long"))
 
 
-def active(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey % 16 = 0").groupBy(F.col("l_orderkey").alias("row_id"), (F.col("l_partkey") % 64).alias("idx")).agg(F.log1p(F.least(F.sum("l_quantity"), F.lit(65535.0))).alias("target_log"))
+def active(spark, d, every=False):
+    return table(spark, d, "lineitem").where("true" if every else SIXTEENTH).groupBy(F.col("l_orderkey").alias("row_id"), (F.col("l_partkey") % 64).alias("idx")).agg(F.log1p(F.least(F.sum("l_quantity"), F.lit(65535.0))).alias("target_log"))
 
 
 JOINED = f"{PRED}, {ACT}, j AS (SELECT p.row_id, p.idx, p.pred, coalesce(target_log, 0) AS z, exp(coalesce(target_log, 0)) - 1 AS t, greatest(exp(p.pred) - 1, 0) AS c FROM pred p LEFT JOIN act a ON a.row_id = p.row_id AND a.idx = p.idx)"
 
 
 @query("reconstruction_metrics", f"WITH {JOINED} SELECT row_id, round(avg((z - pred) ** 2), 6) AS log_mse, round(sum(least(t, c)) / sum(greatest(t, c)), 6) AS count_tanimoto, round(avg(CASE WHEN (t > 0) = (c >= 0.5) THEN 1.0 ELSE 0.0 END), 6) AS bit_agreement, round(coalesce(avg(abs(t - c)) FILTER (t > 0), 0), 6) AS nonzero_mae FROM j GROUP BY row_id")
-def reconstruction_metrics(spark, d):
-    return rounded(losses.reconstruction_metrics(active(spark, d), predicted(spark, d)), "log_mse", "count_tanimoto", "bit_agreement", "nonzero_mae")
+def reconstruction_metrics(spark, d, every=False):
+    return rounded(losses.reconstruction_metrics(active(spark, d, every), predicted(spark, d, every)), "log_mse", "count_tanimoto", "bit_agreement", "nonzero_mae")
 
 
 @query("log_mse_rows", f"WITH {JOINED} SELECT row_id, round(sum((z - pred) ** 2) / 64, 6) AS log_mse FROM j GROUP BY row_id")
-def log_mse_rows(spark, d):
-    return rounded(losses.joined(active(spark, d), predicted(spark, d)).groupBy("row_id").agg((F.sum(F.pow(F.col("z") - F.col("pred"), 2)) / 64).alias("log_mse")), "log_mse")
+def log_mse_rows(spark, d, every=False):
+    return rounded(losses.joined(active(spark, d, every), predicted(spark, d, every)).groupBy("row_id").agg((F.sum(F.pow(F.col("z") - F.col("pred"), 2)) / 64).alias("log_mse")), "log_mse")
 
 
-def dense_rows(spark, d):
-    both = losses.joined(active(spark, d), predicted(spark, d)).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", "pred", "z"))).alias("r"))
+def dense_rows(spark, d, every=False):
+    both = losses.joined(active(spark, d, every), predicted(spark, d, every)).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", "pred", "z"))).alias("r"))
     return both.select("row_id", F.col("r.pred").alias("pred"), F.transform("r.z", F.expm1).alias("counts"), F.col("r.z").alias("z"))
 
 
 @query("log_count_tanimoto", f"WITH {JOINED} SELECT row_id, round(sum(least(t, c)) / sum(greatest(t, c)), 6) AS tanimoto FROM j GROUP BY row_id")
-def log_count_tanimoto(spark, d):
-    return rounded(dense_rows(spark, d).select("row_id", sparse.log_count_tanimoto(F.col("counts"), F.col("pred")).alias("tanimoto")), "tanimoto")
+def log_count_tanimoto(spark, d, every=False):
+    return rounded(dense_rows(spark, d, every).select("row_id", sparse.log_count_tanimoto(F.col("counts"), F.col("pred")).alias("tanimoto")), "tanimoto")
 
 
 @query("sparse_vs_dense_tanimoto", f"WITH {JOINED} SELECT row_id, round(sum(least(t, c)) / (sum(t) + sum(c) - sum(least(t, c))), 6) AS tanimoto, true AS same FROM j GROUP BY row_id")
-def sparse_vs_dense_tanimoto(spark, d):
+def sparse_vs_dense_tanimoto(spark, d, every=False):
     p = F.greatest(F.expm1("pred"), F.lit(0.0))
-    totals = predicted(spark, d).groupBy("row_id").agg(F.sum(p).alias("sp"))
-    met = active(spark, d).join(predicted(spark, d), ["row_id", "idx"]).groupBy("row_id").agg(F.sum(F.least(F.expm1("target_log"), p)).alias("shared"), F.sum(F.expm1("target_log")).alias("st"))
+    totals = predicted(spark, d, every).groupBy("row_id").agg(F.sum(p).alias("sp"))
+    met = active(spark, d, every).join(predicted(spark, d, every), ["row_id", "idx"]).groupBy("row_id").agg(F.sum(F.least(F.expm1("target_log"), p)).alias("shared"), F.sum(F.expm1("target_log")).alias("st"))
     own = totals.join(met, "row_id").select("row_id", (F.col("shared") / (F.col("st") + F.col("sp") - F.col("shared"))).alias("tanimoto"))
-    dense = dense_rows(spark, d).select("row_id", sparse.log_count_tanimoto(F.col("counts"), F.col("pred")).alias("other"))
+    dense = dense_rows(spark, d, every).select("row_id", sparse.log_count_tanimoto(F.col("counts"), F.col("pred")).alias("other"))
     return rounded(own.join(dense, "row_id").select("row_id", "tanimoto", (F.abs(F.col("tanimoto") - F.col("other")) < 1e-9).alias("same")), "tanimoto")
 
 
 @query("binary_tanimoto_sparse", f"WITH {JOINED} SELECT row_id, round(sum(CASE WHEN z > 0 AND pred > 0 THEN 1 ELSE 0 END) / sum(CASE WHEN z > 0 OR pred > 0 THEN 1 ELSE 0 END), 6) AS tanimoto FROM j GROUP BY row_id")
-def binary_tanimoto_sparse(spark, d):
-    rows = dense_rows(spark, d)
+def binary_tanimoto_sparse(spark, d, every=False):
+    rows = dense_rows(spark, d, every)
     bits = lambda c: F.filter(F.transform(c, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
     return rounded(rows.select("row_id", sparse.binary_tanimoto(bits(F.col("z")), bits(F.col("pred"))).alias("tanimoto")), "tanimoto")
 
@@ -268,28 +274,28 @@ HUBER_SQL = f"WITH {JOINED}, e AS (SELECT CASE WHEN z > 0 THEN abs(pred - z) ELS
 
 
 @query("huber_dense", HUBER_SQL)
-def huber_dense(spark, d):
-    return rounded(losses.huber_dense(active(spark, d), predicted(spark, d), Losses()), "loss")
+def huber_dense(spark, d, every=False):
+    return rounded(losses.huber_dense(active(spark, d, every), predicted(spark, d, every), Losses()), "loss")
 
 
 @query("huber_sparse", HUBER_SQL)
-def huber_sparse(spark, d):
-    return rounded(losses.huber_sparse(active(spark, d), predicted(spark, d), Losses()), "loss")
+def huber_sparse(spark, d, every=False):
+    return rounded(losses.huber_sparse(active(spark, d, every), predicted(spark, d, every), Losses()), "loss")
 
 
 BCE = "greatest(greatest(x, 0) + ln(1 + exp(-abs(x))) - ln(2.0), 0)"
 
 
 @query("bce_sparse", f"WITH {JOINED}, e AS (SELECT CASE WHEN z > 0 THEN -pred ELSE pred END AS x, CASE WHEN z > 0 THEN 1.0 ELSE 4.0 END AS w FROM j) SELECT round(avg({BCE} * w), 6) AS loss FROM e")
-def bce_sparse(spark, d):
-    return rounded(losses.bce_sparse(active(spark, d), predicted(spark, d), Losses()), "loss")
+def bce_sparse(spark, d, every=False):
+    return rounded(losses.bce_sparse(active(spark, d, every), predicted(spark, d, every), Losses()), "loss")
 
 
 CLASS_SQL = f"{ACT}, n AS (SELECT count(DISTINCT row_id) AS n FROM act), f AS (SELECT k.idx, count(act.row_id) / max(n.n) AS p FROM (SELECT unnest(range(64)) AS idx) k CROSS JOIN n LEFT JOIN act ON act.idx = k.idx GROUP BY k.idx)"
 
 
-def bin_weights(spark, d):
-    rows = active(spark, d)
+def bin_weights(spark, d, every=False):
+    rows = active(spark, d, every)
     n = rows.agg(F.count_distinct("row_id").alias("n"))
     frequency = vectors.bit_frequencies(rows.select(F.col("row_id").alias("id"), F.col("idx").cast("int").alias("idx")), n, 64)
     pos, neg = sparse.class_weights(F.col("frequency"))
@@ -297,13 +303,18 @@ def bin_weights(spark, d):
 
 
 @query("bce_class_weights", f"WITH {CLASS_SQL} SELECT idx, round(-ln(p + 1e-6), 6) AS w_pos, round(-ln(1 - p + 1e-6), 6) AS w_neg FROM f")
-def bce_class_weights(spark, d):
-    return rounded(bin_weights(spark, d), "w_pos", "w_neg")
+def bce_class_weights(spark, d, every=False):
+    return rounded(bin_weights(spark, d, every), "w_pos", "w_neg")
 
 
 @query("bce_weighted", f"WITH {JOINED}, {CLASS_SQL.removeprefix(ACT + ', ')}, e AS (SELECT CASE WHEN z > 0 THEN -pred ELSE pred END AS x, CASE WHEN z > 0 THEN -ln(p + 1e-6) ELSE 4.0 * -ln(1 - p + 1e-6) END AS w FROM j JOIN f ON f.idx = j.idx) SELECT round(avg({BCE} * w), 6) AS loss FROM e")
-def bce_weighted(spark, d):
-    return rounded(losses.bce_sparse(active(spark, d), predicted(spark, d), Losses(), bin_weights(spark, d)), "loss")
+def bce_weighted(spark, d, every=False):
+    return rounded(losses.bce_sparse(active(spark, d, every), predicted(spark, d, every), Losses(), bin_weights(spark, d, every)), "loss")
+
+
+#: The queries above whose SQL takes a part of the orders, over all of lineitem; these have no SQL.
+for _name in ("dense_counts_small", "reconstruction_metrics", "log_mse_rows", "log_count_tanimoto", "sparse_vs_dense_tanimoto", "binary_tanimoto_sparse", "huber_dense", "huber_sparse", "bce_sparse", "bce_weighted", "bce_class_weights"):
+    QUERIES[f"{_name.removesuffix('_small')}_all"] = partial(QUERIES[_name], every=True)
 
 
 @query("descriptor_loss", "SELECT round(0.05 * avg((a - b) ** 2), 6) AS loss FROM (SELECT unnest([l_quantity, l_tax, l_discount]) AS a, unnest([25.0, 0.04, 0.05]) AS b FROM lineitem)")
