@@ -75,7 +75,8 @@ def shingles(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_jaccard_join(docs, texts, empty):
+def components_of(texts):
+    """doc_id, size of the set and least id reachable, by all pairs that share a shingle."""
     sets = [shingles(t) for _, t in texts]
     up = list(range(len(sets)))
 
@@ -95,11 +96,32 @@ def test_jaccard_join(docs, texts, empty):
     least = defaultdict(lambda: 1 << 60)
     for i, (k, _) in enumerate(texts):
         least[root(i)] = min(least[root(i)], k)
-    want = [(k, len(sets[i]), least[root(i)]) for i, (k, _) in enumerate(texts)]
-    same(jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect(), want)
+    return [(k, len(sets[i]), least[root(i)]) for i, (k, _) in enumerate(texts)]
+
+
+def test_jaccard_join(docs, texts, empty):
+    same(jaccard_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect(), components_of(texts))
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_jaccard_join_in_large_groups(spark, monkeypatch):
+    """Texts around one passage, and copies of one text with more and less edits: groups with many components, in one tile and in several."""
+    r, rows, passage, base = random.Random(5), [], words(60, 21), words(140, 22)
+    for i in range(300):
+        rows.append((i, " ".join(words(r.randrange(10, 40), 1000 + i) + passage + words(r.randrange(10, 40), 5000 + i))))
+    for i in range(300, 700):
+        own = list(base)
+        for at in r.sample(range(len(own)), r.randrange(0, 14)):
+            own[at] = r.choice(("", "changed", f"w{r.randrange(40)}"))
+        rows.append((i, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = components_of(rows)
+    assert 20 < len({x[2] for x in want if x[0] >= 300})
+    for block in (2048, 50):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        same(jaccard_join.near_duplicates(frame).select("doc_id", "n_shingles", "component_id").collect(), want)
+
+
 def tokenizer(name):
     from tokenizers import Tokenizer
 
@@ -150,24 +172,50 @@ def test_sharding(docs, texts, empty):
     assert sharding.place(empty, ["doc_id"], shards).count() == 0
 
 
-def test_suffix_dedup(docs, texts, empty):
+def without_repeats(texts, length):
     raws = [(t or "").encode() for _, t in texts]
-    seen = Counter(hash(r[i : i + 200]) for r in raws for i in range(len(r) - 199))
+    seen = Counter(hash(r[i : i + length]) for r in raws for i in range(len(r) - length + 1))
     want = []
     for (k, _), r in zip(texts, raws, strict=True):
         gone, until, spans = bytearray(len(r)), 0, 0
-        for i in range(len(r) - 199):
-            if seen[hash(r[i : i + 200])] > 1:
-                gone[max(until, i) : i + 200] = b"\1" * (i + 200 - max(until, i))
-                until = i + 200
+        for i in range(len(r) - length + 1):
+            if seen[hash(r[i : i + length])] > 1:
+                gone[max(until, i) : i + length] = b"\1" * (i + length - max(until, i))
+                until = i + length
         spans = bytes(gone).replace(b"\0", b" ").split()
         left = bytes(b for b, g in zip(r, gone, strict=True) if not g)
         want.append((k, len(r), sum(gone), len(spans), hashlib.sha256(left).hexdigest()))
-    found = suffix_dedup.dedup_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
-    same(found, want)
+    return want
+
+
+REMOVED = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_suffix_dedup(docs, texts, empty):
+    same(suffix_dedup.dedup_substrings(docs).select(REMOVED).collect(), without_repeats(texts, 200))
     assert suffix_dedup.dedup_substrings(empty).count() == 0
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    """Few letters, periods, overlaps of a text with itself, and repeats that begin and end anywhere, read in small batches."""
+    r = random.Random(8)
+    base = "".join(r.choice("abcdefgh ") for _ in range(3000))
+    rows = [(0, base), (1, "ab" * 150), (2, "abc" * 90 + "abd" * 90), (3, "a" * 500), (4, "a" * 19), (5, None), (6, "")]
+    for i in range(7, 150):
+        at, n = r.randrange(2900), r.randrange(5, 90)
+        left, right = ("".join(r.choice("abcdefgh ") for _ in range(r.randrange(60))) for _ in range(2))
+        rows.append((i, left + base[at : at + n] + right))
+    rows += [(i, "".join(r.choice("ab") for _ in range(60))) for i in range(150, 200)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        for length, anchor in ((20, 8), (130, 64)):
+            same(suffix_dedup.dedup_substrings(frame, length=length, anchor=anchor).select(REMOVED).collect(), without_repeats(rows, length))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_passages(docs, empty):
     found = {r.doc_id: r for r in passages.passage_report(docs)[1].collect()}
     assert passages.passage_report(docs)[1].count() == docs.count()
