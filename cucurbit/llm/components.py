@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links: u, v.  Returns node and the least node that it can reach, for all nodes with a link; a saved table."""
     edges = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     while True:
-        edges = saved(_small_star(_large_star(edges)))
-        # The sum of the lower ends falls with every change, as the number of links does.
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
+        after = saved(_small_star(_large_star(edges)))
+        # Both tables hold a link once, so they are equal if they have as many links and none is new.
+        same = after.count() == edges.count() and after.exceptAll(edges).isEmpty()
+        forget(edges)
+        edges = after
+        if same:
             break
-        before = now
-    return saved(edges.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct()))
+    found = saved(edges.select(F.col("u").alias("node"), F.col("v").alias("least")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct()))
+    forget(edges)
+    return found

@@ -5,9 +5,8 @@ Texts with equal sets form one class; what follows is on classes.
 * Sets are in bands by size, doubling.  A band cuts the universe of shingle hashes into ``m``
   segments.  If two sets differ in at most H shingles, at least ``m - H`` of their segments are
   equal.  A set thus needs only ``H + 1`` of its segments in the index: it leaves out the empty
-  ones first and then the ones that cost most (made of shingles that a sample of texts shows to
-  be frequent), in an order that all sets share, so that an equal segment of two linked sets
-  stays in both.
+  ones first and then the ones that cost most (in how many texts of a sample their rarest shingle
+  is), in an order that all sets share, so that an equal segment of two linked sets stays in both.
 * Small sets have few segments; there the index holds each segment and its one-deletion
   neighbourhood, so that a segment may differ by one shingle and half as many segments do.
 * A set with too many empty segments for that count also takes part under the next seed of the
@@ -17,9 +16,13 @@ Texts with equal sets form one class; what follows is on classes.
 Signatures travel as sorted arrays by bucket, six bytes each.  Candidates whose sketches (the
 parities of the shingles in so many cells) differ in more places than linked sets may differ in
 shingles go without a look at the texts, which loses none; the others are verified on the texts'
-own shingles: first each member of a signature's group against the group's first, then,
-for groups that still hold several components, against the second and third, and so on, with
-twice as many pivots each round; pairs within a component need no look.
+own shingles.
+
+1. Each member of a signature's group meets the group's first; that links most of a group of
+   near copies in one go, with as many pairs as members.
+2. In groups that still hold several components, all pairs of different components are held
+   against each other, sketch by sketch, inside the tasks: a group is dealt in tiles of two
+   blocks of members, and only the pairs that pass come out.  Pairs within a component need no look.
 
 Defined results: null and wordless texts have an empty set and no links; fewer words than a
 shingle make one shingle.  Rows with equal ids are rows of their own.
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 from .components import components
 from .kernels import U, Words, mix, slices
 
@@ -49,6 +52,8 @@ SEEDS = 6
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 16_000, 0.0004, 60_000
 BUCKET_SIGNATURES = 400_000
 FLUSH = 1_500_000
+#: Members of a group in one side of a tile, words of sketches that are compared at a time, and groups of a class that its rows list.
+BLOCK, AT_ONCE, LISTED = 2048, 1 << 21, 4
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -92,7 +97,7 @@ def segments_of(high: int, percent: int) -> int:
     return (most + 2) // 2 if high <= SMALL else int((most + 1) * (1 + SLACK)) + 1
 
 
-def band_signatures(h: np.ndarray, whose: np.ndarray, size: np.ndarray, high: int, seed: int, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def band_signatures(h: np.ndarray, whose: np.ndarray, size: np.ndarray, high: int, seed: int, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures and their text numbers of texts taking part in one band, and the numbers of those that need another seed."""
     m = segments_of(high, percent)
     tag = mix(np.array([high * 64 + seed], U))[0]
@@ -120,12 +125,13 @@ def band_signatures(h: np.ndarray, whose: np.ndarray, size: np.ndarray, high: in
     filled = np.bincount(texts, minlength=n)
     failed = np.flatnonzero((filled > 0) & (filled < need))
     sigs = sign(content, own)
-    cost = np.zeros(len(start), bool)
-    if len(frequent):
+    cost = np.zeros(len(start), np.int64)
+    shingles, texts_with = frequent
+    if len(shingles):
         own_order = h[order]
-        at = np.minimum(np.searchsorted(frequent, own_order), len(frequent) - 1)
-        cost = np.minimum.reduceat(frequent[at] == own_order, start)
-    order = np.lexsort((sigs, ~cost, texts))
+        at = np.minimum(np.searchsorted(shingles, own_order), len(shingles) - 1)
+        cost = np.minimum.reduceat(np.where(shingles[at] == own_order, texts_with[at], 0), start)
+    order = np.lexsort((sigs, -cost, texts))
     first = np.searchsorted(texts[order], np.arange(n))
     place = np.arange(len(order)) - first[texts[order]]
     spare = np.where(filled < need, 0, filled - need)
@@ -133,7 +139,7 @@ def band_signatures(h: np.ndarray, whose: np.ndarray, size: np.ndarray, high: in
     return sigs[keep], texts[keep], failed
 
 
-def signatures(h: np.ndarray, whose: np.ndarray, size: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def signatures(h: np.ndarray, whose: np.ndarray, size: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """All signatures of some texts, and the number of the text of each."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     high = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
@@ -159,7 +165,7 @@ def signatures(h: np.ndarray, whose: np.ndarray, size: np.ndarray, frequent: np.
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
-def signature_blocks(docs: DataFrame, text: str, buckets: int, frequent: np.ndarray, percent: int, n: int) -> DataFrame:
+def signature_blocks(docs: DataFrame, text: str, buckets: int, frequent: tuple[np.ndarray, np.ndarray], percent: int, n: int) -> DataFrame:
     """Signatures by bucket, as arrays: bucket int, sig (32 bits each), own (16 bits each, number among the classes), classes and sizes."""
     names = ["bucket", "sig", "own", "classes", "sizes"]
 
@@ -215,8 +221,8 @@ def signature_blocks(docs: DataFrame, text: str, buckets: int, frequent: np.ndar
 
 
 def groups(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Classes that share a signature with another: g (the signature), c, n (size), r (place in the group by c), and the group's first class and its size."""
-    names = ["g", "c", "n", "r", "c0", "n0"]
+    """Classes that share a signature with another: g (the signature), c, n (size), many (size of the group), and the group's first class and its size."""
+    names = ["g", "c", "n", "many", "c0", "n0"]
 
     def one(bucket: int, rows: list[dict]) -> pa.RecordBatch | None:
         sig = np.concatenate([np.frombuffer(r["sig"], np.uint32) for r in rows])
@@ -229,13 +235,12 @@ def groups(blocks: DataFrame, buckets: int) -> DataFrame:
         sig, c, n = sig[new], c[new], n[new]
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         many = np.diff(np.append(first, len(sig)))
-        place = np.arange(len(sig)) - np.repeat(first, many)
-        start = np.repeat(first, many)
-        keep = np.repeat(many > 1, many)
+        start, many = np.repeat(first, many), np.repeat(many, many)
+        keep = many > 1
         if not keep.any():
             return None
         g = (sig[keep].astype(np.int64) << 31) ^ bucket
-        columns = (g, c[keep].view(np.int64), n[keep].astype(np.int32), place[keep].astype(np.int32), c[start][keep].view(np.int64), n[start][keep].astype(np.int32))
+        columns = (g, c[keep].view(np.int64), n[keep].astype(np.int32), many[keep].astype(np.int32), c[start][keep].view(np.int64), n[start][keep].astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,11 +256,11 @@ def groups(blocks: DataFrame, buckets: int) -> DataFrame:
             yield out
 
     dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "g long, c long, n int, r int, c0 long, n0 int")
+    return dealt.mapInArrow(run, "g long, c long, n int, many int, c0 long, n0 int")
 
 
-def frequent_shingles(docs: DataFrame, text: str, n_docs: int, n: int = SHINGLE) -> np.ndarray:
-    """Shingles that at least ``FREQUENT`` of a bounded sample of texts have: an order of cost, no filter."""
+def frequent_shingles(docs: DataFrame, text: str, n_docs: int, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least ``FREQUENT`` of a bounded sample of texts have, in order, and how many have them: an order of cost, no filter."""
     share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +272,9 @@ def frequent_shingles(docs: DataFrame, text: str, n_docs: int, n: int = SHINGLE)
     least = max(6, int(FREQUENT * min(SAMPLE_DOCS, n_docs)))
     rows = sample.select(text).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
     top = rows.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()
-    return np.sort(np.array([r.h for r in top], np.int64).view(U))
+    h, n_texts = np.array([r.h for r in top], np.int64).view(U), np.array([r[1] for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n_texts[order]
 
 
 # -- verification -------------------------------------------------------------------------------------
@@ -334,6 +341,96 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFr
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def folded(rows: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one length, folded to ``words`` words of 64 bits; one a row."""
+    x = np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1, words)
+    return np.bitwise_xor.reduce(x, axis=1)
+
+
+def tile_pairs(c: np.ndarray, k: np.ndarray, n: np.ndarray, side: np.ndarray, cells: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of different components k whose sketches don't exclude a link: of both sides 0 and 1, or within a side if there is but one."""
+    order = np.lexsort((c, n))
+    k, n, side, cells = k[order], n[order], side[order], [cells[i] for i in order.tolist()]
+    # Sizes rise, so lengths of sketches do; those of linked sets differ by a factor of two at most.
+    words = np.array([len(x) // 8 for x in cells])
+    edge = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1], [True]]))
+    two = bool(side.min() != side.max())
+    us, vs = [], []
+    for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+        w = int(words[a])
+        end = int(edge[i + 2]) if i + 2 < len(edge) and words[b] == 2 * w else b
+        x = np.concatenate([folded(cells[a:b], w), folded(cells[b:end], w)] if end > b else [folded(cells[a:b], w)])
+        step = max(1, AT_ONCE // (w * (end - a)))
+        for s in range(a, b, step):
+            t = min(b, s + step)
+            differ = np.bitwise_count(x[s - a : t - a, None, :] ^ x[None, s - a :, :]).sum(2, dtype=np.int64)
+            later = np.arange(s, end)[None, :] > np.arange(s, t)[:, None]
+            fits = later & (k[s:t, None] != k[None, s:end]) & (100 * n[s:t, None] >= percent * n[None, s:end])
+            if two:
+                fits &= side[s:t, None] != side[None, s:end]
+            fits &= differ * (100 + percent) <= (n[s:t, None] + n[None, s:end]) * (100 - percent)
+            u, v = np.nonzero(fits)
+            us.append(order[u + s])
+            vs.append(order[v + s])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def elsewhere(u: np.ndarray, v: np.ndarray, lists: list[list[int]], g: int) -> np.ndarray:
+    """Whether the members u and v both list a group that comes before g; lists hold a few of each member's groups, in one order for all."""
+    # From each list only what comes before g counts, so that a group in both comes before it.
+    before = np.zeros((len(lists), LISTED), np.int64)
+    known = np.zeros((len(lists), LISTED), bool)
+    for i, x in enumerate(lists):
+        own = x[: x.index(g)] if g in x else x
+        before[i, : len(own)], known[i, : len(own)] = own, True
+    same = (before[u][:, :, None] == before[v][:, None, :]) & known[u][:, :, None] & known[v][:, None, :]
+    return same.any(axis=(1, 2))
+
+
+def pairs_left(shared: DataFrame, found: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs u, v of different components that share a signature, but for those that their sketches exclude."""
+    own = shared.where("many > 2").select("g", "c", "n", "many").join(found.select(F.col("node").alias("c"), "least"), "c", "left").withColumn("k", F.coalesce("least", "c")).drop("least")
+    # Groups with the same members need one look.
+    told = own.groupBy("g").agg(F.min("k").alias("x"), F.max("k").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("h")).where("x <> y")
+    left = saved(own.join(told.groupBy("m", "h").agg(F.min("g").alias("g")).select("g"), "g"))
+    # A pair comes out of the first group that both list, largest groups first.
+    lists = left.groupBy("c").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("many")).alias("a"), "g"))), 1, LISTED)["g"].alias("lists"))
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    at = left.withColumn("block", F.pmod(F.xxhash64("c"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = at.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "c", "k", F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"))
+    rows = tiles.join(cells.join(lists, "c"), "c").select("g", "i", "j", "side", "c", "k", F.col("size").alias("n"), "cells", "lists")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key: tuple | None = None
+
+        def compared() -> pa.RecordBatch:
+            b = pa.Table.from_batches(held)
+            side, c, k, n = (b.column(x).to_numpy() for x in ("side", "c", "k", "n"))
+            u, v = tile_pairs(c, k, n.astype(np.int64), side, b.column("cells").to_pylist(), percent)
+            if len(u):
+                here = ~elsewhere(u, v, b.column("lists").to_pylist(), key[0])
+                u, v = u[here], v[here]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(c[u], c[v]), pa.int64()), pa.array(np.maximum(c[u], c[v]), pa.int64())], ["u", "v"])
+
+        for b in batches:
+            keys = [b.column(x).to_numpy() for x in ("g", "i", "j")]
+            edge = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in keys], axis=0)) + 1).tolist(), len(b)] if len(b) else []
+            for s, t in zip(edge[:-1], edge[1:], strict=True):
+                if (own_key := tuple(int(x[s]) for x in keys)) != key and held:
+                    yield compared()
+                    held = []
+                key = own_key
+                held.append(b.slice(s, t - s))
+        if held:
+            yield compared()
+
+    dealt = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    pairs = saved(dealt.mapInArrow(run, "u long, v long").distinct())
+    forget(left)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
     """key, n_shingles and component_id (the least key reachable by links) of every row."""
 
@@ -359,29 +456,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     texts = saved(rows.join(firsts, "__k").dropDuplicates(["__c"]).select(F.col("__c").alias("c"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     cells = saved(sketches(texts, n))
 
-    links = shared.select(F.col("c").alias("u"), F.col("c").alias("v")).limit(0)
-    tried = None
-    low, high = 0, 1
-    found = None
-    while True:
-        if low == 0:
-            pairs = shared.where("r > 0").select(F.col("c0").alias("u"), F.col("c").alias("v"), F.col("n0").alias("nu"), F.col("n").alias("nv"))
-        else:
-            own = shared.join(found, shared.c == found.node, "left").select("g", "c", "n", "r", F.coalesce("least", "c").alias("k"))
-            open_groups = own.groupBy("g").agg(F.min("k").alias("x"), F.max("k").alias("y"), F.max("r").alias("top")).where(f"x <> y and top > {low}").select("g")
-            own = saved(own.join(open_groups, "g"))
-            pivots = own.where(f"r >= {low} and r < {high}").select("g", F.col("c").alias("u"), F.col("n").alias("nu"), F.col("k").alias("ku"), F.col("r").alias("ru"))
-            pairs = own.join(pivots, "g").where("r > ru and k <> ku").select("u", F.col("c").alias("v"), "nu", F.col("n").alias("nv"))
-        fitting = pairs.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v").distinct()
-        pairs = saved(fitting if tried is None else fitting.join(tried, ["u", "v"], "left_anti"))
-        if low and pairs.isEmpty() and own.where(f"r >= {high}").isEmpty():
-            break
-        fresh = saved(verified(saved(plausible(pairs, cells, percent)), texts, percent, n))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = fresh if low == 0 else links.unionByName(fresh)
-        if low == 0 or not fresh.isEmpty():
-            found = components(links)
-        low, high = high, high + 2 * (high - low)
+    first = shared.where("c <> c0").where(f"100 * least(n, n0) >= {percent} * greatest(n, n0)").select(F.col("c0").alias("u"), F.col("c").alias("v")).distinct()
+    close = saved(plausible(first, cells, percent))
+    links = saved(verified(close, texts, percent, n))
+    found = components(links)
+    more = pairs_left(shared, found, cells, percent)
+    forget(shared, cells, close)
+    added = saved(verified(more, texts, percent, n))
+    if not added.isEmpty():
+        forget(found)
+        found = components(links.unionByName(added))
+    forget(texts, links, more, added)
+
     # The least key of each class, then of each component.
     classes = base.where("n_shingles > 0").groupBy("__c").agg(F.min(key).alias("__first"))
     joined = classes.join(found.select(F.col("node").alias("__c"), F.col("least").alias("__k")), "__c", "left").withColumn("__k", F.coalesce("__k", "__c"))
