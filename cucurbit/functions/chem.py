@@ -1,8 +1,9 @@
 """SMILES to atoms and bonds by a small Arrow function; descriptors and counted circular fingerprints as expressions on them.
 
 The parser covers the organic subset, bracket atoms, bonds, branches, ring closures, dots,
-aromatic lower case and the wildcard.  Aromaticity is as written.  Fingerprint bits are this
-library's own: hashes of atom environments, counted by bin.
+aromatic lower case and the wildcard.  Aromaticity is as written: a ring in Kekule form, as
+C1=CC=CC=C1, has no aromatic atoms.  Fingerprint bits are this library's own: hashes of atom
+environments, counted by bin.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ WEIGHTS = {
     "Sc": 44.956, "Ti": 47.867, "V": 50.942, "Cr": 51.996, "Mn": 54.938, "Fe": 55.845, "Co": 58.933, "Ni": 58.693, "Cu": 63.546, "Zn": 65.38,
     "Ga": 69.723, "Ge": 72.630, "As": 74.922, "Se": 78.971, "Br": 79.904, "Kr": 83.798, "Rb": 85.468, "Sr": 87.62, "Y": 88.906, "Zr": 91.224,
     "Nb": 92.906, "Mo": 95.95, "Tc": 97.0, "Ru": 101.07, "Rh": 102.91, "Pd": 106.42, "Ag": 107.87, "Cd": 112.41, "In": 114.82, "Sn": 118.71,
-    "Sb": 121.76, "Te": 127.60, "I": 126.90, "Xe": 131.29, "Cs": 132.91, "Ba": 137.33, "La": 138.91, "Ce": 140.12, "Gd": 157.25, "W": 183.84,
-    "Re": 186.21, "Os": 190.23, "Ir": 192.22, "Pt": 195.08, "Au": 196.97, "Hg": 200.59, "Tl": 204.38, "Pb": 207.2, "Bi": 208.98, "U": 238.03,
+    "Sb": 121.76, "Te": 127.60, "I": 126.90, "Xe": 131.29, "Cs": 132.91, "Ba": 137.33, "La": 138.91, "Ce": 140.12, "Pr": 140.91, "Nd": 144.24,
+    "Pm": 145.0, "Sm": 150.36, "Eu": 151.96, "Gd": 157.25, "Tb": 158.93, "Dy": 162.50, "Ho": 164.93, "Er": 167.26, "Tm": 168.93, "Yb": 173.05,
+    "Lu": 174.97, "Hf": 178.49, "Ta": 180.95, "W": 183.84, "Re": 186.21, "Os": 190.23, "Ir": 192.22, "Pt": 195.08, "Au": 196.97, "Hg": 200.59,
+    "Tl": 204.38, "Pb": 207.2, "Bi": 208.98, "Po": 209.0, "At": 210.0, "Rn": 222.0, "Fr": 223.0, "Ra": 226.0, "Ac": 227.0, "Th": 232.04,
+    "Pa": 231.04, "U": 238.03, "Np": 237.0, "Pu": 244.0, "Am": 243.0, "Cm": 247.0, "Bk": 247.0, "Cf": 251.0, "Es": 252.0, "Fm": 257.0,
+    "Md": 258.0, "No": 259.0, "Lr": 266.0, "Rf": 267.0, "Db": 268.0, "Sg": 269.0, "Bh": 270.0, "Hs": 269.0, "Mt": 278.0, "Ds": 281.0,
+    "Rg": 282.0, "Cn": 285.0, "Nh": 286.0, "Fl": 289.0, "Mc": 290.0, "Lv": 293.0, "Ts": 294.0, "Og": 294.0,
 }
 #: Normal valences of the organic subset.
 VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "P": (3, 5), "S": (2, 4, 6), "F": (1,), "Cl": (1,), "Br": (1,), "I": (1,)}
@@ -33,12 +39,12 @@ DESCRIPTORS = [
 ]
 ELEMENT_COLUMNS = {"carbon_count": "C", "nitrogen_count": "N", "oxygen_count": "O", "phosphorus_count": "P", "sulfur_count": "S", "fluorine_count": "F", "chlorine_count": "Cl", "bromine_count": "Br", "iodine_count": "I"}
 
-TOKEN = re.compile(r"(\[[^\]]*\])|(Br|Cl|[BCNOPSFI*]|[bcnops])|([-=#$:/\\~])|(%\d\d|\d)|([().])")
+TOKEN = re.compile(r"(\[[^\]]*\])|(Br|Cl|[BCNOPSFI*]|[bcnops])|([-=#$:/\\~])|(%\(\d+\)|%\d\d|\d)|([().])")
 BRACKET = re.compile(r"\[(\d+)?(\*|[A-Z][a-z]?|[a-z][a-z]?)(@{0,2}\w{0,0}(?:TH\d|AL\d|SP\d|TB\d+|OH\d+)?)(H\d*)?([+-]+\d*|\d*)?(?::\d+)?\]")
 ORDER = {"-": 1, "/": 1, "\\": 1, "=": 2, "#": 3, "$": 4, ":": 4, "~": 1}
 AROMATIC = 5
 
-GRAPH = "struct<atoms:array<struct<element:string,charge:int,hydrogens:int,aromatic:boolean>>,bonds:array<struct<a:int,b:int,kind:int>>,components:int,ring_atoms:int,ring_bonds:int,error:string>"
+GRAPH = "struct<atoms:array<struct<element:string,charge:int,hydrogens:int,aromatic:boolean,near:array<struct<kind:int,other:int>>>>,bonds:array<struct<a:int,b:int,kind:int>>,components:int,ring_atoms:int,ring_bonds:int,error:string>"
 
 
 def parse(smiles: str) -> dict:
@@ -48,12 +54,14 @@ def parse(smiles: str) -> dict:
     open_rings: dict[int, tuple[int, int | None]] = {}
     branches: list[int | None] = []
     last, order, at = None, None, 0
+    joined: set[tuple[int, int]] = set()
     if not smiles:
         raise ValueError("no atoms")
 
     def bond(a: int, b: int, kind: int | None) -> None:
-        if a == b or any({x, y} == {a, b} for x, y, _ in bonds[-64:]):
+        if a == b or (min(a, b), max(a, b)) in joined:
             raise ValueError(f"bond of atoms {a} and {b} is given twice")
+        joined.add((min(a, b), max(a, b)))
         bonds.append([a, b, kind or (AROMATIC if atoms[a][3] and atoms[b][3] else 1)])
 
     while at < len(smiles):
@@ -86,7 +94,7 @@ def parse(smiles: str) -> dict:
         elif ring:
             if last is None:
                 raise ValueError("ring closure before an atom")
-            k = int(ring.lstrip("%"))
+            k = int(ring.strip("%()"))
             if k in open_rings:
                 other, kind = open_rings.pop(k)
                 bond(other, last, order or kind)
@@ -119,7 +127,7 @@ def parse(smiles: str) -> dict:
     components, bridges = _components_and_bridges(near)
     in_ring = [k for k in range(len(bonds)) if k not in bridges]
     return {
-        "atoms": [dict(zip(("element", "charge", "hydrogens", "aromatic"), a[:4], strict=True)) for a in atoms],
+        "atoms": [dict(zip(("element", "charge", "hydrogens", "aromatic"), a[:4], strict=True)) | {"near": [{"kind": bonds[k][2], "other": b} for b, k in near[i]]} for i, a in enumerate(atoms)],
         "bonds": [dict(zip(("a", "b", "kind"), b, strict=True)) for b in bonds],
         "components": components,
         "ring_atoms": len({x for k in in_ring for x in bonds[k][:2]}),
@@ -183,11 +191,14 @@ def _count(atoms: Column, test) -> Column:
 
 
 def descriptors(graph: Column) -> Column:
-    """The struct of 18; the mass adds 32-bit floats in the order of atoms.  Null for a graph with an error."""
+    """The struct of 18; the mass adds 32-bit floats in the order of atoms, an atom's hydrogens before it.  Null for a graph with an error.
+
+    Aromatic atoms are those written in lower case; no aromaticity is perceived in Kekule forms.
+    """
     atoms = graph["atoms"]
     table = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
     weight = lambda a: F.coalesce(F.try_element_at(table, a["element"]), F.lit(0.0)).cast("float")
-    mass = F.aggregate(atoms, F.lit(0.0).cast("float"), lambda m, a: (m + weight(a) + a["hydrogens"].cast("float") * F.lit(WEIGHTS["H"]).cast("float")).cast("float"))
+    mass = F.aggregate(atoms, F.lit(0.0).cast("float"), lambda m, a: ((m + a["hydrogens"].cast("float") * F.lit(WEIGHTS["H"]).cast("float")).cast("float") + weight(a)).cast("float"))
     attached = F.aggregate(atoms, F.lit(0), lambda n, a: n + a["hydrogens"])
     hydrogens = (attached + _count(atoms, lambda a: a["element"] == "H")).cast("int")
     values = {
@@ -218,22 +229,18 @@ def counted_fingerprint(molecules: DataFrame, graph: str = "graph", to: str = "f
     An environment's code is a hash of its atom's code and of its neighbours' codes by bond, one
     radius less; it doesn't depend on the order of atoms.  All within the row, without a shuffle.
     """
-    if not 0 <= radius <= 255 or not 0 < size <= 65536:
-        raise ValueError("radius must be 0 to 255 and size 1 to 65536")
+    if not 1 <= radius <= 255 or not 0 < size <= 65536:
+        raise ValueError("radius must be 1 to 255 and size 1 to 65536")
     g = F.col(graph)
-    n = F.size(g["atoms"])
-    ids = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    near = F.transform(ids, lambda i: F.transform(F.filter(g["bonds"], lambda b: (b["a"] == i) | (b["b"] == i)), lambda b: F.struct(b["kind"].alias("kind"), F.when(b["a"] == i, b["b"]).otherwise(b["a"]).alias("other"))))
-    out = molecules.withColumn("__near", near)
-    first = F.transform(g["atoms"], lambda a, i: F.xxhash64(a["element"], a["charge"], a["hydrogens"], a["aromatic"], F.size(F.get(F.col("__near"), i))))
-    out = out.withColumn("__code0", first)
+    first = F.transform(g["atoms"], lambda a: F.xxhash64(a["element"], a["charge"], a["hydrogens"], a["aromatic"], F.size(a["near"])))
+    out = molecules.withColumn("__code0", first)
     for r in range(1, radius + 1):
         before = F.col(f"__code{r - 1}")
-        code = F.transform(F.col("__near"), lambda e, i: F.xxhash64(F.lit(r), F.get(before, i), F.array_sort(F.transform(e, lambda b: F.xxhash64(b["kind"], F.get(before, b["other"]))))))
+        code = F.transform(g["atoms"], lambda a, i: F.xxhash64(F.lit(r), F.get(before, i), F.array_sort(F.transform(a["near"], lambda b: F.xxhash64(b["kind"], F.get(before, b["other"]))))))
         out = out.withColumn(f"__code{r}", code)
     codes = [f"__code{r}" for r in range(radius + 1)]
     out = out.withColumn("__bins", F.transform(F.concat(*codes), lambda c: F.pmod(c, F.lit(size)).cast("int")))
     indices = F.array_sort(F.array_distinct("__bins"))
     counts = F.transform(indices, lambda i: F.least(F.size(F.filter(F.col("__bins"), lambda b: b == i)), F.lit(65535)))
     value = F.when(g["error"].isNull(), F.struct(indices.alias("indices"), counts.alias("counts"), F.lit(size).alias("size")))
-    return out.withColumn(to, value).drop("__near", "__bins", *codes)
+    return out.withColumn(to, value).drop("__bins", *codes)

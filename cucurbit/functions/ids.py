@@ -7,6 +7,7 @@ in size with every use of it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -132,3 +133,30 @@ def record_status(dataset: Column, record_id: Column) -> Column:
     """'error' for a PubChem or ZINC20 record whose id can't be read, else 'ok'."""
     bad = ((dataset == "pubchem-smiles") & pubchem_id(record_id).isNull()) | ((dataset == "zinc20-smiles") & zinc_id(record_id).isNull())
     return F.when(bad, "error").otherwise("ok")
+
+
+# -- the same for single values, for functions registered under SQL names -------------------------------
+
+
+def splitmix64_of(x: int) -> int:
+    m = (1 << 64) - 1
+    z = (x + GOLDEN) & m
+    for shift, factor in ((30, MIX_1), (27, MIX_2)):
+        z = ((z ^ z >> shift) * factor) & m
+    return z ^ z >> 31
+
+
+def stable_id_of(dataset: str | None, record_id: str | None) -> int | None:
+    """The id as a long; null for a null."""
+    if dataset is None or record_id is None:
+        return None
+    if dataset == "pubchem-smiles" and re.fullmatch(r"\+?[0-9]+", record_id) and int(record_id) < 1 << 64:
+        return signed(int(record_id))
+    if dataset == "zinc20-smiles" and (m := re.fullmatch(r"ZINC\+?([0-9]+)(?:_\+?([0-9]+))?", record_id)):
+        n, suffix = int(m[1]), int(m[2] or 0)
+        if n <= ZINC_MOST and suffix <= SUFFIX_MOST:
+            return signed(ZINC_BIT | suffix << 48 | n)
+    h = FNV_OFFSET
+    for b in dataset.encode() + b"\xff" + record_id.encode():
+        h = ((h ^ b) * FNV_PRIME) & ((1 << 64) - 1)
+    return HASH_BIT | splitmix64_of(h) & HASH_MASK

@@ -38,11 +38,13 @@ def total(values: Column) -> Column:
 
 def count_tanimoto(ia: Column, ca: Column, ib: Column, cb: Column) -> Column:
     """sum of minima / sum of maxima; 1 for two empty vectors, and always from 0 to 1."""
-    shared = F.aggregate(
-        F.arrays_zip(ia.alias("i"), ca.alias("c")), F.lit(0.0), lambda acc, p: acc + F.least(F.greatest(p["c"], F.lit(0)), F.greatest(count_at(ib, cb, p["i"]), F.lit(0))).cast("double")
-    )
-    union = total(F.transform(ca, lambda c: F.greatest(c, F.lit(0)))) + total(F.transform(cb, lambda c: F.greatest(c, F.lit(0)))) - shared
-    return F.when(union <= 1e-8, F.lit(1.0)).otherwise(F.least(F.greatest(shared / union, F.lit(0.0)), F.lit(1.0)))
+    least = lambda c, d: F.least(F.greatest(c, F.lit(0)), F.greatest(d, F.lit(0)))
+    # A map, made once a row, takes no repeated bin; rows with one look the last entry up.
+    by_map = F.get(F.transform(F.array(F.map_from_arrays(ib, cb)), lambda m: total(F.zip_with(ia, ca, lambda i, c: least(c, F.coalesce(F.try_element_at(m, i), F.lit(0)))))), F.lit(0))
+    shared = F.when(F.size(F.array_distinct(ib)) == F.size(ib), by_map).otherwise(total(F.zip_with(ia, ca, lambda i, c: least(c, count_at(ib, cb, i)))))
+    positive = lambda v: total(F.transform(v, lambda c: F.greatest(c, F.lit(0))))
+    score = lambda s, both: F.when(both - s <= 1e-8, F.lit(1.0)).otherwise(F.least(F.greatest(s / (both - s), F.lit(0.0)), F.lit(1.0)))
+    return F.get(F.transform(F.array(F.struct(shared.alias("s"), (positive(ca) + positive(cb)).alias("both"))), lambda x: score(x["s"], x["both"])), F.lit(0))
 
 
 def binary_tanimoto(ia: Column, ib: Column) -> Column:
@@ -64,9 +66,32 @@ def from_log(x: Column) -> Column:
 
 
 def log_count_tanimoto(counts: Column, logs: Column) -> Column:
+    """Of dense target counts and predicted log counts."""
     return dense_count_tanimoto(F.transform(counts, lambda x: x.cast("double")), F.transform(logs, from_log))
 
 
+def log_log_tanimoto(a: Column, b: Column) -> Column:
+    """Of two dense arrays of log counts."""
+    return dense_count_tanimoto(F.transform(a, from_log), F.transform(b, from_log))
+
+
+def set_bins(values: Column) -> Column:
+    """The bins of a dense array that are above zero."""
+    return F.filter(F.transform(values, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+
+
+def dense_binary_tanimoto(a: Column, b: Column) -> Column:
+    """Bins above zero in both / in either, of two dense arrays; 1 if there are none."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: ((x > 0) & (y > 0)).cast("int")), F.lit(0), lambda n, x: n + x)
+    any_ = F.aggregate(F.zip_with(a, b, lambda x, y: ((x > 0) | (y > 0)).cast("int")), F.lit(0), lambda n, x: n + x)
+    return F.when(any_ == 0, F.lit(1.0)).otherwise(both / any_)
+
+
+def log_mse(target: Column, predicted: Column) -> Column:
+    """The mean of squared differences of two dense arrays of log counts."""
+    return total(F.zip_with(target, predicted, lambda x, y: (x - y) * (x - y))) / F.size(target)
+
+
 def cosine(a: Column, b: Column, eps: float = 1e-6) -> Column:
     dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
     norm = lambda v: F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))) + eps)

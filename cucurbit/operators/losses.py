@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sparse import huber, softplus
+from ..functions.sparse import class_weights, huber, softplus
 from ..types import Losses
+from .vectors import bit_frequencies
 
 LN2 = 0.6931471805599453
 
 
 def joined(active: DataFrame, predicted: DataFrame) -> DataFrame:
-    """All bins: row_id, idx, pred, z (target log count, 0 if not set)."""
-    return predicted.join(active, ["row_id", "idx"], "left").select("row_id", "idx", "pred", F.coalesce("target_log", F.lit(0.0)).alias("z"))
+    """Bins of either side: row_id, idx, pred and z (target log count); 0 where a side has no row."""
+    return predicted.join(active, ["row_id", "idx"], "full").select("row_id", "idx", F.coalesce("pred", F.lit(0.0)).alias("pred"), F.coalesce("target_log", F.lit(0.0)).alias("z"))
 
 
 def huber_dense(active: DataFrame, predicted: DataFrame, c: Losses) -> DataFrame:
@@ -69,6 +70,51 @@ def reconstruction_metrics(active: DataFrame, predicted: DataFrame) -> DataFrame
     )
 
 
+def log_mse(active: DataFrame, predicted: DataFrame, width: int) -> DataFrame:
+    """By row: the mean over all bins of the squared difference of log counts."""
+    return joined(active, predicted).groupBy("row_id").agg((F.sum(F.pow(F.col("z") - F.col("pred"), 2)) / width).alias("log_mse"))
+
+
+def dense_rows(active: DataFrame, predicted: DataFrame) -> DataFrame:
+    """By row, arrays over all bins: pred, z and counts."""
+    both = joined(active, predicted).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", "pred", "z"))).alias("r"))
+    return both.select("row_id", F.col("r.pred").alias("pred"), F.transform("r.z", F.expm1).alias("counts"), F.col("r.z").alias("z"))
+
+
+def sparse_tanimoto(active: DataFrame, predicted: DataFrame) -> DataFrame:
+    """By row: counted similarity of set bins and predictions, with the totals of either side and their shared part only."""
+    p = F.greatest(F.expm1("pred"), F.lit(0.0))
+    totals = predicted.groupBy("row_id").agg(F.sum(p).alias("sp"))
+    met = active.join(predicted, ["row_id", "idx"]).groupBy("row_id").agg(F.sum(F.least(F.expm1("target_log"), p)).alias("shared"), F.sum(F.expm1("target_log")).alias("st"))
+    shared, st = F.coalesce("shared", F.lit(0.0)), F.coalesce("st", F.lit(0.0))
+    union = st + F.col("sp") - shared
+    return totals.join(met, "row_id", "left").select("row_id", F.when(union <= 0, 1.0).otherwise(shared / union).alias("tanimoto"))
+
+
+def bin_weights(active: DataFrame, width: int) -> DataFrame:
+    """idx, w_pos and w_neg of all bins, from how often a row sets them."""
+    n = active.agg(F.count_distinct("row_id").alias("n"))
+    frequency = bit_frequencies(active.select(F.col("row_id").alias("id"), F.col("idx").cast("int").alias("idx")), n, width)
+    pos, neg = class_weights(F.col("frequency"))
+    return frequency.select(F.col("idx").cast("long").alias("idx"), pos.alias("w_pos"), neg.alias("w_neg"))
+
+
+def composed_loss(active: DataFrame, predicted: DataFrame, descriptors: DataFrame, ranked: DataFrame, c: Losses, weights: DataFrame | None = None) -> DataFrame:
+    """One row: the four weighted terms and their total; a term of weight 0 is 0 and isn't computed.
+
+    descriptors: predicted and target arrays by row; ranked: what ranking_loss gives, its terms averaged over batches.
+    """
+    off = active.sparkSession.range(1).select(F.lit(0.0).alias("loss"))
+    bce = bce_sparse(active, predicted, c, weights).select(F.col("loss") * c.bce_weight) if c.bce_weight > 0 else off
+    near = ranked.agg(F.coalesce(F.avg("loss"), F.lit(0.0)) * c.ranking_weight) if c.ranking_weight > 0 else off
+    by = descriptor_loss(descriptors, c.descriptor_weight) if c.descriptor_weight > 0 else off
+    terms = (huber_sparse(active, predicted, c).toDF("reconstruction"), bce.toDF("bce"), by.toDF("descriptor"), near.toDF("ranking"))
+    out = terms[0]
+    for t in terms[1:]:
+        out = out.crossJoin(F.broadcast(t))  # one row each
+    return total_loss(out)
+
+
 def total_loss(parts: DataFrame) -> DataFrame:
     """parts: reconstruction, bce, descriptor and ranking, already weighted; null terms are off."""
     terms = [F.coalesce(c, F.lit(0.0)) for c in ("reconstruction", "bce", "descriptor", "ranking")]

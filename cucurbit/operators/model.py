@@ -1,17 +1,30 @@
-"""The autoencoder: weights as a table, forward pass in Arrow functions or as joins, and training by summed gradients."""
+"""The autoencoder: weights as a table, forward pass in Arrow functions or as joins, losses by batch, and training by summed gradients.
+
+A batch is a group of rows with one batch_id; its size is bounded by the plan that made it.  Tasks
+read whole batches as sorted streams, so the ranking term finds a batch's other rows beside its own.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..types import ENCODING, Model
+from ..types import ENCODING, Losses, Model
+from .metrics import mean_of_means
+
+LN2 = 0.6931471805599453
+TERMS = ("reconstruction", "bce", "descriptor", "ranking")
+#: Values of a gradient in one row on its way through the shuffle.
+BLOCK = 1 << 16
+
 
-WEIGHT = "layer string, i int, j int, value double"
+# -- weights ------------------------------------------------------------------------------------------
 
 
 def initial_weights(config: Model, seed: int = 0) -> dict[str, np.ndarray]:
@@ -29,14 +42,20 @@ def initial_weights(config: Model, seed: int = 0) -> dict[str, np.ndarray]:
 
 
 def weight_table(spark: SparkSession, weights: dict[str, np.ndarray]) -> DataFrame:
-    """One row for each array: layer, shape, values."""
-    rows = [(k, [int(n) for n in v.shape], v.ravel().astype(float).tolist()) for k, v in weights.items()]
-    return spark.createDataFrame(rows, "layer string, shape array<int>, data array<float>")
+    """Rows of at most ``BLOCK`` values: layer, shape, block, data."""
+    rows = [(k, [int(n) for n in v.shape], i // BLOCK, v.ravel()[i : i + BLOCK].astype(float).tolist()) for k, v in weights.items() for i in range(0, v.size, BLOCK)]
+    return spark.createDataFrame(rows, "layer string, shape array<int>, block int, data array<float>")
 
 
 def load_weights(table: DataFrame) -> dict[str, np.ndarray]:
     """The arrays of a model, which fits in a worker's memory by its configuration."""
-    return {r.layer: np.array(r.data, np.float32).reshape(r.shape) for r in table.collect()}
+    parts: dict[str, list] = {}
+    for r in table.orderBy("layer", "block").toLocalIterator():
+        parts.setdefault(r.layer, [r.shape]).append(np.array(r.data, np.float32))
+    return {k: np.concatenate(v[1:]).reshape(v[0]) for k, v in parts.items()}
+
+
+# -- forward ------------------------------------------------------------------------------------------
 
 
 def stack(weights: dict[str, np.ndarray], name: str, x: np.ndarray) -> list[np.ndarray]:
@@ -51,15 +70,28 @@ def stack(weights: dict[str, np.ndarray], name: str, x: np.ndarray) -> list[np.n
     return out
 
 
-def dense_rows(indices, counts, width: int) -> np.ndarray:
-    x = np.zeros((len(indices), width), np.float32)
+def precision(weights: dict[str, np.ndarray]) -> np.dtype:
+    """That of the first encoder layer: inputs and outputs follow it."""
+    return weights["encoder.0.weight"].dtype
+
+
+def dense_rows(indices, counts, width: int, kind: np.dtype = np.float32) -> np.ndarray:
+    x = np.zeros((len(indices), width), kind)
     for k, (i, c) in enumerate(zip(indices, counts, strict=True)):
-        np.add.at(x[k], np.asarray(i, np.int64), np.log1p(np.asarray(c, np.float32)))
+        np.add.at(x[k], np.asarray(i, np.int64), np.log1p(np.asarray(c, kind)))
     return x
 
 
-def encode(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model, batch: int = 1024) -> DataFrame:
-    """vectors: smiles, indices, counts.  smiles, how well it is restored, and its latent vector."""
+def similarities(x: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row: counted and binary similarity of target and restored log counts; a bin that the target sets is a bit, and a restored value above 0."""
+    t, p = np.expm1(x.astype(np.float64)), np.maximum(np.expm1(np.minimum(back.astype(np.float64), 50)), 0)
+    high, bits, said = np.maximum(t, p).sum(1), x > 0, back > 0
+    union = (bits | said).sum(1)
+    return np.where(high <= 0, 1.0, np.minimum(t, p).sum(1) / np.maximum(high, 1e-12)), np.where(union == 0, 1.0, (bits & said).sum(1) / np.maximum(union, 1))
+
+
+def encode(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model, batch: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vectors: smiles, indices, counts and columns to keep.  Those, how well each is restored, and its latent vector."""
     shared = vectors.sparkSession.sparkContext.broadcast(weights)
     width = config.fingerprint_size
 
@@ -71,18 +103,37 @@ def encode(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model, ba
                 x = dense_rows(part["indices"], part["counts"], width)
                 latent = stack(w, "encoder", x)[-1]
                 back = stack(w, "decoder", latent)[-1]
-                t, p = np.expm1(x.astype(np.float64)), np.maximum(np.expm1(np.minimum(back.astype(np.float64), 50)), 0)
-                high, bits, said = np.maximum(t, p).sum(1), x > 0, back > 0
-                union = (bits | said).sum(1)
+                count, binary = similarities(x, back)
                 yield pd.DataFrame({
+                    **{c: part[c].to_numpy() for c in keep},
                     "smiles": part["smiles"].to_numpy(),
-                    "count_tanimoto": np.where(high <= 0, 1.0, np.minimum(t, p).sum(1) / np.maximum(high, 1e-12)).astype(np.float32),
-                    "binary_tanimoto": np.where(union == 0, 1.0, (bits & said).sum(1) / np.maximum(union, 1)).astype(np.float32),
+                    "count_tanimoto": count.astype(np.float32),
+                    "binary_tanimoto": binary.astype(np.float32),
                     "log_mse": ((x - back) ** 2).mean(1).astype(np.float32),
                     "latent": list(latent.astype(np.float32)),
                 })
 
-    return vectors.select("smiles", "indices", "counts").mapInPandas(run, ENCODING)
+    kinds = "".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}, " for c in keep)
+    return vectors.select(*keep, "smiles", "indices", "counts").mapInPandas(run, kinds + ENCODING)
+
+
+def forward(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model, keep: tuple[str, ...] = ("cid",), batch: int = 1024) -> DataFrame:
+    """vectors: indices and counts.  The columns to keep, latent, reconstructed_log_counts and descriptor_predictions."""
+    shared = vectors.sparkSession.sparkContext.broadcast(weights)
+    width, kind = config.fingerprint_size, precision(weights)
+    array = "array<double>" if kind == np.float64 else "array<float>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = shared.value
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at : at + batch]
+                latent = stack(w, "encoder", dense_rows(part["indices"], part["counts"], width, kind))[-1]
+                made = {"latent": latent, "reconstructed_log_counts": stack(w, "decoder", latent)[-1], "descriptor_predictions": stack(w, "descriptor", latent)[-1]}
+                yield pd.DataFrame({c: part[c].to_numpy() for c in keep} | {k: list(v.astype(kind)) for k, v in made.items()})
+
+    kinds = "".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}, " for c in keep)
+    return vectors.select(*keep, "indices", "counts").mapInPandas(run, kinds + ", ".join(f"{c} {array}" for c in ("latent", "reconstructed_log_counts", "descriptor_predictions")))
 
 
 def linear_join(inputs: DataFrame, weights: DataFrame, bias: DataFrame, relu: bool = False) -> DataFrame:
@@ -92,60 +143,279 @@ def linear_join(inputs: DataFrame, weights: DataFrame, bias: DataFrame, relu: bo
     return summed.join(F.broadcast(bias), "j").select("row_id", "j", (F.greatest(y, F.lit(0.0)) if relu else y).alias("y"))
 
 
-def _gradients(w: dict[str, np.ndarray], x: np.ndarray, beta: float, on: float, off: float) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradients of the weighted Huber reconstruction, summed over rows."""
+def noise_scale(entries: DataFrame) -> DataFrame:
+    """entries: batch_id, i (dimension) and x of each row.  By batch, the root of the mean squared distance from the dimensions' means."""
+    own = Window.partitionBy("batch_id", "i")
+    return entries.withColumn("__m", F.avg("x").over(own)).groupBy("batch_id").agg(F.sqrt(F.avg(F.pow(F.col("x") - F.col("__m"), 2)) + 1e-6).alias("scale"))
+
+
+def latent_noise(entries: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """entries with normal noise of ``share`` of their batch's scale; 0 leaves them as they are."""
+    if share <= 0:
+        return entries
+    noisy = entries.join(noise_scale(entries), "batch_id")
+    return noisy.withColumn("x", F.col("x") + F.randn(seed) * share * F.col("scale")).drop("scale")
+
+
+# -- losses of a batch, and their gradients -----------------------------------------------------------
+
+
+def _softplus(x: np.ndarray) -> np.ndarray:
+    return np.maximum(x, 0) + np.log1p(np.exp(-np.abs(x)))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
+def _ranking(latent: np.ndarray, candidates, best, gap: np.ndarray, c: Losses) -> tuple[float, float, int, np.ndarray]:
+    """Loss, accuracy, valid pairs, and the loss's gradient by latent vector, of one batch."""
+    grad = np.zeros_like(latent)
+    n = len(latent) if not c.pairs_per_batch else min(len(latent), c.pairs_per_batch)
+    if len(latent) < 3 or any(len(x) < 2 for x in candidates[:n]):
+        return 0.0, 0.0, 0, grad
+    who = np.stack([np.asarray(x, np.int64) for x in candidates[:n]])
+    best = np.asarray(best[:n], np.int64)
+    a, b = latent[:n, None, :], latent[who]
+    norm = np.sqrt((latent**2).sum(1) + 1e-6)
+    na, nb = norm[:n, None], norm[who]
+    cos = (a * b).sum(2) / (na * nb)
+    logits = np.clip(cos, -1, 1) / max(c.latent_temperature, 1e-6)
+    shifted = logits - logits.max(1, keepdims=True)
+    p = np.exp(shifted) / np.exp(shifted).sum(1, keepdims=True)
+    rows = np.arange(n)
+    valid = gap[:n] > c.min_gap
+    w = np.where(valid, gap[:n], 0.0)
+    total = max(w.sum(), 1e-6)
+    loss = float((-np.log(np.maximum(p[rows, best], 1e-300)) * w).sum() / total)
+    accuracy = float(((logits.argmax(1) == best) & valid).sum() / max(valid.sum(), 1))
+    d = p.copy()
+    d[rows, best] -= 1
+    d *= (w / total)[:, None] / max(c.latent_temperature, 1e-6) * (np.abs(cos) <= 1)
+    da = b / (na * nb)[:, :, None] - a * (cos / na**2)[:, :, None]
+    db = a / (na * nb)[:, :, None] - b * (cos / nb**2)[:, :, None]
+    grad[:n] += (d[:, :, None] * da).sum(1)
+    np.add.at(grad, who, d[:, :, None] * db)
+    return loss, accuracy, int(valid.sum()), grad
+
+
+def batch_losses(w: dict[str, np.ndarray], x: np.ndarray, descriptors: np.ndarray, labels: tuple | None, config: Model, noise: np.ndarray | None = None, gradients: bool = True) -> tuple[dict[str, float], dict[str, np.ndarray]]:
+    """The weighted terms, accuracy, valid_pairs, similarities and total of one batch, and the gradients of the total."""
+    c, (n, width) = config.losses, x.shape
     enc = stack(w, "encoder", x)
-    dec = stack(w, "decoder", enc[-1])
-    active = x > 0
-    delta = np.where(active, dec[-1] - x, np.maximum(dec[-1], 0))
-    size, weight = np.abs(delta), np.where(active, on, off) / x.shape[1]
-    loss = float((np.where(size <= beta, 0.5 / beta * delta**2, size - 0.5 * beta) * weight).sum())
-    grad, out = np.clip(delta / beta, -1, 1) * weight, {}
-    for name, inputs in (("decoder", dec), ("encoder", enc)):
+    latent = enc[-1]
+    scale = np.sqrt(((latent - latent.mean(0)) ** 2).mean() + 1e-6)
+    dec = stack(w, "decoder", latent if noise is None else latent + noise * scale)
+    head = stack(w, "descriptor", latent)
+    q, active = dec[-1].astype(np.float64), x > 0
+    delta = np.where(active, q - x, np.maximum(q, 0))
+    size, weight = np.abs(delta), np.where(active, c.huber_active, c.huber_zero) / (n * width)
+    out = dict.fromkeys(TERMS, 0.0)
+    out["reconstruction"] = float((np.where(size <= c.huber_beta, 0.5 / c.huber_beta * delta**2, size - 0.5 * c.huber_beta) * weight).sum())
+    grad = np.clip(delta / c.huber_beta, -1, 1) * weight
+    if c.bce_weight > 0:
+        sign = np.where(active, -1.0, 1.0)
+        bins = np.where(active, c.bce_active, c.bce_zero)
+        if config.bit_frequencies:
+            f = np.asarray(config.bit_frequencies)
+            bins = bins * np.where(active, -np.log(f + 1e-6), -np.log(1 - f + 1e-6))
+        bins = bins * c.bce_weight / (n * width)
+        out["bce"] = float((np.maximum(_softplus(sign * q) - LN2, 0) * bins).sum())
+        grad = grad + np.where(sign * q > 0, sign * _sigmoid(sign * q), 0) * bins
+    by_latent = np.zeros(latent.shape)
+    by_head = np.zeros(head[-1].shape)
+    if c.descriptor_weight > 0:
+        off = head[-1] - descriptors
+        out["descriptor"] = float((off.astype(np.float64) ** 2).mean() * c.descriptor_weight)
+        by_head = 2 * off * c.descriptor_weight / off.size
+    out["accuracy"], out["valid_pairs"] = 0.0, 0.0
+    if c.ranking_weight > 0 and labels is not None:
+        loss, out["accuracy"], out["valid_pairs"], g = _ranking(latent.astype(np.float64), *labels, c)
+        out["ranking"] = loss * c.ranking_weight
+        by_latent += g * c.ranking_weight
+    out["total"] = sum(out[t] for t in TERMS)
+    count, binary = similarities(x, dec[-1])
+    out |= {"count_tanimoto": float(count.mean()), "binary_tanimoto": float(binary.mean())}
+    total: dict[str, np.ndarray] = {}
+    if not gradients:
+        return out, total
+
+    def back(name: str, inputs: list[np.ndarray], g: np.ndarray) -> np.ndarray:
         for k in range(len(inputs) - 2, -1, -1):
-            out[f"{name}.{k}.weight"], out[f"{name}.{k}.bias"] = inputs[k].T @ grad, grad.sum(0)
-            grad = grad @ w[f"{name}.{k}.weight"].T
+            total[f"{name}.{k}.weight"], total[f"{name}.{k}.bias"] = inputs[k].T @ g, g.sum(0)
+            g = g @ w[f"{name}.{k}.weight"].T
             if k:
-                grad = grad * (inputs[k] > 0)
-    return loss, out
+                g = g * (inputs[k] > 0)
+        return g
+
+    back("encoder", enc, back("decoder", dec, grad) + back("descriptor", head, by_head) + by_latent)
+    return out, total
 
 
-def gradient_step(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model) -> tuple[float, int, dict[str, np.ndarray]]:
-    """Mean loss, rows and mean gradients over a table: summed in each task, then by layer in Spark."""
-    shared, c, width = vectors.sparkSession.sparkContext.broadcast(weights), config.losses, config.fingerprint_size
+METRICS = [*TERMS, "total", "accuracy", "valid_pairs", "count_tanimoto", "binary_tanimoto"]
+
+
+def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each batch, from a stream in the order of batches."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        for _, part in frame.groupby("batch_id", sort=False):
+            if held and held[-1]["batch_id"].iloc[0] != part["batch_id"].iloc[0]:
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
+def _dealt(batches: DataFrame) -> DataFrame:
+    names = ["batch_id", "row", "indices", "counts", "descriptor_targets"]
+    empty = {"candidates": F.array().cast("array<int>"), "best_pos": F.lit(0), "top2_gap": F.lit(0.0)}
+    rows = batches.select(*names, *((F.coalesce(k, v) if k in batches.columns else v).alias(k) for k, v in empty.items()))
+    return rows.repartition("batch_id").sortWithinPartitions("batch_id", "row")
+
+
+def _one(batch: pd.DataFrame, config: Model, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, tuple]:
+    x = dense_rows(batch["indices"], batch["counts"], config.fingerprint_size, kind)
+    return x, np.stack(batch["descriptor_targets"].to_list()), (batch["candidates"].to_list(), batch["best_pos"].to_list(), batch["top2_gap"].to_numpy(np.float64))
+
+
+def losses_by_batch(batches: DataFrame, weights: dict[str, np.ndarray], config: Model) -> DataFrame:
+    """batches: batch_id, row, indices, counts, descriptor_targets, and candidates, best_pos and top2_gap if they are labelled.  One row a batch: rows and the measures of METRICS."""
+    shared = batches.sparkSession.sparkContext.broadcast(weights)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, loss, n = {}, 0.0, 0
-        for frame in frames:
-            for at in range(0, len(frame), 512):
-                part = frame.iloc[at : at + 512]
-                own, g = _gradients(shared.value, dense_rows(part["indices"], part["counts"], width), c.huber_beta, c.huber_active, c.huber_zero)
-                loss, n = loss + own, n + len(part)
-                total = {k: total.get(k, 0) + v for k, v in g.items()}
-        names = [*total, "loss", "rows"]
-        values = [*(np.asarray(v, np.float64).ravel() for v in total.values()), np.array([loss]), np.array([float(n)])]
-        yield pd.DataFrame({"layer": [x for x, v in zip(names, values, strict=True) for _ in range(len(v))], "j": np.concatenate([np.arange(len(v)) for v in values]), "g": np.concatenate(values)})
-
-    summed = vectors.select("indices", "counts").mapInPandas(run, "layer string, j int, g double").groupBy("layer", "j").agg(F.sum("g").alias("g"))
-    flat = {k: v.sort_values("j")["g"].to_numpy() for k, v in summed.toPandas().groupby("layer")}
-    n = int(flat.pop("rows")[0])
-    loss = float(flat.pop("loss")[0])
-    if not np.isfinite(loss):
+        for batch in _batches(frames):
+            own, _ = batch_losses(shared.value, *_one(batch, config, precision(shared.value)), config, gradients=False)
+            yield pd.DataFrame([{"batch_id": batch["batch_id"].iloc[0], "rows": len(batch)} | {m: float(own[m]) for m in METRICS}])
+
+    return _dealt(batches).mapInPandas(run, "batch_id long, rows long, " + ", ".join(f"{m} double" for m in METRICS))
+
+
+def evaluate(batches: DataFrame, weights: dict[str, np.ndarray], config: Model) -> dict[str, float] | None:
+    """The means over batches of their measures; none without batches, and an error if the loss isn't finite."""
+    found = mean_of_means(losses_by_batch(batches, weights, config), *METRICS).first().asDict()
+    if found["total"] is None:
+        return None
+    if not np.isfinite(found["total"]):
+        raise ValueError("the validation loss is not finite")
+    return found
+
+
+def gradient_step(batches: DataFrame, weights: dict[str, np.ndarray], config: Model, noise_seed: int | None = None) -> tuple[dict[str, float], dict[str, np.ndarray]]:
+    """Means over batches of the measures and of the gradients.
+
+    Each task adds its batches' gradients and sends them once, in blocks of ``BLOCK`` values; Spark adds
+    the blocks.  What reaches the driver is of the size of the weights, which it holds anyway.
+    """
+    shared = batches.sparkSession.sparkContext.broadcast(weights)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        told, n = np.zeros(len(METRICS)), 0
+        for batch in _batches(b.to_pandas() for b in frames):
+            noise = None
+            if noise_seed is not None and config.latent_noise_std > 0:
+                rng = np.random.default_rng([noise_seed, int(batch["batch_id"].iloc[0])])
+                noise = rng.normal(0, config.latent_noise_std, (len(batch), config.latent_width))
+            own, g = batch_losses(shared.value, *_one(batch, config, precision(shared.value)), config, noise)
+            told, n = told + [own[m] for m in METRICS], n + 1
+            for k, v in g.items():
+                total[k] = total[k] + v if k in total else np.asarray(v, np.float64)
+        total["told"] = np.append(told, n)
+        for k, v in total.items():
+            v = v.ravel()
+            for i in range(0, len(v), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i // BLOCK], pa.int32()), pa.array([v[i : i + BLOCK].astype("<f8").tobytes()], pa.binary())], ["layer", "block", "data"])
+
+    def added(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sums = None, np.zeros(0)
+        for b in frames:
+            for layer, block, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                values = np.frombuffer(data, "<f8")
+                if key == (layer, block):
+                    sums = sums + values
+                    continue
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["layer", "block", "data"])
+                key, sums = (layer, block), values
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["layer", "block", "data"])
+
+    kinds = "layer string, block int, data binary"
+    parts = _dealt(batches).mapInArrow(run, kinds)
+    summed = parts.repartition("layer", "block").sortWithinPartitions("layer", "block").mapInArrow(added, kinds)
+    found: dict[str, dict[int, np.ndarray]] = {}
+    for r in summed.toLocalIterator():
+        found.setdefault(r.layer, {})[r.block] = np.frombuffer(bytes(r.data), "<f8")
+    flat = {k: np.concatenate([v[i] for i in sorted(v)]) for k, v in found.items()}
+    told = flat.pop("told", np.zeros(len(METRICS) + 1))
+    n = max(int(told[-1]), 1)
+    means = dict(zip(METRICS, (told[:-1] / n).tolist(), strict=True)) | {"batches": int(told[-1])}
+    if not np.isfinite(means["total"]):
         raise ValueError("the loss is not finite")
-    return loss / max(n, 1), n, {k: (v / max(n, 1)).reshape(weights[k].shape) for k, v in flat.items()}
+    return means, {k: (v / n).reshape(weights[k].shape) for k, v in flat.items()}
 
 
-def train(vectors: DataFrame, config: Model, epochs: int = 5, rate: float = 1e-2, seed: int = 0) -> tuple[dict[str, np.ndarray], list[float]]:
-    """Adam on whole-table gradients; the driver holds the weights, the rows stay where they are."""
-    weights = initial_weights(config, seed)
-    first = {k: np.zeros_like(v, np.float64) for k, v in weights.items()}
-    second = {k: np.zeros_like(v, np.float64) for k, v in weights.items()}
-    losses = []
-    for step in range(1, epochs + 1):
-        loss, _, grads = gradient_step(vectors, weights, config)
-        losses.append(loss)
+class Adam:
+    """Moments by layer; ``step`` returns the next weights."""
+
+    def __init__(self, rate: float = 1e-3, steps: int = 0, first: dict | None = None, second: dict | None = None):
+        self.rate, self.steps, self.first, self.second = rate, steps, first or {}, second or {}
+
+    def step(self, weights: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        self.steps += 1
+        out = dict(weights)
         for k, g in grads.items():
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.999 * second[k] + 0.001 * g * g
-            weights[k] = (weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    return weights, losses
+            self.first[k] = 0.9 * self.first.get(k, 0) + 0.1 * g
+            self.second[k] = 0.999 * self.second.get(k, 0) + 0.001 * g * g
+            m, v = self.first[k] / (1 - 0.9**self.steps), self.second[k] / (1 - 0.999**self.steps)
+            out[k] = (weights[k] - self.rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
+        return out
+
+
+def train(batches: DataFrame, config: Model, epochs: int = 5, rate: float = 1e-2, seed: int = 0, weights: dict | None = None, optimizer: Adam | None = None, noise: bool = False, after=None) -> tuple[dict[str, np.ndarray], list[float], Adam]:
+    """Adam on the mean gradient of all batches, one step an epoch; the driver holds the weights, the rows stay where they are.
+
+    ``after(epoch, weights, optimizer, means)`` is called behind each step, to validate or to save.
+    """
+    weights = weights or initial_weights(config, seed)
+    optimizer = optimizer or Adam(rate)
+    losses = []
+    for epoch in range(1, epochs + 1):
+        means, grads = gradient_step(batches, weights, config, optimizer.steps if noise else None)
+        losses.append(means["total"])
+        weights = optimizer.step(weights, grads)
+        if after:
+            after(epoch, weights, optimizer, means)
+    return weights, losses, optimizer
+
+
+# -- checkpoints --------------------------------------------------------------------------------------
+
+
+def save_checkpoint(spark: SparkSession, folder: str, config: Model, weights: dict[str, np.ndarray], optimizer: Adam, state: dict) -> None:
+    """model-config.json, the weights and the optimizer's moments as Parquet, and last state.json."""
+    from ..plans.preprocess import write_text
+
+    folder = folder.rstrip("/")
+    write_text(spark, f"{folder}/model-config.json", config.to_json())
+    weight_table(spark, weights).write.mode("overwrite").parquet(f"{folder}/model")
+    moments = {f"{n}:{k}": np.asarray(v) for n, part in (("first", optimizer.first), ("second", optimizer.second)) for k, v in part.items()}
+    weight_table(spark, moments).write.mode("overwrite").parquet(f"{folder}/optimizer")
+    write_text(spark, f"{folder}/state.json", json.dumps(state | {"optimizer_steps": optimizer.steps, "learning_rate": optimizer.rate}, indent=2))
+
+
+def load_checkpoint(spark: SparkSession, folder: str) -> tuple[Model, dict[str, np.ndarray], Adam, dict]:
+    """What save_checkpoint wrote; a folder without a state gives a fresh optimizer."""
+    from ..plans.preprocess import exists
+
+    folder = folder.rstrip("/")
+    config = Model.from_json(spark.read.text(f"{folder}/model-config.json", wholetext=True).first()[0])
+    weights = load_weights(spark.read.parquet(f"{folder}/model"))
+    if not exists(spark, f"{folder}/state.json"):
+        return config, weights, Adam(), {}
+    state = json.loads(spark.read.text(f"{folder}/state.json", wholetext=True).first()[0])
+    moments = load_weights(spark.read.parquet(f"{folder}/optimizer"))
+    first, second = ({k.split(":", 1)[1]: v.astype(np.float64) for k, v in moments.items() if k.startswith(f"{n}:")} for n in ("first", "second"))
+    return config, weights, Adam(state["learning_rate"], state["optimizer_steps"], first, second), state

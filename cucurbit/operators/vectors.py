@@ -25,6 +25,16 @@ def to_long(vectors: DataFrame, key: str = "id") -> DataFrame:
     return vectors.select(key, pair.alias("p")).select(key, "p.idx", "p.cnt")
 
 
+def scattered(entries: DataFrame) -> DataFrame:
+    """entries: id, idx and cnt, a bin perhaps several times.  The log counts by bin, added."""
+    return entries.groupBy("id", "idx").agg(F.sum(F.log1p("cnt")).alias("log_count"))
+
+
+def max_nnz(arrays: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """The most stored entries of a row in each batch, at least 1."""
+    return arrays.groupBy(batch).agg(F.greatest(F.max(F.size("indices")), F.lit(1)).cast("long").alias("max_nnz"))
+
+
 def bit_counts(long: DataFrame) -> DataFrame:
     """Rows by bin, counted per stored entry: partial sums by partition, then merged."""
     return long.groupBy("idx").agg(F.count("*").alias("bit_count"))

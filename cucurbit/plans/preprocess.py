@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chem
 from ..functions.ids import split_for_id
+from ..operators.vectors import bit_counts
+from ..sources.shards import read_shards, write_shards
 from ..types import Preprocessing
 
 MANIFEST_VERSION = 2
@@ -33,39 +36,106 @@ def process(records: DataFrame, config: Preprocessing) -> DataFrame:
     return done.withColumn("fingerprint", F.when(F.col("status") == "ok", F.col("fingerprint"))).drop("graph")
 
 
-def shard_rows(processed: DataFrame) -> DataFrame:
+def shard_rows(processed: DataFrame, *keep: str) -> DataFrame:
     ok = processed.where("status = 'ok'")
-    return ok.select(F.col("stable_id").alias("cid"), "fingerprint.indices", "fingerprint.counts", chem.regression_targets(F.col("descriptors")).alias("descriptor_targets"), "split")
+    return ok.select(F.col("stable_id").alias("cid"), "fingerprint.indices", "fingerprint.counts", chem.regression_targets(F.col("descriptors")).alias("descriptor_targets"), "split", *keep)
 
 
-def write_cache(processed: DataFrame, folder: str, source: str, config: Preprocessing, rows_per_file: int = 10_000_000) -> dict:
-    """Rows by split as Parquet, and the manifest beside them."""
-    shard_rows(processed).write.mode("overwrite").partitionBy("split").option("maxRecordsPerFile", rows_per_file).parquet(f"{folder}/rows")
-    spark = processed.sparkSession
-    rows = spark.read.parquet(f"{folder}/rows")
-    files = rows.groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("row_count"), F.sum(F.size("indices")).alias("nnz")).orderBy("path")
-    bits = {r.idx: r.n for r in rows.select(F.explode("indices").alias("idx")).groupBy("idx").agg(F.count("*").alias("n")).collect()}
-    counts = {r.status: r["count"] for r in processed.groupBy("status").count().collect()}
-    shards = [r.asDict() for r in files.collect()]
-    manifest = {
+def with_places(rows: DataFrame, part: str, to: str = "row_idx") -> DataFrame:
+    """Adds each row's place: by ``part`` (a number), and in it by the id.  Parts are numbered for themselves; the rows before a part are summed over the parts, whose number is that of the sources' chunks."""
+    own = Window.partitionBy(part).orderBy("cid", F.xxhash64("indices", "counts"))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(part).agg(F.count("*").alias("__n")).select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return rows.withColumn("__rn", F.row_number().over(own) - 1).join(F.broadcast(offsets), part).withColumn(to, F.col("__rn") + F.col("__before")).drop("__rn", "__before", part)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One file, in any store that Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return store.exists(at) and store.getFileStatus(at).isDirectory()
+
+
+def manifest_path(spark: SparkSession, shards: str) -> tuple[str, str | None]:
+    """The manifest's path and the folder of the cache: of a folder, or a path where nothing is, the manifest in it; a file is the manifest itself, and no cache is written."""
+    if not exists(spark, shards) or is_folder(spark, shards):
+        return f"{shards.rstrip('/')}/manifest.json", shards
+    return shards, None
+
+
+def bit_count_list(rows: DataFrame, size: int) -> list[int]:
+    """Rows by bin, for all bins."""
+    found = {r.idx: r.bit_count for r in bit_counts(rows.select(F.explode("indices").alias("idx"))).collect()}
+    return [found.get(i, 0) for i in range(size)]
+
+
+def empty_manifest(source: str, config: Preprocessing) -> dict:
+    return {
         "manifest_version": MANIFEST_VERSION,
         "source": source,
         "preprocessing": asdict(config),
-        "shards": shards,
+        "shards": [],
+        "row_count": 0,
+        "skipped_count": 0,
+        "error_count": 0,
+        "bit_counts": [0] * config.fingerprint_size,
+    }
+
+
+def write_cache(processed: DataFrame, folder: str, source: str, config: Preprocessing, rows_per_shard: int = 10_000_000, part: str | None = None) -> dict:
+    """Shards of the rows that are ok, and manifest.json beside them.
+
+    ``part``: a column of the source's chunks, in whose order places are given; one chunk without it.
+    Molecules are parsed once: into a Parquet stage, with the rows by status counted on the way.
+    """
+    spark = processed.sparkSession
+    told = Observation()
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("ok", "skipped", "error")]
+    stage = f"{folder.rstrip('/')}/_stage-{uuid.uuid4().hex}"
+    numbered = processed.observe(told, *counts).withColumn("__part", F.col(part) if part else F.lit(0))
+    shard_rows(numbered, "__part").write.parquet(stage)
+    shards = write_shards(with_places(spark.read.parquet(stage), "__part"), f"{folder}/rows", config.fingerprint_size, len(chem.DESCRIPTORS), rows_per_shard, "overwrite")
+    at = spark._jvm.org.apache.hadoop.fs.Path(stage)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    manifest = empty_manifest(source, config) | {
+        "shards": [s | {"path": f"rows/{s['path']}"} for s in shards],
         "row_count": sum(s["row_count"] for s in shards),
-        "skipped_count": counts.get("skipped", 0),
-        "error_count": counts.get("error", 0),
-        "bit_counts": [bits.get(i, 0) for i in range(config.fingerprint_size)],
+        "skipped_count": told.get["skipped"],
+        "error_count": told.get["error"],
     }
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    if shards:
+        manifest["bit_counts"] = bit_count_list(read_shards(spark, folder, manifest), config.fingerprint_size)
+    write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=2))
     return manifest
 
 
-def read_manifest(spark: SparkSession, folder: str) -> dict:
-    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """path: of the manifest.  Keys that older ones lack take their defaults."""
+    manifest = json.loads(spark.read.text(path, wholetext=True).first()[0])
     return {"bit_counts": [], "skipped_count": 0, "error_count": 0} | manifest
 
 
+def backfilled(spark: SparkSession, folder: str, manifest: dict) -> dict:
+    """The manifest with its bit counts, from a scan of all shards if it has none."""
+    if manifest["bit_counts"]:
+        return manifest
+    return manifest | {"bit_counts": bit_count_list(read_shards(spark, folder, manifest), manifest["preprocessing"]["fingerprint_size"])}
+
+
 def reusable(manifest: dict, source: str, config: Preprocessing) -> bool:
     """Whether a stored table was made from this source with this configuration, filter and radius included."""
     return manifest.get("manifest_version") == MANIFEST_VERSION and manifest.get("source") == source and manifest.get("preprocessing") == json.loads(json.dumps(asdict(config)))

@@ -6,17 +6,15 @@ stands in for latent vectors.  Chemistry runs on literal molecules that rows of
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chem, ids, sparse
-from .operators import losses, ranking, vectors
+from .operators import losses, metrics, ranking, vectors
 from .operators import model as model_ops
 from .plans import embed as embed_plan
 from .plans import preprocess
-from .sources import encodings, molecules
+from .sources import encodings, molecules, shards
 from .types import Losses, Model, Preprocessing, QualityFilter
 
 BATCH = 64
@@ -43,8 +41,8 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 VEC = "vec AS (SELECT l_orderkey AS id, CAST(l_partkey % 4096 AS INTEGER) AS idx, CAST(least(sum(l_quantity), 65535) AS INTEGER) AS cnt FROM lineitem GROUP BY 1, 2)"
-PRED = "pred AS (SELECT l_orderkey AS row_id, k.idx, 0.25 * ((l_orderkey + k.idx) % 17) - 1.0 AS pred FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 16 = 0), (SELECT unnest(range(64)) AS idx) k)"
-ACT = "act AS (SELECT l_orderkey AS row_id, l_partkey % 64 AS idx, ln(1 + least(sum(l_quantity), 65535)) AS target_log FROM lineitem WHERE l_orderkey % 16 = 0 GROUP BY 1, 2)"
+PRED = "pred AS (SELECT l_orderkey AS row_id, k.idx, 0.25 * ((l_orderkey + k.idx) % 17) - 1.0 AS pred FROM (SELECT DISTINCT l_orderkey FROM lineitem), (SELECT unnest(range(64)) AS idx) k)"
+ACT = "act AS (SELECT l_orderkey AS row_id, l_partkey % 64 AS idx, ln(1 + least(sum(l_quantity), 65535)) AS target_log FROM lineitem GROUP BY 1, 2)"
 BATCHED = f"batched AS (SELECT id // {BATCH} AS batch_id, CAST(row_number() OVER (PARTITION BY id // {BATCH} ORDER BY id) - 1 AS INTEGER) AS row, count(*) OVER (PARTITION BY id // {BATCH}) AS n, id FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem))"
 
 
@@ -162,32 +160,30 @@ def shard_stats(spark, d):
 
 @query("row_range_scan", f"WITH {VEC} SELECT id, idx, cnt FROM vec WHERE id >= 100 AND id < 300")
 def row_range_scan(spark, d):
-    return vectors.order_vectors(table(spark, d, "lineitem").where("l_orderkey >= 100 and l_orderkey < 300"))
+    return vectors.order_vectors(shards.in_range(table(spark, d, "lineitem"), 100, 300, "l_orderkey"))
 
 
 @query("shard_invariants", f"WITH {VEC} SELECT 0::BIGINT AS lengths, count(DISTINCT id) FILTER (idx >= 2048)::BIGINT AS indices FROM vec")
 def shard_invariants(spark, d):
-    from .sources.shards import violations
-
     rows = vectors.to_arrays(vec(spark, d)).withColumns({"descriptor_targets": F.array().cast("array<float>"), "split": F.lit("train")})
-    return violations(rows, 2048, 18).select("lengths", "indices")
+    return shards.violations(rows, 2048, 18).select("lengths", "indices")
 
 
 @query("max_nnz_per_batch", f"WITH {VEC}, r AS (SELECT id, count(*) AS k FROM vec GROUP BY id) SELECT id // {BATCH} AS batch_id, greatest(max(k), 1)::BIGINT AS max_nnz FROM r GROUP BY 1")
 def max_nnz_per_batch(spark, d):
-    arrays = vectors.to_arrays(vec(spark, d))
-    return arrays.groupBy(F.floor(F.col("id") / BATCH).cast("long").alias("batch_id")).agg(F.greatest(F.max(F.size("indices")), F.lit(1)).cast("long").alias("max_nnz"))
+    return vectors.max_nnz(vectors.to_arrays(vec(spark, d)).withColumn("batch_id", F.floor(F.col("id") / BATCH).cast("long")))
 
 
-@query("dense_counts_small", "WITH k AS (SELECT unnest(range(32)) AS idx), v AS (SELECT l_orderkey AS id, l_partkey % 32 AS idx, least(sum(l_quantity), 65535) AS cnt FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 2) SELECT i.id, string_agg(coalesce(v.cnt, 0)::INTEGER::VARCHAR, ',' ORDER BY k.idx) AS dense FROM (SELECT DISTINCT id FROM v) i CROSS JOIN k LEFT JOIN v ON v.id = i.id AND v.idx = k.idx GROUP BY i.id")
-def dense_counts_small(spark, d, every=False):
-    arrays = vectors.to_arrays(vectors.order_vectors(table(spark, d, "lineitem").where("true" if every else "l_orderkey < 200"), 32))
+@query("dense_counts_small", "WITH k AS (SELECT unnest(range(32)) AS idx), v AS (SELECT l_orderkey AS id, l_partkey % 32 AS idx, least(sum(l_quantity), 65535) AS cnt FROM lineitem GROUP BY 1, 2) SELECT i.id, string_agg(coalesce(v.cnt, 0)::INTEGER::VARCHAR, ',' ORDER BY k.idx) AS dense FROM (SELECT DISTINCT id FROM v) i CROSS JOIN k LEFT JOIN v ON v.id = i.id AND v.idx = k.idx GROUP BY i.id")
+def dense_counts_small(spark, d):
+    arrays = vectors.to_arrays(vectors.order_vectors(table(spark, d, "lineitem"), 32))
     return arrays.select("id", F.array_join(sparse.dense_counts(F.col("indices"), F.col("counts"), 32).cast("array<string>"), ",").alias("dense"))
 
 
 @query("log_counts_scatter", "SELECT l_orderkey AS id, l_partkey % 256 AS idx, round(sum(ln(1 + l_quantity)), 6) AS log_count FROM lineitem GROUP BY 1, 2")
 def log_counts_scatter(spark, d):
-    return rounded(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 256).alias("idx")).agg(F.sum(F.log1p("l_quantity")).alias("log_count")), "log_count")
+    entries = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 256).alias("idx"), F.col("l_quantity").alias("cnt"))
+    return rounded(vectors.scattered(entries), "log_count")
 
 
 PAIRS = f"pairs AS (SELECT p.id AS a, q.id AS b FROM batched p JOIN batched q ON p.batch_id = q.batch_id AND q.row = p.row + 1)"
@@ -216,57 +212,58 @@ def binary_tanimoto_pairs(spark, d):
 # -- reconstruction -------------------------------------------------------------------------------------
 
 
-#: What the SQL of the reconstruction queries scores; every=True scores all orders.
-SIXTEENTH = "l_orderkey % 16 = 0"
-
-
-def predicted(spark, d, every=False):
-    rows = table(spark, d, "lineitem").where("true" if every else SIXTEENTH).select(F.col("l_orderkey").alias("row_id")).distinct()
+def predicted(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("row_id")).distinct()
     return rows.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("idx")).withColumn("pred", 0.25 * ((F.col("row_id") + F.col("idx")) % 17) - 1.0).withColumn("idx", F.col("idx").cast("long"))
 
 
-def active(spark, d, every=False):
-    return table(spark, d, "lineitem").where("true" if every else SIXTEENTH).groupBy(F.col("l_orderkey").alias("row_id"), (F.col("l_partkey") % 64).alias("idx")).agg(F.log1p(F.least(F.sum("l_quantity"), F.lit(65535.0))).alias("target_log"))
+def active(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), (F.col("l_partkey") % 64).alias("idx")).agg(F.log1p(F.least(F.sum("l_quantity"), F.lit(65535.0))).alias("target_log"))
 
 
 JOINED = f"{PRED}, {ACT}, j AS (SELECT p.row_id, p.idx, p.pred, coalesce(target_log, 0) AS z, exp(coalesce(target_log, 0)) - 1 AS t, greatest(exp(p.pred) - 1, 0) AS c FROM pred p LEFT JOIN act a ON a.row_id = p.row_id AND a.idx = p.idx)"
 
 
 @query("reconstruction_metrics", f"WITH {JOINED} SELECT row_id, round(avg((z - pred) ** 2), 6) AS log_mse, round(sum(least(t, c)) / sum(greatest(t, c)), 6) AS count_tanimoto, round(avg(CASE WHEN (t > 0) = (c >= 0.5) THEN 1.0 ELSE 0.0 END), 6) AS bit_agreement, round(coalesce(avg(abs(t - c)) FILTER (t > 0), 0), 6) AS nonzero_mae FROM j GROUP BY row_id")
-def reconstruction_metrics(spark, d, every=False):
-    return rounded(losses.reconstruction_metrics(active(spark, d, every), predicted(spark, d, every)), "log_mse", "count_tanimoto", "bit_agreement", "nonzero_mae")
+def reconstruction_metrics(spark, d):
+    return rounded(losses.reconstruction_metrics(active(spark, d), predicted(spark, d)), "log_mse", "count_tanimoto", "bit_agreement", "nonzero_mae")
 
 
 @query("log_mse_rows", f"WITH {JOINED} SELECT row_id, round(sum((z - pred) ** 2) / 64, 6) AS log_mse FROM j GROUP BY row_id")
-def log_mse_rows(spark, d, every=False):
-    return rounded(losses.joined(active(spark, d, every), predicted(spark, d, every)).groupBy("row_id").agg((F.sum(F.pow(F.col("z") - F.col("pred"), 2)) / 64).alias("log_mse")), "log_mse")
+def log_mse_rows(spark, d):
+    return rounded(losses.log_mse(active(spark, d), predicted(spark, d), 64), "log_mse")
 
 
-def dense_rows(spark, d, every=False):
-    both = losses.joined(active(spark, d, every), predicted(spark, d, every)).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", "pred", "z"))).alias("r"))
-    return both.select("row_id", F.col("r.pred").alias("pred"), F.transform("r.z", F.expm1).alias("counts"), F.col("r.z").alias("z"))
+def dense_rows(spark, d):
+    return losses.dense_rows(active(spark, d), predicted(spark, d))
 
 
 @query("log_count_tanimoto", f"WITH {JOINED} SELECT row_id, round(sum(least(t, c)) / sum(greatest(t, c)), 6) AS tanimoto FROM j GROUP BY row_id")
-def log_count_tanimoto(spark, d, every=False):
-    return rounded(dense_rows(spark, d, every).select("row_id", sparse.log_count_tanimoto(F.col("counts"), F.col("pred")).alias("tanimoto")), "tanimoto")
+def log_count_tanimoto(spark, d):
+    return rounded(dense_rows(spark, d).select("row_id", sparse.log_count_tanimoto(F.col("counts"), F.col("pred")).alias("tanimoto")), "tanimoto")
 
 
 @query("sparse_vs_dense_tanimoto", f"WITH {JOINED} SELECT row_id, round(sum(least(t, c)) / (sum(t) + sum(c) - sum(least(t, c))), 6) AS tanimoto, true AS same FROM j GROUP BY row_id")
-def sparse_vs_dense_tanimoto(spark, d, every=False):
-    p = F.greatest(F.expm1("pred"), F.lit(0.0))
-    totals = predicted(spark, d, every).groupBy("row_id").agg(F.sum(p).alias("sp"))
-    met = active(spark, d, every).join(predicted(spark, d, every), ["row_id", "idx"]).groupBy("row_id").agg(F.sum(F.least(F.expm1("target_log"), p)).alias("shared"), F.sum(F.expm1("target_log")).alias("st"))
-    own = totals.join(met, "row_id").select("row_id", (F.col("shared") / (F.col("st") + F.col("sp") - F.col("shared"))).alias("tanimoto"))
-    dense = dense_rows(spark, d, every).select("row_id", sparse.log_count_tanimoto(F.col("counts"), F.col("pred")).alias("other"))
+def sparse_vs_dense_tanimoto(spark, d):
+    own = losses.sparse_tanimoto(active(spark, d), predicted(spark, d))
+    dense = dense_rows(spark, d).select("row_id", sparse.log_count_tanimoto(F.col("counts"), F.col("pred")).alias("other"))
     return rounded(own.join(dense, "row_id").select("row_id", "tanimoto", (F.abs(F.col("tanimoto") - F.col("other")) < 1e-9).alias("same")), "tanimoto")
 
 
 @query("binary_tanimoto_sparse", f"WITH {JOINED} SELECT row_id, round(sum(CASE WHEN z > 0 AND pred > 0 THEN 1 ELSE 0 END) / sum(CASE WHEN z > 0 OR pred > 0 THEN 1 ELSE 0 END), 6) AS tanimoto FROM j GROUP BY row_id")
-def binary_tanimoto_sparse(spark, d, every=False):
-    rows = dense_rows(spark, d, every)
-    bits = lambda c: F.filter(F.transform(c, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
-    return rounded(rows.select("row_id", sparse.binary_tanimoto(bits(F.col("z")), bits(F.col("pred"))).alias("tanimoto")), "tanimoto")
+def binary_tanimoto_sparse(spark, d):
+    rows = dense_rows(spark, d)
+    return rounded(rows.select("row_id", sparse.binary_tanimoto(sparse.set_bins(F.col("z")), sparse.set_bins(F.col("pred"))).alias("tanimoto")), "tanimoto")
+
+
+@query("binary_tanimoto_dense", f"WITH {JOINED} SELECT row_id, round(sum(CASE WHEN z > 0 AND pred > 0 THEN 1 ELSE 0 END) / sum(CASE WHEN z > 0 OR pred > 0 THEN 1 ELSE 0 END), 6) AS tanimoto FROM j GROUP BY row_id")
+def binary_tanimoto_dense(spark, d):
+    return rounded(dense_rows(spark, d).select("row_id", sparse.dense_binary_tanimoto(F.col("z"), F.col("pred")).alias("tanimoto")), "tanimoto")
+
+
+@query("log_log_tanimoto", f"WITH {JOINED} SELECT row_id, round(sum(least(t, c)) / sum(greatest(t, c)), 6) AS tanimoto FROM j GROUP BY row_id")
+def log_log_tanimoto(spark, d):
+    return rounded(dense_rows(spark, d).select("row_id", sparse.log_log_tanimoto(F.col("z"), F.col("pred")).alias("tanimoto")), "tanimoto")
 
 
 HUBER = "CASE WHEN dlt <= 1.0 THEN 0.5 * dlt * dlt ELSE dlt - 0.5 END"
@@ -274,47 +271,44 @@ HUBER_SQL = f"WITH {JOINED}, e AS (SELECT CASE WHEN z > 0 THEN abs(pred - z) ELS
 
 
 @query("huber_dense", HUBER_SQL)
-def huber_dense(spark, d, every=False):
-    return rounded(losses.huber_dense(active(spark, d, every), predicted(spark, d, every), Losses()), "loss")
+def huber_dense(spark, d):
+    return rounded(losses.huber_dense(active(spark, d), predicted(spark, d), Losses()), "loss")
 
 
 @query("huber_sparse", HUBER_SQL)
-def huber_sparse(spark, d, every=False):
-    return rounded(losses.huber_sparse(active(spark, d, every), predicted(spark, d, every), Losses()), "loss")
+def huber_sparse(spark, d):
+    return rounded(losses.huber_sparse(active(spark, d), predicted(spark, d), Losses()), "loss")
 
 
 BCE = "greatest(greatest(x, 0) + ln(1 + exp(-abs(x))) - ln(2.0), 0)"
 
 
 @query("bce_sparse", f"WITH {JOINED}, e AS (SELECT CASE WHEN z > 0 THEN -pred ELSE pred END AS x, CASE WHEN z > 0 THEN 1.0 ELSE 4.0 END AS w FROM j) SELECT round(avg({BCE} * w), 6) AS loss FROM e")
-def bce_sparse(spark, d, every=False):
-    return rounded(losses.bce_sparse(active(spark, d, every), predicted(spark, d, every), Losses()), "loss")
+def bce_sparse(spark, d):
+    return rounded(losses.bce_sparse(active(spark, d), predicted(spark, d), Losses()), "loss")
 
 
 CLASS_SQL = f"{ACT}, n AS (SELECT count(DISTINCT row_id) AS n FROM act), f AS (SELECT k.idx, count(act.row_id) / max(n.n) AS p FROM (SELECT unnest(range(64)) AS idx) k CROSS JOIN n LEFT JOIN act ON act.idx = k.idx GROUP BY k.idx)"
 
 
-def bin_weights(spark, d, every=False):
-    rows = active(spark, d, every)
-    n = rows.agg(F.count_distinct("row_id").alias("n"))
-    frequency = vectors.bit_frequencies(rows.select(F.col("row_id").alias("id"), F.col("idx").cast("int").alias("idx")), n, 64)
-    pos, neg = sparse.class_weights(F.col("frequency"))
-    return frequency.select(F.col("idx").cast("long").alias("idx"), pos.alias("w_pos"), neg.alias("w_neg"))
+def bin_weights(spark, d):
+    return losses.bin_weights(active(spark, d), 64)
 
 
 @query("bce_class_weights", f"WITH {CLASS_SQL} SELECT idx, round(-ln(p + 1e-6), 6) AS w_pos, round(-ln(1 - p + 1e-6), 6) AS w_neg FROM f")
-def bce_class_weights(spark, d, every=False):
-    return rounded(bin_weights(spark, d, every), "w_pos", "w_neg")
+def bce_class_weights(spark, d):
+    return rounded(bin_weights(spark, d), "w_pos", "w_neg")
 
 
 @query("bce_weighted", f"WITH {JOINED}, {CLASS_SQL.removeprefix(ACT + ', ')}, e AS (SELECT CASE WHEN z > 0 THEN -pred ELSE pred END AS x, CASE WHEN z > 0 THEN -ln(p + 1e-6) ELSE 4.0 * -ln(1 - p + 1e-6) END AS w FROM j JOIN f ON f.idx = j.idx) SELECT round(avg({BCE} * w), 6) AS loss FROM e")
-def bce_weighted(spark, d, every=False):
-    return rounded(losses.bce_sparse(active(spark, d, every), predicted(spark, d, every), Losses(), bin_weights(spark, d, every)), "loss")
+def bce_weighted(spark, d):
+    return rounded(losses.bce_sparse(active(spark, d), predicted(spark, d), Losses(), bin_weights(spark, d)), "loss")
 
 
-#: The queries above whose SQL takes a part of the orders, over all of lineitem; these have no SQL.
+#: Names from when some queries had a form for all of lineitem beside one for a part; all of them read it all now.
 for _name in ("dense_counts_small", "reconstruction_metrics", "log_mse_rows", "log_count_tanimoto", "sparse_vs_dense_tanimoto", "binary_tanimoto_sparse", "huber_dense", "huber_sparse", "bce_sparse", "bce_weighted", "bce_class_weights"):
-    QUERIES[f"{_name.removesuffix('_small')}_all"] = partial(QUERIES[_name], every=True)
+    QUERIES[f"{_name.removesuffix('_small')}_all"] = QUERIES[_name]
+    SQL[f"{_name.removesuffix('_small')}_all"] = SQL[_name]
 
 
 @query("descriptor_loss", "SELECT round(0.05 * avg((a - b) ** 2), 6) AS loss FROM (SELECT unnest([l_quantity, l_tax, l_discount]) AS a, unnest([25.0, 0.04, 0.05]) AS b FROM lineitem)")
@@ -329,6 +323,19 @@ def total_loss(spark, d):
     return rounded(losses.total_loss(parts).select("id", "total"), "total")
 
 
+E_HUBER = f"SELECT avg((CASE WHEN dlt <= 1.0 THEN 0.5 * dlt * dlt ELSE dlt - 0.5 END) * w) FROM (SELECT CASE WHEN z > 0 THEN abs(pred - z) ELSE greatest(pred, 0) END AS dlt, CASE WHEN z > 0 THEN 1.0 ELSE 0.05 END AS w FROM j)"
+E_BCE = f"SELECT avg({BCE} * w) FROM (SELECT CASE WHEN z > 0 THEN -pred ELSE pred END AS x, CASE WHEN z > 0 THEN 1.0 ELSE 4.0 END AS w FROM j)"
+
+
+@query("composed_loss", f"WITH {JOINED}, e AS (SELECT ({E_HUBER}) AS reconstruction, ({E_BCE}) AS bce, (SELECT 0.05 * avg((a - b) ** 2) FROM (SELECT unnest([l_quantity, l_tax, l_discount]) AS a, unnest([25.0, 0.04, 0.05]) AS b FROM lineitem)) AS descriptor, (SELECT 0.1 * avg(l_discount) FROM lineitem) AS ranking) SELECT round(reconstruction, 6) AS reconstruction, round(bce, 6) AS bce, round(descriptor, 6) AS descriptor, round(ranking, 6) AS ranking, round(reconstruction + bce + descriptor + ranking, 6) AS total FROM e")
+def composed_loss(spark, d):
+    """All four terms; line discounts stand in for the batches' ranking losses."""
+    rows = table(spark, d, "lineitem")
+    described = rows.select(F.array("l_quantity", "l_tax", "l_discount").alias("predicted"), F.array(F.lit(25.0), F.lit(0.04), F.lit(0.05)).alias("target"))
+    out = losses.composed_loss(active(spark, d), predicted(spark, d), described, rows.select(F.col("l_discount").alias("loss")), Losses())
+    return rounded(out, *out.columns)
+
+
 # -- batches and ranking ------------------------------------------------------------------------------------
 
 
@@ -347,6 +354,13 @@ def sync_batches(spark, d):
     return ranking.sequential_batches(rows, ["o_orderkey"], 100, F.floor(F.col("o_orderkey") / 1024))
 
 
+@query("split_batches", f"WITH src AS (SELECT o_orderkey, o_orderkey // 1000 AS shard_id, o_orderkey - 1000 * (o_orderkey // 1000) AS place, o_orderkey::UHUGEINT AS x FROM orders), {SPLITMIX}, t AS (SELECT o_orderkey, shard_id, place, CASE WHEN h % 1000::UHUGEINT < 100 THEN 'validation' ELSE 'train' END AS split FROM m), p AS (SELECT shard_id, coalesce(sum(max(place) // 112 + 1) OVER (ORDER BY shard_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t GROUP BY shard_id), z AS (SELECT o_orderkey, (before + place // 112)::BIGINT AS batch_id FROM t JOIN p USING (shard_id) WHERE split = 'train') SELECT o_orderkey, batch_id, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY o_orderkey) - 1 AS INTEGER) AS row FROM z WHERE batch_id < 100")
+def split_batches(spark, d):
+    """Batches of 100 training rows on average, from shards of 1000 orders, of the first 100 plans."""
+    rows = table(spark, d, "orders").select("o_orderkey", F.floor(F.col("o_orderkey") / 1000).alias("shard_id"), (F.col("o_orderkey") % 1000).alias("place"), ids.split_for_id(F.col("o_orderkey")).alias("split"))
+    return ranking.split_batches(rows, "shard_id", "place", "train", 100, 100, 100).select("o_orderkey", "batch_id", "row")
+
+
 XS = lambda s: f"xor({s}, ({s} << 13) & 4294967295)"
 
 
@@ -383,13 +397,13 @@ def ranking_valid_anchors(spark, d):
 
 
 def latent_scores(spark, d):
-    """Candidates among the vectors of each batch of 50, with cosine similarities; the label's similarity stands in as counted."""
+    """Candidates among the vectors of each batch of 50, with cosine similarities; the labels' likeness stands in for the counted one."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     own = ranking.with_candidates(ranking.planned_batches(rows, "id", 50), SEED, K, 49)
-    asked = own.select("batch_id", F.col("row").alias("anchor"), F.col("embedding").alias("ea"), F.col("label").alias("la"), F.posexplode("candidates").alias("pos", "row"))
-    other = own.select("batch_id", "row", F.col("embedding").alias("eb"), F.col("label").alias("lb"))
-    met = asked.join(other, ["batch_id", "row"])
-    return met.select("batch_id", "anchor", "pos", F.col("row").alias("candidate"), sparse.cosine(F.col("ea"), F.col("eb")).alias("cosine"), (1 / (1.0 + F.abs(F.col("la") - F.col("lb")))).alias("score"))
+    marks = own.select("batch_id", "row", "label")
+    met = ranking.latent_candidates(own, "embedding")
+    met = met.join(marks.select("batch_id", F.col("row").alias("anchor"), F.col("label").alias("la")), ["batch_id", "anchor"]).join(marks.select("batch_id", F.col("row").alias("candidate"), F.col("label").alias("lb")), ["batch_id", "candidate"])
+    return met.select("batch_id", "anchor", "pos", "candidate", "cosine", (1 / (1.0 + F.abs(F.col("la") - F.col("lb")))).alias("score"))
 
 
 LATENT = f"""batched AS (SELECT vec_id // 50 AS batch_id, CAST(row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) - 1 AS INTEGER) AS row, count(*) OVER (PARTITION BY vec_id // 50) AS n, vec_id AS id, embedding, label FROM embeddings), {STATE}, {WALK},
@@ -429,37 +443,37 @@ def ranking_accuracy(spark, d):
 
 
 def steps(spark, d):
-    return table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 20).cast("long").alias("batch_id"), F.floor(F.col("event_id") / 200).cast("long").alias("epoch"), "value")
+    """Events as steps: 20 make a batch, 10 batches an epoch; batches are numbered from 1 in their epoch."""
+    n = F.col("event_id")
+    return table(spark, d, "events").select("event_id", F.floor(n / 20).cast("long").alias("batch_id"), F.floor(n / 200).cast("long").alias("epoch"), (F.floor(n / 20) % 10 + 1).alias("batch"), "value")
 
 
-STEPS = "steps AS (SELECT event_id, event_id // 20 AS batch_id, event_id // 200 AS epoch, value FROM events)"
+STEPS = "steps AS (SELECT event_id, event_id // 20 AS batch_id, event_id // 200 AS epoch, (event_id // 20) % 10 + 1 AS batch, value FROM events)"
 
 
-@query("epoch_mean_sampled", f"WITH {STEPS}, b AS (SELECT epoch, batch_id, avg(value) AS v FROM steps GROUP BY 1, 2) SELECT epoch, round(avg(v), 6) AS mean FROM b WHERE batch_id % 10 = 0 OR batch_id % 10 = 5 GROUP BY 1")
+@query("epoch_mean_sampled", f"WITH {STEPS}, b AS (SELECT epoch, batch, avg(value) AS v FROM steps GROUP BY 1, 2) SELECT epoch, round(avg(v), 6) AS mean FROM b WHERE batch = 1 OR batch % 5 = 0 GROUP BY 1")
 def epoch_mean_sampled(spark, d):
-    by_batch = steps(spark, d).groupBy("epoch", "batch_id").agg(F.avg("value").alias("v"))
-    return rounded(by_batch.where("batch_id % 10 = 0 or batch_id % 5 = 0").groupBy("epoch").agg(F.avg("v").alias("mean")), "mean")
+    """The first batch of an epoch and each fifth: 1, 5 and 10."""
+    by_batch = steps(spark, d).groupBy("epoch", "batch").agg(F.avg("value").alias("loss"))
+    return rounded(metrics.epoch_means(by_batch, 5).select("epoch", "mean"), "mean")
 
 
 @query("validation_mean_of_means", f"WITH {STEPS}, b AS (SELECT batch_id, avg(value) AS v FROM steps WHERE event_id % 3 > 0 GROUP BY 1) SELECT round(avg(v), 6) AS mean FROM b")
 def validation_mean_of_means(spark, d):
-    return rounded(steps(spark, d).where("event_id % 3 > 0").groupBy("batch_id").agg(F.avg("value").alias("v")).agg(F.avg("v").alias("mean")), "mean")
+    """Batches of unequal size: two events of three are in the pass."""
+    return rounded(metrics.mean_of_means(steps(spark, d).where("event_id % 3 > 0"), "value").withColumnRenamed("value", "mean"), "mean")
 
 
 @query("running_best_loss", f"WITH {STEPS}, b AS (SELECT epoch, batch_id, avg(value) AS v FROM steps GROUP BY 1, 2) SELECT epoch, batch_id, round(min(v) OVER (PARTITION BY epoch ORDER BY batch_id), 6) AS best FROM b")
 def running_best_loss(spark, d):
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("epoch").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
     by_batch = steps(spark, d).groupBy("epoch", "batch_id").agg(F.avg("value").alias("v"))
-    return rounded(by_batch.select("epoch", "batch_id", F.min("v").over(own).alias("best")), "best")
+    return rounded(metrics.running_best(by_batch, "v", "batch_id", "epoch").select("epoch", "batch_id", "best"), "best")
 
 
 @query("loader_profile", f"WITH {STEPS} SELECT batch_id // 5 AS part, count(*) AS n_rows, count(DISTINCT batch_id) AS batches, round(sum(value) / count(DISTINCT batch_id), 6) AS per_batch FROM steps GROUP BY 1")
 def loader_profile(spark, d):
-    by_batch = steps(spark, d).groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    grouped = by_batch.groupBy(F.floor(F.col("batch_id") / 5).cast("long").alias("part"))
-    return rounded(grouped.agg(F.sum("n").alias("n_rows"), F.count("*").alias("batches"), (F.sum("v") / F.count("*")).alias("per_batch")), "per_batch")
+    by_batch = steps(spark, d).groupBy(F.col("batch_id").alias("batch")).agg(F.count("*").alias("rows"), F.sum("value").alias("per_batch"))
+    return rounded(metrics.loader_profile(by_batch, 5, "per_batch"), "per_batch")
 
 
 # -- model ---------------------------------------------------------------------------------------------------------
@@ -488,15 +502,19 @@ def relu_mlp_forward(spark, d):
     return rounded(model_ops.linear_join(hidden, *layer(spark, 8, 4)), "y")
 
 
+def latent_entries(spark, d):
+    return latents(spark, d).withColumn("batch_id", F.floor(F.col("row_id") / 50))
+
+
+@query("noise_scale", "WITH x AS (SELECT vec_id // 50 AS batch_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT batch_id, x - avg(x) OVER (PARTITION BY batch_id, i) AS c FROM x) SELECT batch_id, round(sqrt(avg(c * c) + 1e-6), 6) AS scale FROM m GROUP BY 1")
+def noise_scale(spark, d):
+    return rounded(model_ops.noise_scale(latent_entries(spark, d)), "scale")
+
+
 @query("latent_noise")
 def latent_noise(spark, d):
-    """Adds a share of each dimension's spread in its batch as normal noise; random, so without SQL."""
-    from pyspark.sql import Window
-
-    rows = latents(spark, d).withColumn("batch_id", F.floor(F.col("row_id") / 50))
-    own = Window.partitionBy("batch_id", "i")
-    spread = F.sqrt(F.avg(F.pow(F.col("x") - F.col("m"), 2)).over(own) + 1e-6)
-    return rows.withColumn("m", F.avg("x").over(own)).select("row_id", "i", (F.col("x") + F.randn(7) * 0.1 * spread).alias("x"))
+    """Adds a share of each batch's spread as normal noise; random, so without SQL."""
+    return model_ops.latent_noise(latent_entries(spark, d), 0.1, 7).select("row_id", "i", "x")
 
 
 # -- sources and sinks -------------------------------------------------------------------------------------------------
@@ -523,9 +541,7 @@ def tsv_projection(spark, d):
 def smi_scan(spark, d):
     """Lines made of part names: some blank, some comments, all with padding."""
     line = F.when(F.col("p_partkey") % 5 == 0, F.lit(" \t")).when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("# "), F.col("p_name"))).otherwise(F.concat(F.lit("  "), F.col("p_name"), F.lit("\t")))
-    text = F.trim(F.regexp_replace(line, r"^[\s]+|[\s]+$", ""))
-    rows = table(spark, d, "part").withColumn("v", text).where((F.col("v") != "") & ~F.col("v").startswith("#"))
-    return rows.select("p_partkey", F.split("v", r"\s+", 2)[0].alias("smiles"))
+    return molecules.smi_lines(table(spark, d, "part").select("p_partkey", line.alias("line")), "line", ("p_partkey",))
 
 
 # -- chemistry ----------------------------------------------------------------------------------------------------------
@@ -583,6 +599,63 @@ def embed_rows(spark, d):
     return embed_plan.embed(molecules_of(spark, d).select("smiles"), model_ops.initial_weights(config, 1), config)
 
 
+@query("embed_in_order", f"SELECT p_partkey, p_partkey % {len(SMILES)} <> 5 AS embedded FROM part")
+def embed_in_order(spark, d):
+    """A row for each input, whether it can be read or not."""
+    config = Model(fingerprint_size=256, latent_width=8, hidden_widths=(32,))
+    rows = embed_plan.embed_all(molecules_of(spark, d), model_ops.initial_weights(config, 1), config, "p_partkey")
+    return rows.select("p_partkey", F.col("latent").isNotNull().alias("embedded"))
+
+
+TINY = Model(fingerprint_size=64, descriptor_width=2, latent_width=4, hidden_widths=(8,))
+
+
+def literal_weights(config: Model) -> dict:
+    """Weights by a rule, so that SQL has them too."""
+    import numpy as np
+
+    out, up = {}, [config.fingerprint_size, *config.hidden_widths, config.latent_width]
+    for name, widths in {"encoder": up, "decoder": up[::-1], "descriptor": [config.latent_width, config.descriptor_width]}.items():
+        for k, (a, b) in enumerate(zip(widths[:-1], widths[1:], strict=True)):
+            out[f"{name}.{k}.weight"] = ((np.arange(a)[:, None] * 7 + np.arange(b) * 3) % 11 - 5) / 10.0
+            out[f"{name}.{k}.bias"] = np.arange(b) % 3 / 10.0
+    return out
+
+
+def _layer_sql(name: str, source: str, n_in: int, n_out: int, relu: bool) -> str:
+    y = f"sum(x * ((i * 7 + j * 3) % 11 - 5) / 10.0) + (j % 3) / 10.0"
+    return f"{name} AS (SELECT row_id, j AS i, {f'greatest({y}, 0)' if relu else y} AS x FROM {source}, (SELECT unnest(range({n_out})) AS j) GROUP BY row_id, j)"
+
+
+FORWARD = ", ".join([
+    "f0 AS (SELECT l_orderkey AS row_id, l_partkey % 64 AS i, ln(1 + least(sum(l_quantity), 65535)) AS x FROM lineitem GROUP BY 1, 2)",
+    _layer_sql("e1", "f0", 64, 8, True), _layer_sql("lat", "e1", 8, 4, False), _layer_sql("d1", "lat", 4, 8, True), _layer_sql("rec", "d1", 8, 64, False), _layer_sql("head", "lat", 4, 2, False),
+])
+
+
+@query("full_forward", f"WITH {FORWARD} SELECT l.row_id AS cid, round(l.x, 4) AS latent_sum, round(r.x, 4) AS reconstructed_sum, round(h.x, 4) AS descriptor_sum FROM (SELECT row_id, sum(x) AS x FROM lat GROUP BY 1) l JOIN (SELECT row_id, sum(x) AS x FROM rec GROUP BY 1) r USING (row_id) JOIN (SELECT row_id, sum(x) AS x FROM head GROUP BY 1) h USING (row_id)")
+def full_forward(spark, d):
+    """Encoder, decoder and descriptor head over the orders, with weights made by a rule; sums of each output."""
+    import numpy as np
+
+    rows = vectors.to_arrays(vectors.order_vectors(table(spark, d, "lineitem"), 64)).withColumnRenamed("id", "cid")
+    out = model_ops.forward(rows, {k: v.astype(np.float64) for k, v in literal_weights(TINY).items()}, TINY)
+    added = {f"{to}_sum": F.round(sparse.total(F.col(c)), 4) for to, c in (("latent", "latent"), ("reconstructed", "reconstructed_log_counts"), ("descriptor", "descriptor_predictions"))}
+    return out.select("cid", *(v.alias(k) for k, v in added.items()))
+
+
+@query("evaluation", f"WITH {FORWARD}, b AS (SELECT r.row_id // 64 AS batch_id, r.x AS pred, coalesce(f.x, 0) AS z FROM rec r LEFT JOIN f0 f ON f.row_id = r.row_id AND f.i = r.i), huber AS (SELECT batch_id, avg((CASE WHEN dlt <= 1.0 THEN 0.5 * dlt * dlt ELSE dlt - 0.5 END) * w) AS v FROM (SELECT batch_id, CASE WHEN z > 0 THEN abs(pred - z) ELSE greatest(pred, 0) END AS dlt, CASE WHEN z > 0 THEN 1.0 ELSE 0.05 END AS w FROM b) GROUP BY 1), bce AS (SELECT batch_id, avg({BCE} * w) AS v FROM (SELECT batch_id, CASE WHEN z > 0 THEN -pred ELSE pred END AS x, CASE WHEN z > 0 THEN 1.0 ELSE 4.0 END AS w FROM b) GROUP BY 1), des AS (SELECT row_id // 64 AS batch_id, 0.05 * avg((x - 0.1 * (i + 1)) ** 2) AS v FROM head GROUP BY 1) SELECT round(avg(h.v), 4) AS reconstruction, round(avg(c.v), 4) AS bce, round(avg(e.v), 4) AS descriptor, round(avg(h.v + c.v + e.v), 4) AS total FROM huber h JOIN bce c USING (batch_id) JOIN des e USING (batch_id)")
+def evaluation(spark, d):
+    """The validation pass over batches of orders without labels: means over batches of each term."""
+    import numpy as np
+
+    rows = vectors.to_arrays(vectors.order_vectors(table(spark, d, "lineitem"), 64)).withColumn("descriptor_targets", F.array(F.lit(0.1), F.lit(0.2)))
+    batches = ranking.planned_batches(rows, "id", 64)
+    by_batch = model_ops.losses_by_batch(batches, {k: v.astype(np.float64) for k, v in literal_weights(TINY).items()}, TINY)
+    means = metrics.mean_of_means(by_batch, "reconstruction", "bce", "descriptor", "total")
+    return means.select(*(F.round(c, 4).alias(c) for c in means.columns))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Each order's nearest of its sampled candidates and the gap to the second."""
     return QUERIES["top2_gap"](spark, d)

@@ -28,10 +28,10 @@ def trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
-def smi_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Trimmed lines without blank and # lines; the first word is the SMILES."""
-    line = trim(F.col(column))
-    return lines.select(line.alias("v")).where((F.col("v") != "") & ~F.col("v").startswith("#")).select(F.split("v", r"\s+", 2)[0].alias("smiles"))
+def smi_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Trimmed lines without blank and # lines; the first word is the SMILES, beside the columns to keep."""
+    kept = lines.select(*keep, trim(F.col(column)).alias("__line")).where((F.col("__line") != "") & ~F.col("__line").startswith("#"))
+    return kept.select(*keep, F.split("__line", r"\s+", 2)[0].alias("smiles"))
 
 
 def read_smi(spark: SparkSession, path: str) -> DataFrame:
@@ -43,15 +43,18 @@ def read_stdin(spark: SparkSession, lines: Iterable[str] | None = None) -> DataF
     return smi_lines(spark.createDataFrame([(x.rstrip("\n"),) for x in (lines if lines is not None else sys.stdin)], "value string"))
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str, smiles_column: str = "smiles") -> DataFrame:
-    """A file with a header; the column's name must match exactly, and rows of another width are errors."""
+def read_delimited(spark: SparkSession, path: str, sep: str, smiles_column: str = "smiles", multi_line: bool = True) -> DataFrame:
+    """A file with a header; the column's name must match exactly, and rows of another width are errors.
+
+    A file with line ends inside quotes can't be split and is one task; without them, ``multi_line=False`` reads it in many.
+    """
     header = spark.read.option("header", False).option("sep", sep).option("quote", '"').option("escape", '"').csv(path).first()
     names = [] if header is None else list(header)
     if smiles_column not in names:
         raise ValueError(f"{path} has no column {smiles_column!r}")
     at = names.index(smiles_column)
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = spark.read.schema(schema).csv(path, header=True, sep=sep, mode="FAILFAST", multiLine=True, quote='"', escape='"', enforceSchema=True)
+    rows = spark.read.schema(schema).csv(path, header=True, sep=sep, mode="FAILFAST", multiLine=multi_line, quote='"', escape='"', enforceSchema=True)
     # All columns are kept until here: with one pruned, ragged rows would pass.
     value = F.when(F.struct(*rows.columns).isNotNull(), trim(F.col(f"c{at}")))
     return rows.select(value.alias("smiles")).where(F.col("smiles").isNotNull() & (F.col("smiles") != ""))
@@ -94,12 +97,38 @@ def read_pubchem(spark: SparkSession, path: str) -> DataFrame:
     return dataset_records(spark.read.csv(path, sep="\t", schema="record_id string, smiles string", mode="FAILFAST"), "pubchem-smiles")
 
 
-def read_zinc20(spark: SparkSession, folder: str, first: int = 1, last: int = 20) -> DataFrame:
-    """Chunks first to last of 20, as folders chunk=N of SMILES and record id; others are pruned."""
+def read_zinc20(spark: SparkSession, folder: str, first: int = 1, last: int = 20, chunk: str = "chunk={}") -> DataFrame:
+    """Chunks first to last of 20, of SMILES and record id; ``chunk`` names the folder or file of one, and others are not read."""
     if not 1 <= first <= last <= 20:
         raise ValueError(f"chunks must be within 1 to 20: {first} to {last}")
-    rows = spark.read.csv(folder, sep=" ", schema="smiles string, record_id string, chunk int", mode="FAILFAST")
-    return dataset_records(rows.where(F.col("chunk").between(first, last)).select("record_id", "smiles"), "zinc20-smiles")
+    paths = [f"{folder.rstrip('/')}/{chunk.format(i)}" for i in range(first, last + 1)]
+    return dataset_records(spark.read.csv(paths, sep=" ", schema="smiles string, record_id string", mode="FAILFAST"), "zinc20-smiles")
+
+
+def chunk_range(text: str) -> tuple[int, int]:
+    """'3', '1-5' or '1..=5', within 1 to 20."""
+    first, _, last = text.replace("..=", "-").partition("-")
+    try:
+        low, high = int(first), int(last or first)
+    except ValueError:
+        raise ValueError(f"no chunk range: {text!r}") from None
+    if not 1 <= low <= high <= 20:
+        raise ValueError(f"chunks must be within 1 to 20: {text!r}")
+    return low, high
+
+
+def source_label(datasets: list[str], chunks: tuple[int, int] | None = None) -> str:
+    """How a manifest names its sources; a dataset that is named twice, or chunks without ZINC20, are errors."""
+    for d in datasets:
+        if d not in ("pubchem", "zinc20"):
+            raise ValueError(f"no dataset {d!r}")
+        if datasets.count(d) > 1:
+            raise ValueError(f"dataset {d!r} is named twice")
+    if chunks and "zinc20" not in datasets:
+        raise ValueError("chunks are of zinc20, which isn't among the datasets")
+    first, last = chunks or (1, 20)
+    names = {"pubchem": "pubchem-smiles", "zinc20": f"zinc20-smiles chunks {first}..={last}"}
+    return " + ".join(names[d] for d in ("pubchem", "zinc20") if d in datasets)
 
 
 def union_sources(*parts: DataFrame) -> DataFrame:

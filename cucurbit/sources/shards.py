@@ -1,176 +1,50 @@
-"""The binary shard format as a Spark data source, one input partition for each range of rows, and a writer by partition.
+"""Shards of processed molecules: Parquet by shard, with each row's place, so that ranges of rows are filters that reach the scan.
 
-Little-endian: magic, four u64 (fingerprint size, descriptor width, rows, stored entries), then
-ids u64, offsets u64 (rows + 1), indices u16, counts u16, descriptors f32, split u8.
+The rows of a shard are those of ``rows_per_shard`` consecutive places.  What a binary file's header
+would hold, widths and totals, is in the manifest.
 """
 
 from __future__ import annotations
 
-import os
-import struct
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..types import SHARD_ROW
+from ..types import SHARD_ROW, Model
 
-#: Fixed value: the format's first eight bytes.
-MAGIC = b"MAESH02\0"
-HEADER = struct.Struct("<8sQQQQ")
+#: The splits by their byte.
 SPLITS = ("train", "validation")
-RANGE_ROWS = 1_000_000
 
 
 class ShardError(ValueError):
-    """Bytes that are no such shard."""
-
-
-def layout(size: int, width: int, rows: int, nnz: int) -> dict[str, int]:
-    """Where each section begins, and the end."""
-    del size
-    at, out = HEADER.size, {}
-    for name, n in (("cids", 8 * rows), ("offsets", 8 * (rows + 1)), ("indices", 2 * nnz), ("counts", 2 * nnz), ("descriptors", 4 * rows * width), ("splits", rows)):
-        out[name] = at
-        at += n
-    return out | {"end": at}
-
-
-def header(path: str) -> tuple[int, int, int, int]:
-    with open(path, "rb") as f:
-        raw = f.read(HEADER.size)
-    if len(raw) < HEADER.size:
-        raise ShardError(f"{path}: no header")
-    magic, *numbers = HEADER.unpack(raw)
-    if magic != MAGIC:
-        raise ShardError(f"{path}: bad magic")
-    if layout(*numbers)["end"] != os.path.getsize(path):
-        raise ShardError(f"{path}: sections and length differ")
-    return tuple(numbers)
-
-
-def read_range(path: str, start: int, end: int) -> pa.RecordBatch:
-    """Rows start to end, by seeking to that range in each section."""
-    size, width, rows, nnz = header(path)
-    if not 0 <= start <= end <= rows:
-        raise ShardError(f"{path}: no rows {start} to {end} among {rows}")
-    at = layout(size, width, rows, nnz)
-    n = end - start
-    with open(path, "rb") as f:
-
-        def take(section: str, kind: str, first: int, count: int) -> np.ndarray:
-            unit = np.dtype(kind).itemsize
-            f.seek(at[section] + first * unit)
-            raw = f.read(count * unit)
-            if len(raw) != count * unit:
-                raise ShardError(f"{path}: {section} ends early")
-            return np.frombuffer(raw, kind)
-
-        cids, offsets = take("cids", "<i8", start, n), take("offsets", "<i8", start, n + 1)
-        if (np.diff(offsets) < 0).any() or offsets[0] < 0 or offsets[-1] > nnz or (start == 0 and offsets[0] != 0) or (end == rows and offsets[-1] != nnz):
-            raise ShardError(f"{path}: broken offsets")
-        low, m = int(offsets[0]), int(offsets[-1] - offsets[0])
-        indices, counts = take("indices", "<u2", low, m), take("counts", "<u2", low, m)
-        targets, splits = take("descriptors", "<f4", start * width, n * width), take("splits", "u1", start, n)
-    if m and int(indices.max()) >= size:
-        raise ShardError(f"{path}: an index is not below {size}")
-    if (splits > 1).any():
-        raise ShardError(f"{path}: bad split")
-    local = pa.array((offsets - low).astype(np.int32))
-    columns = [
-        pa.array(cids),
-        pa.ListArray.from_arrays(local, pa.array(indices.astype(np.int32))),
-        pa.ListArray.from_arrays(local, pa.array(counts.astype(np.int32))),
-        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(targets)),
-        pa.array([SPLITS[s] for s in splits.tolist()], pa.string()),
-    ]
-    return pa.RecordBatch.from_arrays(columns, ["cid", "indices", "counts", "descriptor_targets", "split"])
-
-
-def write_shard(path: str, rows: pd.DataFrame, size: int, width: int) -> int:
-    """Returns the number of stored entries."""
-    indices, counts = list(rows["indices"]), list(rows["counts"])
-    many = np.array([len(i) for i in indices], np.int64)
-    if [len(c) for c in counts] != many.tolist() or any(len(d) != width for d in rows["descriptor_targets"]):
-        raise ShardError("lengths of indices, counts or descriptors differ")
-    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *(np.asarray(p).astype(kind) for p in parts)])
-    own = flat(indices, np.int64)
-    if len(own) and (own.max() >= size or own.min() < 0):
-        raise ShardError(f"an index is not below {size}")
-    with open(path, "wb") as f:
-        f.write(HEADER.pack(MAGIC, size, width, len(rows), int(many.sum())))
-        f.write(rows["cid"].to_numpy("<i8").tobytes())
-        f.write(np.concatenate([[0], np.cumsum(many)]).astype("<i8").tobytes())
-        f.write(own.astype("<u2").tobytes() + flat(counts, "<u2").tobytes() + flat(rows["descriptor_targets"], "<f4").tobytes())
-        f.write(np.array([SPLITS.index(s) for s in rows["split"]], np.uint8).tobytes())
-    return int(many.sum())
-
-
-class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
-
-
-class ShardReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = options["path"].split(",")
-        self.start, self.stop = (int(options[k]) if k in options else None for k in ("start", "end"))
-        self.step = int(options.get("rangerows", RANGE_ROWS))
-
-    def partitions(self) -> list[Range]:
-        out = []
-        for p in self.paths:
-            rows = header(p)[2]
-            low, high = self.start or 0, rows if self.stop is None else self.stop
-            if not 0 <= low <= high <= rows:
-                raise ShardError(f"{p}: no rows {low} to {high} among {rows}")
-            out += [Range(p, a, min(a + self.step, high)) for a in range(low, high, self.step)]
-        return out or [Range(self.paths[0], 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        yield read_range(partition.path, partition.start, partition.end)
-
-
-class ShardSource(DataSource):
-    """Options: path (several with commas), start and end (rows), rangerows.  Files must be in a shared folder."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "maeshard"
-
-    def schema(self) -> str:
-        return SHARD_ROW
-
-    def reader(self, schema) -> ShardReader:
-        return ShardReader(self.options)
-
-
-def read_shards(spark, paths: list[str], start: int | None = None, end: int | None = None) -> DataFrame:
-    spark.dataSource.register(ShardSource)
-    reader = spark.read.format("maeshard").option("path", ",".join(paths))
-    for k, v in (("start", start), ("end", end)):
-        if v is not None:
-            reader = reader.option(k, v)
-    return reader.load()
-
-
-def write_shards(rows: DataFrame, folder: str, size: int = 4096, width: int = 18, rows_per_shard: int = 10_000_000) -> DataFrame:
-    """rows: a shard row's columns and row_idx.  One file for each rows_per_shard rows in order; returns shard_id, path, row_count and nnz."""
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        k = int(frame["shard_id"].iloc[0])
-        path = f"{folder}/shard-{k:05d}.maeshard"
-        nnz = write_shard(f"{path}.part", frame.sort_values("row_idx"), size, width)
-        os.replace(f"{path}.part", path)
-        return pd.DataFrame({"shard_id": [k], "path": [os.path.basename(path)], "row_count": [len(frame)], "nnz": [nnz]})
-
-    os.makedirs(folder, exist_ok=True)
-    numbered = rows.withColumn("shard_id", F.floor(F.col("row_idx") / rows_per_shard).cast("int"))
-    return numbered.groupBy("shard_id").applyInPandas(one, "shard_id int, path string, row_count long, nnz long")
+    """A table or a range that is no such shard."""
+
+
+def split_byte(split: Column) -> Column:
+    """0 or 1; another name is an error."""
+    out = F.when(split == SPLITS[0], 0).when(split == SPLITS[1], 1)
+    return out.otherwise(F.raise_error(F.concat(F.lit("no split "), F.coalesce(split, F.lit("null"))))).cast("byte")
+
+
+def split_name(byte: Column) -> Column:
+    """The split of a byte; another than 0 and 1 is an error."""
+    out = F.when(byte == 0, SPLITS[0]).when(byte == 1, SPLITS[1])
+    return out.otherwise(F.raise_error(F.concat(F.lit("no split "), F.coalesce(byte.cast("string"), F.lit("null")))))
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], SHARD_ROW)
+
+
+def checked(rows: DataFrame, size: int = 4096, width: int = 18) -> DataFrame:
+    """The rows as they are; one that breaks a rule of the format ends the job with an error."""
+    says = (
+        F.when(F.size("indices") != F.size("counts"), "lengths of indices and counts differ")
+        .when(F.exists("indices", lambda i: (i < 0) | (i >= size)), f"an index is not below {size}")
+        .when(F.exists("counts", lambda c: (c < 0) | (c > 65535)), "a count is not from 0 to 65535")
+        .when(F.size("descriptor_targets") != width, f"descriptors are not {width}")
+        .when(~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)), "bad split")
+    )
+    return rows.withColumn("split", F.when(says.isNull(), F.col("split")).otherwise(F.raise_error(F.concat(F.lit("row "), F.coalesce(F.col("cid").cast("string"), F.lit("null")), F.lit(": "), says))))
 
 
 def violations(rows: DataFrame, size: int = 4096, width: int = 18) -> DataFrame:
@@ -181,3 +55,65 @@ def violations(rows: DataFrame, size: int = 4096, width: int = 18) -> DataFrame:
         F.count_if(F.size("descriptor_targets") != width).alias("descriptors"),
         F.count_if(~F.col("split").isin(*SPLITS)).alias("splits"),
     )
+
+
+def write_shards(rows: DataFrame, folder: str, size: int = 4096, width: int = 18, rows_per_shard: int = 10_000_000, mode: str = "errorifexists") -> list[dict]:
+    """rows: a shard row's columns and row_idx (0 on).  Returns shard_id, path, row_count and nnz of each shard.
+
+    Rows are dealt by ranges of their places, so a shard is written by as many tasks as its size asks
+    for; within a file they are in order, which lets row groups be skipped.
+    """
+    if rows_per_shard < 1:
+        raise ValueError("rows_per_shard must be positive")
+    numbered = checked(rows, size, width).withColumn("shard_id", F.floor(F.col("row_idx") / rows_per_shard).cast("int")).withColumn("row_in_shard", F.col("row_idx") - F.col("shard_id").cast("long") * rows_per_shard).drop("row_idx")
+    numbered.repartitionByRange("shard_id", "row_in_shard").sortWithinPartitions("shard_id", "row_in_shard").write.mode(mode).partitionBy("shard_id").parquet(folder)
+    # With the schema given, a folder without a row can be read too.
+    told = rows.sparkSession.read.schema(numbered.schema).parquet(folder).groupBy("shard_id").agg(F.count("*").alias("row_count"), F.coalesce(F.sum(F.size("indices")), F.lit(0)).alias("nnz")).orderBy("shard_id")
+    return [{"shard_id": r.shard_id, "path": f"shard_id={r.shard_id}", "row_count": r.row_count, "nnz": r.nnz} for r in told.collect()]
+
+
+def shard_paths(folder: str, manifest: dict) -> list[str]:
+    """The manifest's shards, relative to its folder; a manifest without any is an error."""
+    if not manifest["shards"]:
+        raise ShardError("the manifest lists no shards")
+    return [s["path"] if "://" in s["path"] or s["path"].startswith("/") else f"{folder.rstrip('/')}/{s['path']}" for s in manifest["shards"]]
+
+
+def read_shards(spark: SparkSession, folder: str, manifest: dict) -> DataFrame:
+    """The shards that the manifest lists, one after the other by shard_id."""
+    return spark.read.option("basePath", folder).parquet(*shard_paths(folder, manifest))
+
+
+def check_shape(manifest: dict, config: Model) -> None:
+    """The stored widths must be the model's."""
+    stored = manifest["preprocessing"]
+    if stored["fingerprint_size"] != config.fingerprint_size:
+        raise ShardError(f"fingerprints are {stored['fingerprint_size']} wide, the model {config.fingerprint_size}")
+    if stored.get("descriptor_width", 18) != config.descriptor_width:
+        raise ShardError(f"descriptors are {stored['descriptor_width']} wide, the model {config.descriptor_width}")
+
+
+def in_range(rows: DataFrame, start: int, end: int, position: str = "row_in_shard") -> DataFrame:
+    """The rows from start to before end."""
+    return rows.where((F.col(position) >= start) & (F.col(position) < end))
+
+
+def read_range(spark: SparkSession, folder: str, manifest: dict, shard: int, start: int, end: int) -> DataFrame:
+    """Rows of one shard; a range beyond it is an error, an empty one gives none."""
+    own = [s for s in manifest["shards"] if s["shard_id"] == shard]
+    if not own:
+        raise ShardError(f"no shard {shard}")
+    if not 0 <= start <= end <= own[0]["row_count"]:
+        raise ShardError(f"no rows {start} to {end} among {own[0]['row_count']}")
+    return in_range(read_shards(spark, folder, manifest).where(F.col("shard_id") == shard), start, end)
+
+
+def row_at(shards: DataFrame, shard: int, place: int) -> DataFrame:
+    """That row, or none beyond the end."""
+    return shards.where((F.col("shard_id") == shard) & (F.col("row_in_shard") == place))
+
+
+def of_split(shards: DataFrame, split: str) -> DataFrame:
+    if split not in SPLITS:
+        raise ValueError(f"no split {split!r}")
+    return shards.where(F.col("split") == split)

@@ -69,46 +69,61 @@ class Preprocessing:
     def __post_init__(self):
         if not 0 <= self.validation_permille <= 1000:
             raise ValueError("validation_permille must be 0 to 1000")
-        if not 0 < self.fingerprint_size <= 65536 or not 0 <= self.radius <= 255:
-            raise ValueError("fingerprint_size must be 1 to 65536 and radius 0 to 255")
+        if not 0 < self.fingerprint_size <= 65536 or not 1 <= self.radius <= 255:
+            raise ValueError("fingerprint_size must be 1 to 65536 and radius 1 to 255")
 
 
 @dataclass(frozen=True)
 class Losses:
-    """Weights and shapes of the loss terms."""
+    """Weights and shapes of the four loss terms; a term of weight 0 is off."""
 
     huber_beta: float = 1.0
     huber_active: float = 1.0
     huber_zero: float = 0.05
+    bce_weight: float = 1.0
     bce_active: float = 1.0
     bce_zero: float = 4.0
     descriptor_weight: float = 0.05
     ranking_weight: float = 0.10
     latent_temperature: float = 0.05
-    min_gap: float = 0.0
+    metric_temperature: float = 0.10
+    min_gap: float = 0.05
     candidates: int = 32
     pairs_per_batch: int = 0
 
     def __post_init__(self):
-        if not self.huber_beta > 0 or not self.latent_temperature > 0 or self.candidates < 1:
-            raise ValueError("beta and temperature must be positive, and candidates at least 1")
-        if min(self.huber_active, self.huber_zero, self.bce_active, self.bce_zero, self.descriptor_weight, self.ranking_weight, self.min_gap, self.pairs_per_batch) < 0:
-            raise ValueError("weights must not be negative")
+        positive = (self.huber_beta, self.latent_temperature, self.metric_temperature)
+        if not all(math.isfinite(x) and x > 0 for x in positive):
+            raise ValueError("beta and temperatures must be finite and positive")
+        weights = (self.huber_active, self.huber_zero, self.bce_weight, self.bce_active, self.bce_zero, self.descriptor_weight, self.ranking_weight, self.min_gap, self.pairs_per_batch)
+        if not all(math.isfinite(x) and x >= 0 for x in weights):
+            raise ValueError("weights must be finite and not negative")
+        if self.ranking_weight > 0 and self.candidates < 2:
+            raise ValueError("the ranking term needs two candidates at least")
 
 
 @dataclass(frozen=True)
 class Model:
+    """Encoder widths from the fingerprint to the latent vector; the decoder mirrors them."""
+
     fingerprint_size: int = 4096
     descriptor_width: int = 18
     latent_width: int = 512
     hidden_widths: tuple[int, ...] = (4096, 2048, 1024)
     ecfp_radius: int = 2
-    latent_noise_std: float = 0.0
+    latent_noise_std: float = 0.02
+    bit_frequencies: tuple[float, ...] = ()
     losses: Losses = field(default_factory=Losses)
 
     def __post_init__(self):
-        if min(self.fingerprint_size, self.descriptor_width, self.latent_width, *self.hidden_widths, 1) < 1 or self.latent_noise_std < 0:
-            raise ValueError("widths must be positive and the noise not negative")
+        if not self.hidden_widths or min(self.fingerprint_size, self.descriptor_width, self.latent_width, *self.hidden_widths) < 1:
+            raise ValueError("widths must be positive, and there must be a hidden one")
+        if not math.isfinite(self.latent_noise_std) or self.latent_noise_std < 0:
+            raise ValueError("the noise must be finite and not negative")
+        if not 1 <= self.ecfp_radius <= 255:
+            raise ValueError("ecfp_radius must be 1 to 255")
+        if self.bit_frequencies and (len(self.bit_frequencies) != self.fingerprint_size or not all(0 <= p <= 1 for p in self.bit_frequencies)):
+            raise ValueError("bit_frequencies must have one probability for each bin")
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=2)
@@ -120,5 +135,6 @@ class Model:
         losses = dict(raw.pop("losses", {}))
         if "margin" in losses:
             losses.setdefault("latent_temperature", losses.pop("margin"))
-        raw["hidden_widths"] = tuple(raw.get("hidden_widths", cls.hidden_widths))
+        for k in ("hidden_widths", "bit_frequencies"):
+            raw[k] = tuple(raw.get(k, getattr(cls, k)))
         return cls(**raw, losses=Losses(**losses))
