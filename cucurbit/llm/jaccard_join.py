@@ -51,7 +51,7 @@ SEEDS = 6
 #: Documents of the sample for frequent shingles, the share of them that makes one frequent, and the most that are kept.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 16_000, 0.0004, 60_000
 BUCKET_SIGNATURES = 400_000
-FLUSH = 1_500_000
+FLUSH = 800_000
 #: Members of a group in one side of a tile, words of sketches that are compared at a time, and groups of a class that its rows list.
 BLOCK, AT_ONCE, LISTED = 2048, 1 << 21, 4
 

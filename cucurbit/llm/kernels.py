@@ -62,7 +62,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - span : width - span + n])
 
 
-def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(texts: pa.Array, most: int = 1 << 17) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts of some ``most`` bytes, or one longer text: number of the first, bytes, and ends by text."""
     texts = pc.fill_null(texts, "")
     size = pc.binary_length(texts.cast(pa.large_binary())).to_numpy(zero_copy_only=False)

@@ -105,18 +105,26 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def area_resize(images: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The mean of the area below each target sample; images: any number of leading axes, then rows and columns."""
-    h, w = images.shape[-2:]
-    table = np.zeros((*images.shape[:-2], h + 1, w + 1))
-    table[..., 1:, 1:] = images.cumsum(-2, dtype=np.float64).cumsum(-1)
+    """The mean of the area below each target sample; images: any number of leading axes, then rows and columns.
+
+    Of the integral image only the rows, and of those the columns, are made that samples begin or end
+    at, so that a large image takes no table of its size.
+    """
 
-    def cut(t: np.ndarray, n: int, to: int, axis: int) -> np.ndarray:
+    def cut(t: np.ndarray, to: int, axis: int) -> np.ndarray:
+        n = t.shape[axis]
         at = np.arange(to + 1) * (n / to)
         low = np.minimum(at.astype(np.int64), n - 1)
         part = (at - low).reshape((-1, 1) if axis == -2 else (-1,))
-        return np.diff(np.take(t, low, axis) * (1 - part) + np.take(t, low + 1, axis) * part, axis=axis)
+        places = np.unique(np.concatenate([low, low + 1]))
+        # The first place is 0 and the last n; sums from the start up to each.
+        between = np.add.reduceat(t, places[:-1], axis, dtype=np.float64)
+        sums = np.concatenate([np.zeros_like(np.take(between, [0], axis)), np.cumsum(between, axis)], axis)
+        value = lambda k: np.take(sums, np.searchsorted(places, k), axis)
+        return np.diff(value(low) * (1 - part) + value(low + 1) * part, axis=axis)
 
-    return cut(cut(table, h, height, -2), w, width, -1) * ((height / h) * (width / w))
+    h, w = images.shape[-2:]
+    return cut(cut(images, height, -2), width, -1) * ((height / h) * (width / w))
 
 
 def difference_hash(images: np.ndarray) -> np.ndarray:

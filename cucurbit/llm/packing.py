@@ -34,8 +34,8 @@ from .common import saved
 
 CAPACITY = 2048
 END_ID = 0
-#: Groups among which the pieces of one length are numbered.
-SALTS = 64
+#: Pieces of one length that a group numbers, on average: the groups grow in number with the pieces.
+GROUP = 50_000
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,9 +157,10 @@ def plan_frame(spark: SparkSession, counts: dict[int, int], capacity: int = CAPA
     return spark.createDataFrame(found, "length long, low long, high long, first long, offset long")
 
 
-def numbered(pieces: DataFrame, order: list[str], salts: int = SALTS) -> DataFrame:
-    """Adds the number of each piece among those of its length, from 0."""
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+def numbered(pieces: DataFrame, order: list[str], counts: dict[int, int], group: int = GROUP) -> DataFrame:
+    """Adds the number of each piece among those of its length, from 0; counts: pieces by length, at most one entry for each."""
+    dealt = pieces.sparkSession.createDataFrame([(k, -(-n // group)) for k, n in counts.items()], "length long, __groups long")
+    salted = pieces.join(F.broadcast(dealt), "length").withColumn("__salt", F.pmod(F.xxhash64(*order), F.col("__groups"))).drop("__groups")
     sizes = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -175,7 +176,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, order: list[str] | None
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps = plan_frame(pieces.sparkSession, counts, capacity)
     by_length = steps.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "high", "first", "offset"))).alias("__steps"))
-    rows = numbered(pieces, order or ["doc_id", "piece"]).join(F.broadcast(by_length), "length")
+    rows = numbered(pieces, order or ["doc_id", "piece"], counts).join(F.broadcast(by_length), "length")
     # The steps of a length follow each other without gaps: one holds the number.
     found = rows.withColumn("__at", F.expr("filter(__steps, s -> number >= s.low and number < s.high)[0]"))
     return found.select(*pieces.columns, (F.col("__at.first") + F.col("number") - F.col("__at.low")).alias("sequence_id"), F.col("__at.offset").alias("offset"))

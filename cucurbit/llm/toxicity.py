@@ -7,8 +7,8 @@
    letters it is used for, or for nothing if it repeats or separates.  Viterbi decoding over all
    states finds the likeliest string under the model.
 3. A classifier over words and character 5-grams of the restored text, from how many labelled
-   training texts of either kind have them.  At most ``SAMPLE`` labelled rows are used and at
-   most ``MOST_FEATURES`` features kept; near copies of a training text count once.
+   training texts of either kind have them.  At most about ``SAMPLE`` labelled rows are used, which
+   bounds the features too; near copies of a training text count once.
 4. A text's score combines the weights of all its words by a noisy-or.
 
 Labels come only from rows whose crc32(id as text) mod 3 isn't 1.  Language, source and id are
@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.7
 #: Labelled rows that the classifier is fitted on, at most about.
 SAMPLE = 20_000
-#: Features it keeps at most, and the training texts of label 1 that each needs.
-MOST_FEATURES = 50_000
+#: Training texts of label 1 that a feature needs.
 LEAST_TEXTS = 5
 GRAM = 5
 
@@ -104,6 +103,11 @@ def log_probabilities(counts: list[tuple[int, int]]) -> np.ndarray:
 
 def restore(disguised: str, model: np.ndarray) -> str:
     """The likeliest string that was written in this disguise."""
+    return best_path(disguised, model)[1]
+
+
+def best_path(disguised: str, model: np.ndarray) -> tuple[float, str]:
+    """The log probability of the likeliest path through the lattice, less the costs of its steps, and the string it spells."""
     # A path is its last letter and the path before, so that long strings are not copied at each step.
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(SPACE, SPACE): (0.0, None)}
     before = ""
@@ -130,12 +134,12 @@ def restore(disguised: str, model: np.ndarray) -> str:
                     found[state] = (value, path)
         paths = found
         before = c
-    _, last = max(((score + model[a, b, SPACE], path) for (a, b), (score, path) in paths.items()), key=lambda x: x[0], default=(0, None))
+    score, last = max(((score + model[a, b, SPACE], path) for (a, b), (score, path) in paths.items()), key=lambda x: x[0], default=(0, None))
     letters = []
     while last:
         letters.append(last[0])
         last = last[1]
-    return "".join(reversed(letters)).strip()
+    return score, "".join(reversed(letters)).strip()
 
 
 # -- words of a text ----------------------------------------------------------------------------------
@@ -165,8 +169,9 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def set_apart(offsets: np.ndarray, codes: np.ndarray, chunks: list[str]) -> Iterator[tuple[int, str]]:
-    """Runs of three or more single letters: the text's number and the letters with spaces between."""
-    single = np.array([len(c) == 1 and not c.isspace() for c in chunks], bool)[codes] if len(chunks) else np.zeros(0, bool)
+    """Runs of three or more single letters, whatever stands around them: the text's number and the letters with spaces between."""
+    bare = [c if len(c) == 1 or len(c) > 6 else OUTER.sub("", c) for c in chunks]
+    single = np.array([len(c) == 1 and not c.isspace() for c in bare], bool)[codes] if len(chunks) else np.zeros(0, bool)
     own = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     if not single.any():
         return
@@ -178,7 +183,7 @@ def set_apart(offsets: np.ndarray, codes: np.ndarray, chunks: list[str]) -> Iter
                 while run[-1] + 1 < b and own[run[-1] + 1] == own[i]:
                     run.append(run[-1] + 1)
                 if len(run) >= 3:
-                    yield int(own[i]), " ".join(chunks[codes[j]] for j in run)
+                    yield int(own[i]), " ".join(bare[codes[j]] for j in run)
 
 
 # -- the classifier -----------------------------------------------------------------------------------
@@ -233,12 +238,12 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, key: str = "doc_i
     t, n, z = F.col("toxic"), F.col("toxic") + F.col("clean"), 2.0
     low = (t / n + z * z / (2 * n) - z * F.sqrt((t / n * (1 - t / n) + z * z / (4 * n)) / n)) / (1 + z * z / n)
     kept = feature_counts(training_rows(docs, labels, key, text, sample), model).where((F.col("feature") != "") & (t >= LEAST_TEXTS)).select("feature", low.alias("low"), "toxic")
-    top = kept.where("low > 0.5").orderBy(F.desc("low"), F.desc("toxic"), "feature").limit(MOST_FEATURES)
-    return {r.feature: min(0.95, 1.6 * (r.low - 0.45)) for r in top.collect()}
+    # All of them: features of LEAST_TEXTS texts or more of a bounded sample.
+    return {r.feature: min(0.95, 1.6 * (r.low - 0.45)) for r in kept.where("low > 0.5").collect()}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, sample: int = SAMPLE, keep: list[str] | None = None) -> DataFrame:
-    """held_out, score and predicted of every document, with the key or the columns to keep."""
+    """held_out, score and predicted of every document, with the key or the columns to keep; those must not have these three names."""
     model = log_probabilities([(r.trigram, r.n) for r in letter_counts(docs, text).collect()])
     weights = fit(docs, labels, model, key, text, sample)
     shared = docs.sparkSession.sparkContext.broadcast((model, weights))
@@ -256,7 +261,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             return max(map(word_weight, restored_words(chunk, own_model)), default=0.0)
 
         for b in batches:
-            texts, scores = b.column(len(kept)), []
+            texts, scores = pc.fill_null(b.column(b.schema.get_field_index(text)), ""), []
             for at in range(0, len(texts), 1024):
                 offsets, codes, chunks = coded(texts[at : at + 1024])
                 if len(cache) > CACHED:
@@ -272,11 +277,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                     logs[k] += sum(math.log1p(-word_weight(w)) for w in restore(s, own_model).split())
                 scores.append(-np.expm1(np.minimum(logs, 0)))
             scores = np.round(np.concatenate(scores), 9) + 0.0 if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], b.column(len(kept) + 1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], [*kept, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], b.column(b.schema.get_field_index("held_out")), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))], [*kept, "held_out", "score", "predicted"])
 
     kept = keep or [key]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, F.col(text).alias("__text"), held_out(key).alias("held_out")).mapInArrow(run, f"{kinds}, held_out boolean, score double, predicted int")
+    # The text travels once, with the columns to keep or beside them.
+    return docs.select(*kept, *([] if text in kept else [text]), held_out(key).alias("held_out")).mapInArrow(run, f"{kinds}, held_out boolean, score double, predicted int")
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
