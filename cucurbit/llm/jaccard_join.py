@@ -479,3 +479,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def oracle_sql(source: str = "documents") -> str:
+    """DuckDB's SQL for the query: all pairs that share a shingle, and what each document reaches."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM {source}),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + {SHINGLE - 1}), ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(generate_series(1, CASE WHEN len(words) = 0 THEN 0 ELSE greatest(len(words) - {SHINGLE - 1}, 1) END)) AS i FROM split)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= {PERCENT} * (p.n + q.n - k)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM {source}
+  UNION SELECT b, other FROM reached JOIN steps ON a = doc_id WHERE other < b)
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(other) AS component_id
+FROM {source} d JOIN reached USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY d.doc_id"""

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_rules": quality.oracle_sql()}
+    return {"op2_quality_rules": quality.oracle_sql(), "op3_jaccard_join": jaccard_join.oracle_sql(), "op8_suffix_dedup": suffix_dedup.oracle_sql()}

@@ -312,3 +312,24 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_kept=False).drop("kept")
+
+
+def oracle_sql(source: str = "documents", length: int = LENGTH) -> str:
+    """DuckDB's SQL for the query: every string of the length by its place, for small tables."""
+    return f"""
+WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM {source}),
+sized AS (SELECT doc_id, h, length(h) // 2 AS n FROM raw),
+strings AS (
+  SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * length})) AS s
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(n - {length - 1}, 0))) AS i FROM sized)),
+again AS (SELECT doc_id, i FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER w + {length} THEN 1 ELSE 0 END AS new FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM numbered GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM runs WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT doc_id, coalesce(max(r.b), 0), max(n) FROM sized LEFT JOIN runs r USING (doc_id) GROUP BY doc_id),
+parts AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM kept JOIN sized USING (doc_id) GROUP BY doc_id),
+told AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT s.doc_id, s.n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(p.h)) AS kept_sha256
+FROM sized s JOIN parts p USING (doc_id) LEFT JOIN told USING (doc_id)"""
