@@ -28,11 +28,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 LONG_WORD = 48
 #: Strings between white space that a worker keeps with their ids; reaching it empties the table.
 CACHED_CHUNKS = 500_000
 #: Bytes of text that are encoded at a time.
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 4_000_000
 NO_RANK = np.int32(2**31 - 1)
 #: Stands between the ids of two strings.
 END = NO_RANK.astype("<u4").tobytes()
@@ -263,7 +265,7 @@ def bpe_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
-        for b in batches:
+        for b in parts(batches, 2048):
             n, ids_sha, text_sha = [], [], []
             for ids, decoded in own.encode_decode(b.column(1)):
                 n.append(len(ids) // 4)

@@ -1,12 +1,22 @@
-"""What several operators need: tables in the shared folder."""
+"""What several operators need: batches in parts, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what is made of one is small; and at the end the pool's free memory goes back."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a local one only where it is unset and Spark runs in one process, as in tests."""
     if named := spark.conf.get("spark.checkpoint.dir", None):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, parts, saved
 from .components import components
 from .kernels import U, Words, mix, slices
 
@@ -190,7 +190,7 @@ def signature_blocks(docs: DataFrame, text: str, buckets: int, frequent: tuple[n
                 rows.append((int(bucket[i]), high[i:j].tobytes(), local.astype(np.uint16).tobytes(), cs[used].tobytes(), ns[used].astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names)
 
-        for b in batches:
+        for b in parts(batches):
             for _, h, whose in shingle_sets(b.column(0), n):
                 count = int(whose[-1]) + 1 if len(whose) else 0
                 size, c = class_ids(h, whose, count)
@@ -290,7 +290,7 @@ def sketches(texts: DataFrame, n: int) -> DataFrame:
     """c, size of the set and sketch of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for at, h, whose in shingle_sets(b.column(1), n):
                 edge = np.searchsorted(whose, np.arange(int(whose[-1]) + 2)) if len(whose) else np.zeros(1, np.int64)
                 cells = [sketch(h[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
@@ -304,7 +304,7 @@ def plausible(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
     sides = [cells.select(F.col("c").alias(k), F.col("size").alias(f"size_{k}"), F.col("cells").alias(f"cells_{k}")) for k in ("u", "v")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 1024):
             keep = []
             for n, m, x, y in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
@@ -322,7 +322,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int) -> DataFr
     both = pairs.join(texts.select(F.col("c").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("c").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 256):
             total = len(batch)
             sets: list[list[np.ndarray]] = []
             for k in (2, 3):
@@ -435,7 +435,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """key, n_shingles and component_id (the least key reachable by links) of every row."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             size, c = np.zeros(len(b), np.int64), np.zeros(len(b), U)
             for at, h, whose in shingle_sets(b.column(1), n):
                 count = int(whose[-1]) + 1 if len(whose) else 0

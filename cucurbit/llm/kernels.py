@@ -27,7 +27,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, ``n`` at least."""
     if len(_powers[0]) < n:
-        size = max(1 << 20, 1 << (n - 1).bit_length())
+        size = max(1 << 18, 1 << (n - 1).bit_length())
         for k, b in enumerate((BASE, pow(BASE, -1, 2**64))):
             p = np.full(size, b, U)
             p[0] = 1

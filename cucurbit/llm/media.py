@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import parts
+
 #: Side of a tile, and bytes of a square tile: payloads are padded to a multiple of it.
 TILE = 24
 UNIT = TILE * TILE
@@ -155,7 +157,7 @@ def npy_tiles(media: DataFrame, key: str, column: str, side: int = TILE, size: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [key, "y", "x", "npy", "dhash"]
-        for b in batches:
+        for b in parts(batches, 2048):
             rows: list[list] = [[] for _ in names]
             for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 image = None if raw is None else decode(raw)
@@ -205,7 +207,7 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-        for b in batches:
+        for b in parts(batches, 2048):
             columns = list(zip(*map(one, b.column(1).to_pylist()), strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import model
-from .common import saved
+from .common import parts, saved
 
 CAPACITY = 2048
 END_ID = 0
@@ -43,7 +43,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, step = model(path), np.array([END_ID], "<u4").tobytes(), 4 * capacity
-        for b in batches:
+        for b in parts(batches, 2048):
             whose, piece, start, length, crc = [], [], [], [], []
             for i, ids in enumerate(own.encode_many(b.column(1))):
                 ids += end

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import parts, saved
 from .kernels import Hasher, mix, sliding_min
 
 LENGTH = 200
@@ -180,7 +180,7 @@ def runs_of(rows: DataFrame, length: int, anchor: int) -> DataFrame:
             h, x, k, q, m = (np.concatenate(c) for c in zip(*held, strict=True))
             return settled(h, np.zeros(len(h), np.uint64), mix(x ^ m.astype(np.uint64)), k, q, m)
 
-        for b in batches:
+        for b in parts(batches):
             for t, k, j in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for s, n, d, h, x in hulls(np.frombuffer(t.encode("utf-8"), np.uint8), length, anchor):
                     held.append((h, x, np.full(len(s), k), np.int64(j) << 32 | s, (d | n << 12).astype(np.int32)))
@@ -199,7 +199,7 @@ def bytes_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, raw = None, b""
-        for b in batches:
+        for b in parts(batches, 2048):
             k, j = b.column(0).to_numpy(), b.column(1).to_numpy()
             q, m, tag = (c.to_pylist() for c in (b.column(3), b.column(4), b.column(2)))
             at, data = [], []
@@ -219,13 +219,13 @@ def bytes_of(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(run, "k long, q long, m int, data binary")
 
 
-def cells_of(parts: DataFrame, size: int, length: int) -> DataFrame:
-    """parts: k, q, d (way to the anchor), data, and the positions [a, b).  The rows of the round that cuts them into cells of ``size``; m has a cell's first position and how many it has."""
+def cells_of(left: DataFrame, size: int, length: int) -> DataFrame:
+    """left: k, q, d (way to the anchor), data, and the positions [a, b).  The rows of the round that cuts them into cells of ``size``; m has a cell's first position and how many it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = length - size + 1
         half = 1 << (shared.bit_length() - 1)
-        for batch in batches:
+        for batch in parts(batches, 4096):
             k, q, d, a, b = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
             data = batch.column(5).to_pylist()
             base = np.cumsum([0, *map(len, data)])[:-1]
@@ -242,7 +242,7 @@ def cells_of(parts: DataFrame, size: int, length: int) -> DataFrame:
             if len(own):
                 yield settled(r, r2, w, k[own], q[own], (start | (stop - start) << 12).astype(np.int32))
 
-    return parts.select("k", "q", "d", "a", "b", "data").mapInArrow(run, SCHEMA)
+    return left.select("k", "q", "d", "a", "b", "data").mapInArrow(run, SCHEMA)
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -280,7 +280,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: tuple | None = None
         spans: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
+        for b in parts(batches, 2048):
             k, j, tag = (b.column(i).to_numpy() for i in range(3))
             start, n = (b.column(i).fill_null(0).to_numpy() for i in (3, 4))
             texts, at, out = np.flatnonzero(tag == 1), 0, []

@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import parts
+
 PIECE_CHARS = 16_384
 BATCH_BYTES = 1_000_000
 SAFE = re.compile(r"(?<=\S)(?=[ \t\r\n])|(?<=[^\W_])(?=[。、，！？；：])")
@@ -79,7 +81,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     """key, n_bytes, n_tokens and whether there are more than ``limit`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 2048):
             texts = pc.fill_null(b.column(1), "")
             size = pc.binary_length(texts.cast(pa.large_binary())).cast(pa.int64())
             n = pa.array(count_batch(texts.to_pylist(), path), pa.int64())

@@ -31,6 +31,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 THRESHOLD = 0.7
 #: Labelled rows that the classifier is fitted on, at most about.
 SAMPLE = 20_000
@@ -74,12 +76,11 @@ def letter_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, total = _class_table(), np.zeros(CLASSES**3, np.int64)
-        for b in batches:
+        for b in parts(batches, 128):
             texts = pc.fill_null(b.column(0), "").to_pylist()
-            for at in range(0, len(texts), 256):
-                points = np.frombuffer(" ".join(["", *texts[at : at + 256], ""]).lower().encode("utf-32-le", "replace"), np.uint32)
-                c = table[np.minimum(points, len(table) - 1)].astype(np.int32)
-                total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=len(total))
+            points = np.frombuffer(" ".join(["", *texts, ""]).lower().encode("utf-32-le", "replace"), np.uint32)
+            c = table[np.minimum(points, len(table) - 1)].astype(np.int32)
+            total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=len(total))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["trigram", "n"])
 
@@ -260,7 +261,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         def weight(chunk: str) -> float:
             return max(map(word_weight, restored_words(chunk, own_model)), default=0.0)
 
-        for b in batches:
+        for b in parts(batches, 1024):
             texts, scores = pc.fill_null(b.column(b.schema.get_field_index(text)), ""), []
             for at in range(0, len(texts), 1024):
                 offsets, codes, chunks = coded(texts[at : at + 1024])
