@@ -387,9 +387,13 @@ def elsewhere(u: np.ndarray, v: np.ndarray, lists: list[list[int]], g: int) -> n
     return same.any(axis=(1, 2))
 
 
-def pairs_left(shared: DataFrame, found: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
-    """Pairs u, v of different components that share a signature, but for those that their sketches exclude."""
-    own = shared.where("many > 2").select("g", "c", "n", "many").join(found.select(F.col("node").alias("c"), "least"), "c", "left").withColumn("k", F.coalesce("least", "c")).drop("least")
+def pairs_left(shared: DataFrame, found: DataFrame | None, cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs u, v of different components that share a signature, but for those that their sketches exclude; of all classes if no components are given."""
+    own = shared.select("g", "c", "n", "many")
+    if found is None:
+        own = own.withColumn("k", F.col("c"))
+    else:  # groups of two met in the first round
+        own = own.where("many > 2").join(found.select(F.col("node").alias("c"), "least"), "c", "left").withColumn("k", F.coalesce("least", "c")).drop("least")
     # Groups with the same members need one look.
     told = own.groupBy("g").agg(F.min("k").alias("x"), F.max("k").alias("y"), F.count("*").alias("m"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("h")).where("x <> y")
     left = saved(own.join(told.groupBy("m", "h").agg(F.min("g").alias("g")).select("g"), "g"))
@@ -431,8 +435,8 @@ def pairs_left(shared: DataFrame, found: DataFrame, cells: DataFrame, percent: i
     return pairs
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
-    """key, n_shingles and component_id (the least key reachable by links) of every row."""
+def indexed(docs: DataFrame, key: str, text: str, percent: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Saved tables: the rows with their classes, the groups of classes that share a signature, and one text and the sketch of each of those classes."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
@@ -456,6 +460,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     texts = saved(rows.join(firsts, "__k").dropDuplicates(["__c"]).select(F.col("__c").alias("c"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     cells = saved(sketches(texts, n))
 
+    return base, shared, texts, cells
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = SHINGLE) -> DataFrame:
+    """key, n_shingles and component_id (the least key reachable by links) of every row."""
+    base, shared, texts, cells = indexed(docs, key, text, percent, n)
     first = shared.where("c <> c0").where(f"100 * least(n, n0) >= {percent} * greatest(n, n0)").select(F.col("c0").alias("u"), F.col("c").alias("v")).distinct()
     close = saved(plausible(first, cells, percent))
     links = saved(verified(close, texts, percent, n))
@@ -477,6 +487,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     return linked.select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("__component")).otherwise(F.col(key)).alias("component_id"))
 
 
+def link_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """key, n_shingles, class_id and n_links (other rows that a row is linked with, those of its own set included) of every row; and the links between classes, u and v.
+
+    All candidates are verified, also within components, so this costs what its links are in number.
+    """
+    base, shared, texts, cells = indexed(docs, key, text, percent, n)
+    pairs = pairs_left(shared, None, cells, percent)
+    links = saved(verified(pairs, texts, percent, n))
+    forget(shared, texts, cells, pairs)
+    sizes = base.where("n_shingles > 0").groupBy("__c").agg(F.count("*").alias("__n"))
+    both = links.select(F.col("u").alias("__c"), F.col("v").alias("__o")).unionByName(links.select(F.col("v").alias("__c"), F.col("u").alias("__o")))
+    others = both.join(sizes.select(F.col("__c").alias("__o"), "__n"), "__o").groupBy("__c").agg(F.sum("__n").alias("__others"))
+    told = sizes.join(others, "__c", "left").select("__c", (F.col("__n") - 1 + F.coalesce("__others", F.lit(0))).alias("__links"))
+    linked = base.join(told, "__c", "left")
+    return linked.select(key, "n_shingles", F.col("__c").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("__links")).otherwise(0).alias("n_links")), links
+
+
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -122,6 +122,29 @@ def test_jaccard_join_in_large_groups(spark, monkeypatch):
         same(jaccard_join.near_duplicates(frame).select("doc_id", "n_shingles", "component_id").collect(), want)
 
 
+def test_link_counts(spark, docs, texts):
+    """All links, also those within a component."""
+    r, base = random.Random(9), words(80, 23)
+    own = []
+    for i in range(60):
+        edited = list(base)
+        for at in r.sample(range(80), r.randrange(5)):
+            edited[at] = f"e{r.randrange(30)}"
+        own.append((200_000 + i, " ".join(edited)))
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+    rows = [*texts, *own]
+    sets = [shingles(t) for _, t in rows]
+    want = [0] * len(rows)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                want[i] += 1
+                want[j] += 1
+    found, links = jaccard_join.link_counts(frame)
+    same(found.select("doc_id", "n_shingles", "n_links").collect(), [(k, len(s), n) for (k, _), s, n in zip(rows, sets, want, strict=True)])
+    assert links.where("u >= v").isEmpty() and links.count() == links.distinct().count()
+
+
 def tokenizer(name):
     from tokenizers import Tokenizer
 
