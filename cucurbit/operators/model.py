@@ -30,8 +30,8 @@ BLOCK = 1 << 16
 def initial_weights(config: Model, seed: int = 0) -> dict[str, np.ndarray]:
     """Uniform in +-1/sqrt(inputs) by a seed; biases too."""
     rng = np.random.default_rng(seed)
-    up = [config.fingerprint_size, *config.hidden_widths, config.latent_width]
-    stacks = {"encoder": up, "decoder": up[::-1], "descriptor": [config.latent_width, config.descriptor_width]}
+    up, down = [config.fingerprint_size, *config.hidden_widths, config.latent_width], [config.latent_width, *config.decoder_widths, config.fingerprint_size]
+    stacks = {"encoder": up, "decoder": down, "descriptor": [config.latent_width, config.descriptor_width]}
     out = {}
     for name, widths in stacks.items():
         for k, (a, b) in enumerate(zip(widths[:-1], widths[1:], strict=True)):

@@ -102,9 +102,19 @@ class Losses:
             raise ValueError("the ranking term needs two candidates at least")
 
 
+#: The keys of a stored configuration's parts, and the fields here that they hold.
+LOSS_KEYS = {
+    "reconstruction_loss": {"beta": "huber_beta", "zero_weight": "huber_zero", "nonzero_weight": "huber_active", "bce_weight": "bce_weight", "bce_zero_weight": "bce_zero", "bce_nonzero_weight": "bce_active"},
+    "auxiliary_weights": {"descriptors": "descriptor_weight", "tanimoto_ranking": "ranking_weight"},
+    "tanimoto_ranking": {"latent_temperature": "latent_temperature", "metric_temperature": "metric_temperature", "min_gap": "min_gap", "candidates_per_anchor": "candidates", "pairs_per_batch": "pairs_per_batch"},
+}
+#: Older names of the latent temperature.
+OLD_TEMPERATURES = ("margin", "tanimoto_ranking_margin")
+
+
 @dataclass(frozen=True)
 class Model:
-    """Encoder widths from the fingerprint to the latent vector; the decoder mirrors them."""
+    """Encoder widths from the fingerprint to the latent vector; the decoder's mirror them unless given."""
 
     fingerprint_size: int = 4096
     descriptor_width: int = 18
@@ -114,9 +124,12 @@ class Model:
     latent_noise_std: float = 0.02
     bit_frequencies: tuple[float, ...] = ()
     losses: Losses = field(default_factory=Losses)
+    decoder_widths: tuple[int, ...] = ()
 
     def __post_init__(self):
-        if not self.hidden_widths or min(self.fingerprint_size, self.descriptor_width, self.latent_width, *self.hidden_widths) < 1:
+        if not self.decoder_widths:
+            object.__setattr__(self, "decoder_widths", self.hidden_widths[::-1])
+        if not self.hidden_widths or min(self.fingerprint_size, self.descriptor_width, self.latent_width, *self.hidden_widths, *self.decoder_widths) < 1:
             raise ValueError("widths must be positive, and there must be a hidden one")
         if not math.isfinite(self.latent_noise_std) or self.latent_noise_std < 0:
             raise ValueError("the noise must be finite and not negative")
@@ -126,15 +139,30 @@ class Model:
             raise ValueError("bit_frequencies must have one probability for each bin")
 
     def to_json(self) -> str:
-        return json.dumps(asdict(self), indent=2)
+        out = {
+            "encoder": {"input_width": self.fingerprint_size, "hidden_widths": self.hidden_widths, "latent_width": self.latent_width},
+            "decoder": {"latent_width": self.latent_width, "hidden_widths": self.decoder_widths, "output_width": self.fingerprint_size},
+            "descriptor_width": self.descriptor_width,
+        }
+        out |= {part: {k: getattr(self.losses, name) for k, name in keys.items()} for part, keys in LOSS_KEYS.items()}
+        return json.dumps(out | {"latent_noise_std": self.latent_noise_std, "ecfp_radius": self.ecfp_radius, "bit_frequencies": self.bit_frequencies}, indent=2)
 
     @classmethod
     def from_json(cls, text: str) -> Model:
-        """Missing keys take their defaults; an old ``margin`` is the latent temperature."""
+        """Missing keys take their defaults, and older names of the temperature count; widths that don't fit together are errors."""
         raw = json.loads(text)
-        losses = dict(raw.pop("losses", {}))
-        if "margin" in losses:
-            losses.setdefault("latent_temperature", losses.pop("margin"))
-        for k in ("hidden_widths", "bit_frequencies"):
-            raw[k] = tuple(raw.get(k, getattr(cls, k)))
-        return cls(**raw, losses=Losses(**losses))
+        encoder, decoder, losses = raw.get("encoder", {}), raw.get("decoder", {}), {}
+        for part, keys in LOSS_KEYS.items():
+            own = dict(raw.get(part, {}))
+            for old in OLD_TEMPERATURES if part == "tanimoto_ranking" else ():
+                if old in own:
+                    own.setdefault("latent_temperature", own.pop(old))
+            losses |= {name: own[k] for k, name in keys.items() if k in own}
+        size, latent = encoder.get("input_width", cls.fingerprint_size), encoder.get("latent_width", cls.latent_width)
+        if decoder.get("output_width", size) != size or decoder.get("latent_width", latent) != latent:
+            raise ValueError("widths of encoder and decoder differ")
+        plain = {k: raw[k] for k in ("descriptor_width", "latent_noise_std", "ecfp_radius") if k in raw}
+        return cls(
+            fingerprint_size=size, latent_width=latent, hidden_widths=tuple(encoder.get("hidden_widths", cls.hidden_widths)), decoder_widths=tuple(decoder.get("hidden_widths", ())),
+            bit_frequencies=tuple(raw.get("bit_frequencies", ())), losses=Losses(**losses), **plain,
+        )

@@ -238,7 +238,13 @@ def test_noise(spark):
 
 def test_configurations():
     assert Model.from_json(CONFIG.to_json()) == CONFIG
-    assert Model.from_json('{"losses": {"margin": 0.2}}').losses.latent_temperature == 0.2
+    for old in ("margin", "tanimoto_ranking_margin"):
+        assert Model.from_json(f'{{"tanimoto_ranking": {{"{old}": 0.2}}}}').losses.latent_temperature == 0.2
+    assert Model.from_json("{}") == Model() and Model(hidden_widths=(3, 2)).decoder_widths == (2, 3)
+    other = Model(hidden_widths=(3, 2), decoder_widths=(5,))
+    assert Model.from_json(other.to_json()) == other
+    with pytest.raises(ValueError):
+        Model.from_json('{"encoder": {"latent_width": 4}, "decoder": {"latent_width": 5}}')
     for bad in (dict(hidden_widths=()), dict(latent_width=0), dict(ecfp_radius=0), dict(latent_noise_std=-1.0), dict(fingerprint_size=2, bit_frequencies=(0.5,)), dict(fingerprint_size=1, bit_frequencies=(1.5,))):
         with pytest.raises(ValueError):
             Model(**bad)
