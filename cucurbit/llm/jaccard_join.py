@@ -456,7 +456,7 @@ def indexed(docs: DataFrame, key: str, text: str, percent: int, n: int) -> tuple
 
     # Texts of the classes that may be linked, one of each.
     taking = shared.select(F.col("c").alias("__c")).distinct()
-    firsts = base.join(taking, "__c").groupBy("__c").agg(F.min("__k").alias("__k"))
+    firsts = base.groupBy("__c").agg(F.min("__k").alias("__k")).join(taking, "__c")
     texts = saved(rows.join(firsts, "__k").dropDuplicates(["__c"]).select(F.col("__c").alias("c"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     cells = saved(sketches(texts, n))
 
