@@ -51,6 +51,8 @@ SEEDS = 6
 #: Documents of the sample for frequent shingles, the share of them that makes one frequent, and the most that are kept.
 SAMPLE_DOCS, FREQUENT, MOST_FREQUENT = 16_000, 0.0004, 60_000
 BUCKET_SIGNATURES = 400_000
+#: Bytes of a bucket that a task holds; a bucket beyond it, which a frequent signature makes, is grouped row by row.
+HELD = 256 << 20
 FLUSH = 800_000
 #: Members of a group in one side of a tile, words of sketches that are compared at a time, and groups of a class that its rows list.
 BLOCK, AT_ONCE, LISTED = 2048, 1 << 21, 4
@@ -220,8 +222,10 @@ def signature_blocks(docs: DataFrame, text: str, buckets: int, frequent: tuple[n
     return docs.select(text).mapInArrow(run, "bucket int, sig binary, own binary, classes binary, sizes binary")
 
 
-def groups(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Classes that share a signature with another: g (the signature), c, n (size), many (size of the group), and the group's first class and its size."""
+def bucket_groups(blocks: DataFrame, buckets: int, held_bytes: int) -> DataFrame:
+    """What ``groups`` returns; of buckets above ``held_bytes`` all signatures, with many -1.
+
+    Classes that share a signature with another: g (the signature), c, n (size), many (size of the group), and the group's first class and its size."""
     names = ["g", "c", "n", "many", "c0", "n0"]
 
     def one(bucket: int, rows: list[dict]) -> pa.RecordBatch | None:
@@ -243,22 +247,47 @@ def groups(blocks: DataFrame, buckets: int) -> DataFrame:
         columns = (g, c[keep].view(np.int64), n[keep].astype(np.int32), many[keep].astype(np.int32), c[start][keep].view(np.int64), n[start][keep].astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
 
+    def plain(row: dict) -> pa.RecordBatch:
+        own = np.frombuffer(row["own"], np.uint16)
+        c, n = np.frombuffer(row["classes"], U)[own].view(np.int64), np.frombuffer(row["sizes"], np.uint32)[own].astype(np.int32)
+        g = (np.frombuffer(row["sig"], np.uint32).astype(np.int64) << 31) ^ row["bucket"]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (g, c, n, np.full(len(g), -1, np.int32), c, n)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for b in batches:
+        bucket, size = None, 0
+        for b in parts(batches, 64):
             for row in b.to_pylist():
-                if held and held[0]["bucket"] != row["bucket"]:
-                    if (out := one(held[0]["bucket"], held)) is not None:
+                if row["bucket"] != bucket:
+                    if held and (out := one(bucket, held)) is not None:
                         yield out
-                    held = []
+                    held, bucket, size = [], row["bucket"], 0
+                size += len(row["sig"]) + len(row["own"]) + len(row["classes"]) + len(row["sizes"])
                 held.append(row)
-        if held and (out := one(held[0]["bucket"], held)) is not None:
+                if size > held_bytes:
+                    yield from map(plain, held)
+                    held = []
+        if held and (out := one(bucket, held)) is not None:
             yield out
 
     dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "g long, c long, n int, many int, c0 long, n0 int")
 
 
+def groups(blocks: DataFrame, buckets: int, held_bytes: int = HELD) -> DataFrame:
+    """Classes that share a signature with another: g (the signature), c, n (size), many (size of the group), and the group's first class and its size; a saved table."""
+    found = saved(bucket_groups(blocks, buckets, held_bytes))
+    large = found.where("many < 0").select("g", "c", "n")
+    if large.isEmpty():
+        return found
+    large = large.distinct()
+    told = large.groupBy("g").agg(F.count("*").cast("int").alias("many"), F.min(F.struct("c", "n")).alias("first")).where("many > 1")
+    counted = large.join(told, "g").select("g", "c", "n", "many", F.col("first.c").alias("c0"), F.col("first.n").alias("n0"))
+    both = saved(found.where("many > 0").unionByName(counted))
+    forget(found)
+    return both
+
+
 def frequent_shingles(docs: DataFrame, text: str, n_docs: int, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that at least ``FREQUENT`` of a bounded sample of texts have, in order, and how many have them: an order of cost, no filter."""
     share = min(1.0, SAMPLE_DOCS / max(n_docs, 1))
@@ -452,7 +481,7 @@ def indexed(docs: DataFrame, key: str, text: str, percent: int, n: int) -> tuple
     told = base.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).first()
     buckets = max(16, int((told.s or 0) * 0.45) // BUCKET_SIGNATURES)
     frequent = frequent_shingles(docs, text, told.n, n)
-    shared = saved(groups(signature_blocks(docs, text, buckets, frequent, percent, n), buckets))
+    shared = groups(signature_blocks(docs, text, buckets, frequent, percent, n), buckets, HELD)
 
     # Texts of the classes that may be linked, one of each.
     taking = shared.select(F.col("c").alias("__c")).distinct()

@@ -117,8 +117,9 @@ def test_jaccard_join_in_large_groups(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = components_of(rows)
     assert 20 < len({x[2] for x in want if x[0] >= 300})
-    for block in (2048, 50):
+    for block, held in ((2048, 1 << 28), (50, 20_000)):
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "HELD", held)
         same(jaccard_join.near_duplicates(frame).select("doc_id", "n_shingles", "component_id").collect(), want)
 
 
