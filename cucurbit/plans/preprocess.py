@@ -16,6 +16,8 @@ from ..sources.shards import read_shards, write_shards
 from ..types import Preprocessing
 
 MANIFEST_VERSION = 2
+#: Rows of a source that one task numbers, on average.
+NUMBERED = 1_000_000
 
 
 def process(records: DataFrame, config: Preprocessing) -> DataFrame:
@@ -42,11 +44,19 @@ def shard_rows(processed: DataFrame, *keep: str) -> DataFrame:
 
 
 def with_places(rows: DataFrame, part: str, to: str = "row_idx") -> DataFrame:
-    """Adds each row's place: by ``part`` (a number), and in it by the id.  Parts are numbered for themselves; the rows before a part are summed over the parts, whose number is that of the sources' chunks."""
-    own = Window.partitionBy(part).orderBy("cid", F.xxhash64("indices", "counts"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(part).agg(F.count("*").alias("__n")).select(part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    return rows.withColumn("__rn", F.row_number().over(own) - 1).join(F.broadcast(offsets), part).withColumn(to, F.col("__rn") + F.col("__before")).drop("__rn", "__before", part)
+    """Adds each row's place: by ``part`` (a number), and in it by buckets of ids and by the id; ``part`` goes.
+
+    Rows are numbered within buckets of about ``NUMBERED`` rows, and the rows before a bucket are summed
+    over the buckets, so no task sorts a whole source.  ``rows`` is read three times, so it should be a stored table.
+    """
+    buckets = max(1, -(-rows.count() // NUMBERED))
+    dealt = rows.withColumn("__bucket", F.pmod(F.xxhash64("cid"), F.lit(buckets)))
+    own = Window.partitionBy(part, "__bucket").orderBy("cid", F.xxhash64("indices", "counts"))
+    before = Window.orderBy(part, "__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(part, "__bucket").agg(F.count("*").alias("__n"))
+    offsets = sizes.select(part, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    placed = dealt.withColumn("__rn", F.row_number().over(own) - 1).join(offsets, [part, "__bucket"])
+    return placed.withColumn(to, F.col("__rn") + F.col("__before")).drop("__rn", "__before", "__bucket", part)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -99,7 +109,7 @@ def empty_manifest(source: str, config: Preprocessing) -> dict:
 def write_cache(processed: DataFrame, folder: str, source: str, config: Preprocessing, rows_per_shard: int = 10_000_000, part: str | None = None) -> dict:
     """Shards of the rows that are ok, and manifest.json beside them.
 
-    ``part``: a column of the source's chunks, in whose order places are given; one chunk without it.
+    ``part``: a column with the number of a row's source, in whose order places are given; one source without it.
     Molecules are parsed once: into a Parquet stage, with the rows by status counted on the way.
     """
     spark = processed.sparkSession

@@ -129,6 +129,17 @@ def test_cache_round_trip(spark, tmp_path):
     assert preprocess.bit_frequencies(preprocess.empty_manifest("x", config)) is None
 
 
+def test_places(spark, monkeypatch):
+    """Each once, by source, however small the buckets."""
+    rows = [(cid, [1], [1], part) for part, n in ((0, 40), (1, 25)) for cid in range(100 * part, 100 * part + n)] + [(7, [1], [1], 0)]
+    frame = spark.createDataFrame(rows, "cid long, indices array<int>, counts array<int>, part int")
+    for numbered in (1_000_000, 6):
+        monkeypatch.setattr(preprocess, "NUMBERED", numbered)
+        got = preprocess.with_places(frame, "part").collect()
+        assert sorted(r.row_idx for r in got) == list(range(66)) and all((r.row_idx < 41) == (r.cid < 100) for r in got)
+    assert [r.row_idx for r in preprocess.with_places(frame.where("false"), "part").collect()] == []
+
+
 def test_bit_frequencies(spark, tmp_path):
     folder = str(tmp_path / "rows")
     parts = shards.write_shards(stored(spark, [(1, [3, 9], [1, 1], "train"), (2, [3, 100], [1, 1], "train"), (3, [9], [1], "train")]), folder, rows_per_shard=2)
