@@ -528,13 +528,13 @@ def union_sources(spark, d):
 
 def literal_encodings(spark, d):
     rows = table(spark, d, "embeddings")
-    return rows.select(F.concat(F.lit("C"), F.col("vec_id")).alias("smiles"), F.lit(0.5).cast("float").alias("count_tanimoto"), F.lit(0.25).cast("float").alias("binary_tanimoto"), (F.col("vec_id") / 4).cast("float").alias("log_mse"), F.transform(F.slice("embedding", 1, 3), lambda x: (F.round(x * 8) / 8).cast("float")).alias("latent"))
+    return rows.select(F.concat(F.lit("C"), F.col("vec_id")).alias("smiles"), F.lit(0.5).cast("float").alias("count_tanimoto"), F.lit(0.25).cast("float").alias("binary_tanimoto"), (F.col("vec_id") / 4).cast("float").alias("log_mse"), F.transform("embedding", lambda x: (F.round(x * 8) / 8).cast("float")).alias("latent"))
 
 
-@query("tsv_projection", "SELECT 'C' || vec_id AS smiles, '0.5000000' AS count_tanimoto, '0.2500000' AS binary_tanimoto, printf('%.7f', vec_id / 4) AS log_mse, " + ", ".join(f"printf('%.7f', CASE WHEN round(embedding[{i + 1}] * 8) = 0 THEN 0 ELSE round(embedding[{i + 1}] * 8) / 8 END) AS latent_{i}" for i in range(3)) + " FROM embeddings")
+@query("tsv_projection", "SELECT 'C' || vec_id AS smiles, '0.5000000' AS count_tanimoto, '0.2500000' AS binary_tanimoto, printf('%.7f', vec_id / 4) AS log_mse, " + ", ".join(f"printf('%.7f', CASE WHEN round(embedding[{i + 1}] * 8) = 0 THEN 0 ELSE round(embedding[{i + 1}] * 8) / 8 END) AS latent_{i}" for i in range(64)) + " FROM embeddings")
 def tsv_projection(spark, d):
     rows = literal_encodings(spark, d).withColumn("latent", F.transform("latent", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))
-    return encodings.text_columns(rows, 3)
+    return encodings.text_columns(rows, 64)
 
 
 @query("smi_scan", "SELECT p_partkey, split_part(p_name, ' ', 1) AS smiles FROM part WHERE p_partkey % 5 > 0 AND p_partkey % 7 > 0")
@@ -575,10 +575,13 @@ def quality_filter_bounds(spark, d):
     return described(spark, d).where("d is not null").where(rule.accepts(F.col("d"))).select("p_partkey")
 
 
-@query("regression_targets", f"WITH {FACT_SQL} SELECT p_partkey, round(formal_charge / 8.0, 4) AS charge, round(carbon_count / 128.0, 4) AS carbon, round(aromatic_atom_count / 128.0, 4) AS aromatic FROM part JOIN facts ON k = p_partkey % {len(SMILES)}")
+SCALES = {"molecular_mass": 1000.0, "formal_charge": 8.0}
+
+
+@query("regression_targets", f"WITH {FACT_SQL} SELECT p_partkey, {', '.join(f'round({c} / {SCALES.get(c, 128.0)}, 4) AS {c}' for c in chem.DESCRIPTORS)} FROM part JOIN facts ON k = p_partkey % {len(SMILES)}")
 def regression_targets(spark, d):
     rows = described(spark, d).where("d is not null").withColumn("t", chem.regression_targets(F.col("d")))
-    return rows.select("p_partkey", *(F.round(F.get("t", F.lit(i)).cast("double"), 4).alias(n) for i, n in ((1, "charge"), (2, "carbon"), (17, "aromatic"))))
+    return rows.select("p_partkey", *(F.round(F.get("t", F.lit(i)).cast("double"), 4).alias(c) for i, c in enumerate(chem.DESCRIPTORS)))
 
 
 @query("preprocess_status", f"SELECT CASE WHEN p_partkey % {len(SMILES)} = 5 THEN 'error' WHEN p_partkey % {len(SMILES)} IN (2, 10) THEN 'skipped' ELSE 'ok' END AS status, count(*) AS n FROM part GROUP BY 1")

@@ -139,7 +139,7 @@ def test_candidates_of_five(spark):
 
 def walk(seed, n, k, anchor):
     """The same candidates, step by step."""
-    p, state = n - 1, (seed & 0xFFFFFFFF) ^ ((anchor + 1) * 40503 & 0xFFFFFFFF) or 0x6D2B79F5
+    p, state = n - 1, (seed & 0xFFFFFFFF) ^ ((anchor + 1) * ranking.ANCHOR_FACTOR & 0xFFFFFFFF) or ranking.STATE_FOR_ZERO
     drawn = []
     for _ in range(2):
         state ^= state << 13 & 0xFFFFFFFF
@@ -162,7 +162,7 @@ def test_candidates_of_a_large_batch(spark):
         assert all(r.candidates == walk(99, size, 8, r.row) for r in ranking.with_candidates(frame, 99, 8, size).collect())
     small = spark.range(2).select(F.lit(0).alias("batch_id"), F.col("id").cast("int").alias("row"))
     assert [r.candidates for r in ranking.with_candidates(small, 1, 8, 2).collect()] == [[], []]
-    assert ranking.ranking_seed(2, 1) == 2 << 32 ^ 0x9E3779B97F4A7C15
+    assert ranking.ranking_seed(2, 1) == 2 << 32 ^ ranking.SEED_FACTOR
 
 
 def test_split_batches(spark):
