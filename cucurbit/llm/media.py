@@ -188,14 +188,18 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores each text's bytes as the samples of a PGM image, decodes it again, and takes the features from the decoded array.
 
-    feature: the difference hash of the whole image, and a digest of those of its NPY tiles.
+    feature: the difference hash of the whole image, and a digest of those of its NPY tiles.  The same
+    samples are stored as a BMP too, which must decode to the same array; bmp_sha256 is its digest.
     """
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles", "tiles_sha256"]
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles", "tiles_sha256", "bmp_sha256"]
 
     def one(value: str | None) -> tuple:
         n, payload = payload_of(value)
         stored = encode_pgm(payload)
         image = decode_netpbm(stored)
+        bmp = encode_bmp(image)
+        if not np.array_equal(decode_bmp(bmp), image):
+            raise ValueError("the BMP form gave other samples")
         back = image.tobytes()
         cut = image.reshape(-1, TILE, TILE)
         hashes = difference_hash(cut).astype(">u8").tobytes()
@@ -203,16 +207,16 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for t in cut:
             shown.update(npy(t))
         feature = f"{int(difference_hash(image)):016x}-{hashlib.sha256(hashes).hexdigest()[:16]}"
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(cut), shown.hexdigest()
+        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(cut), shown.hexdigest(), hashlib.sha256(bmp).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
         for b in parts(batches, 2048):
             columns = list(zip(*map(one, b.column(1).to_pylist()), strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string, bmp_sha256 string")
 
 
 def op6_media(spark, sf_dir: str) -> DataFrame:

@@ -126,6 +126,7 @@ def test_media_features_in_full(spark):
         hashes = b"".join(slow_hash(t).to_bytes(8, "big") for t in image.reshape(-1, 24, 24))
         assert (got.media_bytes, got.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
         assert got.feature == f"{int(media.difference_hash(image)):016x}-{hashlib.sha256(hashes).hexdigest()[:16]}"
+        assert got.bmp_sha256 == hashlib.sha256(media.encode_bmp(image)).hexdigest()
         if len(image) <= 96:
             assert int(media.difference_hash(image)) == slow_hash(image)
 
