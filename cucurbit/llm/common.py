@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,20 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
     pa.default_memory_pool().release_unused()
 
 
+_scratch: ContextVar[list[DataFrame] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Lists the tables saved in a block, by this thread, for ``forget`` once what is made of them is saved itself."""
+    tables: list[DataFrame] = []
+    token = _scratch.set(tables)
+    try:
+        yield tables
+    finally:
+        _scratch.reset(token)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a local one only where it is unset and Spark runs in one process, as in tests."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
@@ -33,6 +49,8 @@ def saved(frame: DataFrame) -> DataFrame:
     frame.write.parquet(path)
     table = spark.read.schema(frame.schema).parquet(path)
     table.saved_at = path
+    if (tables := _scratch.get()) is not None:
+        tables.append(table)
     return table
 
 

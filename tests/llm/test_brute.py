@@ -295,11 +295,3 @@ def test_toxicity_awkward(docs, empty, spark, sf_dir):
     assert len(found) == docs.count() and all(0 <= r.score <= 1 for r in found)
     assert toxicity.toxicity(empty, labels).count() == 0
     assert {r.score for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0.0}
-
-
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    found = corpus_pipeline.run(spark, sf_dir)
-    sizes = found.groupBy("sequence_id").agg({"length": "sum"}).toPandas()
-    assert len(sizes) and sizes["sum(length)"].max() <= 2048

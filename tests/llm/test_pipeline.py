@@ -1,5 +1,6 @@
 """The stages of the pipeline on planted and awkward documents, each against a slow form of itself; and rows without ids."""
 
+import os
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ from test_brute import components_of, same, tokenizer, words
 
 import corpus_pipeline
 from cucurbit.llm import bpe, jaccard_join, media, packing, passages, quality, sharding, suffix_dedup, token_counts, toxicity
-from cucurbit.llm.common import saved
+from cucurbit.llm.common import saved, shared_dir
 
 #: Names that operators use, as columns of the documents.
 CLASHES = ["failed", "n_words", "score", "predicted", "held_out", "__k", "__c", "__text", "__spans", "__row", "__words", "number", "length", "component_id", "n_shingles", "k", "j"]
@@ -101,8 +102,12 @@ def test_empty_documents(spark, docs, sf_dir):
 
 
 def test_run(spark, sf_dir):
+    """Of all tables on the way only the result's is left."""
+    folder = f"{shared_dir(spark).removeprefix('file://')}/tables"
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     found = corpus_pipeline.run(spark, sf_dir)
     assert found.count() and found.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    assert {f"{folder}/{x}" for x in set(os.listdir(folder)) - there} == {found.saved_at.removeprefix("file://")}
 
 
 def test_rows_without_ids(spark):
