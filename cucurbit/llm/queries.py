@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, media, packing, passages, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, decontamination, jaccard_join, media, packing, passages, quality, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_passages": passages.op9_passages,
         "op10_packing": packing.op10_packing,
+        "op13_decontamination": decontamination.op13_decontamination,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_quality_rules": quality.oracle_sql(), "op3_jaccard_join": jaccard_join.oracle_sql(), "op8_suffix_dedup": suffix_dedup.oracle_sql()}
+    return {
+        "op2_quality_rules": quality.oracle_sql(),
+        "op3_jaccard_join": jaccard_join.oracle_sql(),
+        "op8_suffix_dedup": suffix_dedup.oracle_sql(),
+        "op13_decontamination": decontamination.oracle_sql(),
+    }
