@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, divergence, jaccard_join, media, packing, passages, quality, sharding, suffix_dedup, token_counts, toxicity
+from . import bpe, decontamination, divergence, hard_negatives, jaccard_join, media, packing, passages, quality, sharding, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_passages": passages.op9_passages,
         "op10_packing": packing.op10_packing,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_divergence": divergence.op12_divergence,
         "op13_decontamination": decontamination.op13_decontamination,
     }
@@ -27,6 +28,7 @@ def oracle_sql() -> dict:
         "op2_quality_rules": quality.oracle_sql(),
         "op3_jaccard_join": jaccard_join.oracle_sql(),
         "op8_suffix_dedup": suffix_dedup.oracle_sql(),
+        "op11_hard_negatives": hard_negatives.oracle_sql(),
         "op12_divergence": divergence.oracle_sql(),
         "op13_decontamination": decontamination.oracle_sql(),
     }
