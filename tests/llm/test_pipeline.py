@@ -67,7 +67,7 @@ def test_stages(spark, docs, sf_dir):
     assert keys(mild) == Counter({k: n for k, n in keys(clean).items() if k not in bad})
 
     rows = [(r.doc_id, r.text) for r in mild.collect()]
-    least = {k: c for k, _, c in components_of([r for r in rows if r[0] is not None])}
+    least = {k: c for k, _, c in components_of([r for r in rows if r[0] is not None])}  # ids of several texts are in the test below
     alone = stage(spark, "ngram_jaccard_join", mild, sf_dir)
     assert keys(alone) == Counter({None: 1} | {k: 1 for k in least if least[k] == k})
     assert 100_000 in keys(alone) and not {100_001, 100_002} & set(keys(alone))
@@ -94,6 +94,20 @@ def test_stages(spark, docs, sf_dir):
     assert max(used.values()) <= 2048 and len(used) <= 1.05 * -(-sum(used.values()) // 2048) + 1
 
 
+def test_one_id_on_several_texts(spark, sf_dir):
+    """What goes is told by row: a text that is like no other stays, whatever its id's other texts are like."""
+    a, z, q, b = (" ".join(words(80, k)) for k in (51, 52, 53, 54))
+    rows = [(3, a, 1), (5, a, 2), (5, z, 3), (9, q, 4), (9, q, 4), (None, a, 5), (None, b, 6), (None, b, 7), (4, None, 8), (4, None, 8), (5, "", 9), (2, z + " more", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id int")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert found == Counter({(3, a): 1, (2, z + " more"): 1, (9, q): 1, (None, b): 1, (4, None): 2, (5, ""): 1})
+    # Without the document of id 2, the text under id 5 is like no other.
+    again = corpus_pipeline.near_duplicates(spark, docs.where("doc_id is null or doc_id <> 2"), sf_dir)
+    assert {(3, a), (5, z), (9, q), (None, b)} <= {(r.doc_id, r.text) for r in again.collect()}
+
+
 def test_empty_documents(spark, docs, sf_dir):
     own = docs.where("false")
     for name, _ in corpus_pipeline.STAGES:
