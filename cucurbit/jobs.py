@@ -11,10 +11,9 @@ import json
 import math
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, SparkSession
 
-from .operators import model, ranking
+from .operators import labels, model, ranking, training
 from .plans import embed as embedding
 from .plans import preprocess
 from .sources import encodings, molecules, shards
@@ -68,7 +67,8 @@ def parser() -> argparse.ArgumentParser:
     t.add_argument("--max-train-batches", type=positive)
     t.add_argument("--max-valid-batches", type=positive, default=64)
     t.add_argument("--full-validation", action="store_true")
-    t.add_argument("--metric-every", type=positive, default=10)
+    t.add_argument("--metric-every", type=int, default=10, help="take the metrics of the first step and of each so many")
+    t.add_argument("--replicas", type=positive, help="tasks that share each batch")
     t.add_argument("--descriptor-weight", type=float, default=Losses.descriptor_weight)
     t.add_argument("--tanimoto-ranking-weight", type=float, default=Losses.ranking_weight)
     t.add_argument("--tanimoto-ranking-latent-temperature", "--tanimoto-ranking-margin", type=float, default=Losses.latent_temperature)
@@ -129,56 +129,49 @@ def prepared(spark: SparkSession, a: argparse.Namespace) -> tuple[str, dict]:
     return folder, preprocess.backfilled(spark, folder, preprocess.read_manifest(spark, path))
 
 
-def labelled(rows: DataFrame, config: Model, most_rows: int, seed: int) -> DataFrame:
-    """Batches with candidates and, by counted similarity, the best of them; as they are if the ranking term is off."""
-    if config.losses.ranking_weight <= 0:
-        return rows
-    drawn = ranking.with_candidates(rows, seed, config.losses.candidates, most_rows)
-    marks = ranking.top2(ranking.candidate_scores(drawn.withColumn("id", F.col("cid"))))
-    return drawn.join(marks.select("batch_id", F.col("anchor").alias("row"), "best_pos", "top2_gap"), ["batch_id", "row"], "left")
-
-
 def train_job(spark: SparkSession, a: argparse.Namespace) -> dict:
     folder, manifest = prepared(spark, a)
     stored = manifest["preprocessing"]
     if a.resume:
-        config, weights, optimizer, state = model.load_checkpoint(spark, a.checkpoint_dir)
+        config, state, more = training.load_checkpoint(spark, a.checkpoint_dir)
     else:
         config = model_config(a, stored["fingerprint_size"], stored["radius"], preprocess.bit_frequencies(manifest))
-        weights, optimizer, state = model.initial_weights(config), model.Adam(a.learning_rate), {}
+        state, more = training.State.first(spark, config), {}
     shards.check_shape(manifest, config)
     rows = shards.read_shards(spark, folder, manifest)
-
-    def batches(split: str, limit: int | None, seed: int) -> DataFrame:
-        permille = stored["validation_permille"]
-        planned = ranking.split_batches(rows, "shard_id", "row_in_shard", split, a.batch_size, permille, limit)
-        most = ranking.source_rows_per_batch(a.batch_size, permille if split == "validation" else 1000 - permille)
-        return labelled(planned, config, most, seed)
-
-    done, best = state.get("completed_epoch", 0), state.get("best_validation_loss")
+    done, best = more.get("completed_epoch", 0), more.get("best_validation_loss")
     history = []
 
-    def after(epoch: int, weights: dict, optimizer: model.Adam, means: dict) -> None:
+    def batches(split: str, limit: int | None, epoch: int, first_step: int):
+        """The split's batches, with labels by a seed of each batch and epoch if the ranking term is on."""
+        planned = ranking.split_batches(rows, "shard_id", "row_in_shard", split, a.batch_size, stored["validation_permille"], limit)
+        if config.losses.ranking_weight <= 0:
+            return planned
+        return labels.labelled(labels.with_steps(planned, first_step), epoch, config.losses.candidates)
+
+    def after(k: int, state: training.State, means: dict) -> None:
         nonlocal best
-        own = {"epoch": done + epoch, "train": means}
-        if a.validate_every and epoch % a.validate_every == 0 and stored["validation_permille"]:
-            own["validation"] = model.evaluate(batches("validation", None if a.full_validation else a.max_valid_batches, ranking.ranking_seed(epoch, 0)), weights, config)
+        own = {"epoch": done + k, "train": means}
+        if a.validate_every and k % a.validate_every == 0 and stored["validation_permille"]:
+            own["validation"] = model.evaluate(batches("validation", None if a.full_validation else a.max_valid_batches, done + k, 0), state.weights(), config)
             if own["validation"]:
                 best = min(own["validation"]["total"], math.inf if best is None else best)
         history.append(own)
         print(json.dumps(own))
-        if epoch == a.epochs or a.checkpoint_every and epoch % a.checkpoint_every == 0:
-            model.save_checkpoint(spark, a.checkpoint_dir, config, weights, optimizer, {"completed_epoch": done + epoch, "best_validation_loss": best})
+        if k == a.epochs or a.checkpoint_every and k % a.checkpoint_every == 0:
+            training.save_checkpoint(spark, a.checkpoint_dir, config, state, {"completed_epoch": done + k, "best_validation_loss": best}, a.learning_rate)
 
-    model.train(batches("train", a.max_train_batches, ranking.ranking_seed(1, 0)), config, a.epochs, weights=weights, optimizer=optimizer, after=after)
-    return {"epochs": history, "best_validation_loss": best}
+    made = lambda k, steps: batches("train", a.max_train_batches, done + k, steps)
+    state, _ = training.train(made, config, a.epochs, a.learning_rate, state=state, noise=True, after=after, every=a.metric_every, replicas=a.replicas, spark=spark)
+    return {"epochs": history, "best_validation_loss": best, "steps": state.steps}
 
 
 def embed_job(spark: SparkSession, a: argparse.Namespace) -> dict:
-    config, weights, _, _ = model.load_checkpoint(spark, a.checkpoint)
+    config, state, _ = training.load_checkpoint(spark, a.checkpoint)
     rows = molecules.read_molecules(spark, a.input, a.smiles_column)
-    encodings.write_encodings(embedding.embed(rows, weights, config, a.batch_size), a.output, config.latent_width, a.parquet_compression)
-    left = embedding.skipped(rows).count()
+    watch = Observation()
+    encodings.write_encodings(embedding.embed(rows, state.weights(), config, a.batch_size, watch=watch), a.output, config.latent_width, a.parquet_compression)
+    left = watch.get["skipped"]
     print(f"embed_skip={left}", file=sys.stderr)
     return {"skipped": left}
 

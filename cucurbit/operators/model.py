@@ -1,4 +1,4 @@
-"""The autoencoder: weights as a table, forward pass in Arrow functions or as joins, losses by batch, and training by summed gradients.
+"""The autoencoder: weights as a table of blocks, forward pass in Arrow functions or as joins, and the losses of a batch with their gradients.
 
 A batch is a group of rows with one batch_id; its size is bounded by the plan that made it.  Tasks
 read whole batches as sorted streams, so the ranking term finds a batch's other rows beside its own.
@@ -6,7 +6,6 @@ read whole batches as sorted streams, so the ranking term finds a batch's other
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..types import ENCODING, Losses, Model
+from .bins import Bins
 from .metrics import mean_of_means
+from .ring import Alone
 
 LN2 = 0.6931471805599453
 TERMS = ("reconstruction", "bce", "descriptor", "ranking")
-#: Values of a gradient in one row on its way through the shuffle.
-BLOCK = 1 << 16
+#: Values in one row of a table of weights, stored as little-endian bytes.
+BLOCK = 1 << 18
+WEIGHTS = "kind string, layer string, shape array<int>, block int, data binary"
 
 
 # -- weights ------------------------------------------------------------------------------------------
@@ -41,28 +43,47 @@ def initial_weights(config: Model, seed: int = 0) -> dict[str, np.ndarray]:
     return out
 
 
-def weight_table(spark: SparkSession, weights: dict[str, np.ndarray]) -> DataFrame:
-    """Rows of at most ``BLOCK`` values: layer, shape, block, data."""
-    rows = [(k, [int(n) for n in v.shape], i // BLOCK, v.ravel()[i : i + BLOCK].astype(float).tolist()) for k, v in weights.items() for i in range(0, v.size, BLOCK)]
-    return spark.createDataFrame(rows, "layer string, shape array<int>, block int, data array<float>")
+def weight_blocks(kind: str, arrays: dict[str, np.ndarray], block: int, keep=lambda block: True) -> Iterator[pa.RecordBatch]:
+    """Rows of at most ``block`` values of arrays; ``keep`` takes a row's number among all of them."""
+    n = 0
+    for layer, v in arrays.items():
+        flat = v.ravel()
+        for i in range(0, v.size, block):
+            if keep(n):
+                row = {"kind": kind, "layer": layer, "shape": list(v.shape), "block": i // block, "data": flat[i : i + block].astype(v.dtype.newbyteorder("<")).tobytes()}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("kind", pa.string()), ("layer", pa.string()), ("shape", pa.list_(pa.int32())), ("block", pa.int32()), ("data", pa.binary())]))
+            n += 1
 
 
-def load_weights(table: DataFrame) -> dict[str, np.ndarray]:
-    """The arrays of a model, which fits in a worker's memory by its configuration."""
-    parts: dict[str, list] = {}
-    for r in table.orderBy("layer", "block").toLocalIterator():
-        parts.setdefault(r.layer, [r.shape]).append(np.array(r.data, np.float32))
-    return {k: np.concatenate(v[1:]).reshape(v[0]) for k, v in parts.items()}
+def weight_table(spark: SparkSession, config: Model, seed: int = 0) -> DataFrame:
+    """First weights, made by a task: kind ('weights'), layer, shape, block, and data, values of 4 bytes."""
+    block = BLOCK
+    return spark.range(1).coalesce(1).mapInArrow(lambda _: weight_blocks("weights", initial_weights(config, seed), block), WEIGHTS)
+
+
+def arrays_of(rows) -> dict[str, np.ndarray]:
+    """rows: layer, shape, block and data of one kind.  The arrays, of 4 bytes a value."""
+    parts: dict[str, dict[int, np.ndarray]] = {}
+    shapes: dict[str, list[int]] = {}
+    for layer, shape, block, data in rows:
+        parts.setdefault(layer, {})[block], shapes[layer] = np.frombuffer(bytes(data), "<f4"), shape
+    return {k: np.concatenate([v[i] for i in sorted(v)]).reshape(shapes[k]) for k, v in parts.items()}
+
+
+def load_weights(table: DataFrame, kind: str = "weights") -> dict[str, np.ndarray]:
+    """The arrays of a model, to be sent to the tasks that apply it: 4 bytes a weight, which fit in a worker's memory by its configuration."""
+    return arrays_of(table.where(F.col("kind") == kind).select("layer", "shape", "block", "data").toLocalIterator())
 
 
 # -- forward ------------------------------------------------------------------------------------------
 
 
-def stack(weights: dict[str, np.ndarray], name: str, x: np.ndarray) -> list[np.ndarray]:
+def stack(weights: dict[str, np.ndarray], name: str, x: np.ndarray | Bins) -> list:
     """Inputs of each layer and the output; ReLU after all but the last."""
     out, k = [x], 0
     while f"{name}.{k}.weight" in weights:
-        x = x @ weights[f"{name}.{k}.weight"] + weights[f"{name}.{k}.bias"]
+        w = weights[f"{name}.{k}.weight"]
+        x = (x.times(w) if isinstance(x, Bins) else x @ w) + weights[f"{name}.{k}.bias"]
         k += 1
         if f"{name}.{k}.weight" in weights:
             x = np.maximum(x, 0)
@@ -75,19 +96,20 @@ def precision(weights: dict[str, np.ndarray]) -> np.dtype:
     return weights["encoder.0.weight"].dtype
 
 
-def dense_rows(indices, counts, width: int, kind: np.dtype = np.float32) -> np.ndarray:
-    x = np.zeros((len(indices), width), kind)
-    for k, (i, c) in enumerate(zip(indices, counts, strict=True)):
-        np.add.at(x[k], np.asarray(i, np.int64), np.log1p(np.asarray(c, kind)))
-    return x
+def similarities(x: Bins, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By row: counted and binary similarity of target and restored log counts; a bin that the target sets is a bit, and a restored value above 0."""
+    p = np.maximum(np.expm1(np.minimum(back.astype(np.float64), 50)), 0)
+    t, own = np.expm1(x.value.astype(np.float64)), p[x.row, x.bin]
+    low, high = x.by_row(np.minimum(t, own)), p.sum(1) + x.by_row(np.maximum(t - own, 0))
+    said = back > 0
+    both = x.by_row(said[x.row, x.bin].astype(np.float64))
+    union = said.sum(1) + x.by_row(np.ones(len(x.row))) - both
+    return np.where(high <= 0, 1.0, low / np.maximum(high, 1e-12)), np.where(union == 0, 1.0, both / np.maximum(union, 1))
 
 
-def similarities(x: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By row: counted and binary similarity of target and restored log counts; a bin that the target sets is a bit, and a restored value above 0."""
-    t, p = np.expm1(x.astype(np.float64)), np.maximum(np.expm1(np.minimum(back.astype(np.float64), 50)), 0)
-    high, bits, said = np.maximum(t, p).sum(1), x > 0, back > 0
-    union = (bits | said).sum(1)
-    return np.where(high <= 0, 1.0, np.minimum(t, p).sum(1) / np.maximum(high, 1e-12)), np.where(union == 0, 1.0, (bits & said).sum(1) / np.maximum(union, 1))
+def squared_errors(x: Bins, back: np.ndarray) -> np.ndarray:
+    """By row, the mean squared distance of target and restored log counts."""
+    return ((back**2).sum(1) + x.by_row((back[x.row, x.bin] - x.value) ** 2 - back[x.row, x.bin] ** 2)) / x.shape[1]
 
 
 def encode(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model, batch: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,7 +122,7 @@ def encode(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model, ba
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                x = dense_rows(part["indices"], part["counts"], width)
+                x = Bins.of(part["indices"], part["counts"], width)
                 latent = stack(w, "encoder", x)[-1]
                 back = stack(w, "decoder", latent)[-1]
                 count, binary = similarities(x, back)
@@ -109,7 +131,7 @@ def encode(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model, ba
                     "smiles": part["smiles"].to_numpy(),
                     "count_tanimoto": count.astype(np.float32),
                     "binary_tanimoto": binary.astype(np.float32),
-                    "log_mse": ((x - back) ** 2).mean(1).astype(np.float32),
+                    "log_mse": squared_errors(x, back).astype(np.float32),
                     "latent": list(latent.astype(np.float32)),
                 })
 
@@ -128,7 +150,7 @@ def forward(vectors: DataFrame, weights: dict[str, np.ndarray], config: Model, k
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                latent = stack(w, "encoder", dense_rows(part["indices"], part["counts"], width, kind))[-1]
+                latent = stack(w, "encoder", Bins.of(part["indices"], part["counts"], width, kind))[-1]
                 made = {"latent": latent, "reconstructed_log_counts": stack(w, "decoder", latent)[-1], "descriptor_predictions": stack(w, "descriptor", latent)[-1]}
                 yield pd.DataFrame({c: part[c].to_numpy() for c in keep} | {k: list(v.astype(kind)) for k, v in made.items()})
 
@@ -168,87 +190,121 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _ranking(latent: np.ndarray, candidates, best, gap: np.ndarray, c: Losses) -> tuple[float, float, int, np.ndarray]:
-    """Loss, accuracy, valid pairs, and the loss's gradient by latent vector, of one batch."""
+def _ranking(latent: np.ndarray, candidates, best, gap: np.ndarray, c: Losses, rows: np.ndarray | None = None, group=None) -> tuple[float, float, int, np.ndarray]:
+    """Loss, accuracy, valid pairs, and the loss's gradient by latent vector, of one batch.
+
+    ``latent`` has all rows of the batch.  If a group shares the batch, the labels are those of the
+    task's own ``rows`` and what is returned is the sum over the group.
+    """
+    group = group or Alone()
+    rows = np.arange(len(latent)) if rows is None else rows
     grad = np.zeros_like(latent)
-    n = len(latent) if not c.pairs_per_batch else min(len(latent), c.pairs_per_batch)
-    if len(latent) < 3 or any(len(x) < 2 for x in candidates[:n]):
+    own = np.flatnonzero(rows < (c.pairs_per_batch or len(latent)))
+    short = np.array([float(any(len(candidates[k]) < 2 for k in own))])
+    if len(latent) < 3 or group.add(short)[0]:
         return 0.0, 0.0, 0, grad
-    who = np.stack([np.asarray(x, np.int64) for x in candidates[:n]])
-    best = np.asarray(best[:n], np.int64)
-    a, b = latent[:n, None, :], latent[who]
-    norm = np.sqrt((latent**2).sum(1) + 1e-6)
-    na, nb = norm[:n, None], norm[who]
-    cos = (a * b).sum(2) / (na * nb)
-    logits = np.clip(cos, -1, 1) / max(c.latent_temperature, 1e-6)
-    shifted = logits - logits.max(1, keepdims=True)
-    p = np.exp(shifted) / np.exp(shifted).sum(1, keepdims=True)
-    rows = np.arange(n)
-    valid = gap[:n] > c.min_gap
-    w = np.where(valid, gap[:n], 0.0)
-    total = max(w.sum(), 1e-6)
-    loss = float((-np.log(np.maximum(p[rows, best], 1e-300)) * w).sum() / total)
-    accuracy = float(((logits.argmax(1) == best) & valid).sum() / max(valid.sum(), 1))
-    d = p.copy()
-    d[rows, best] -= 1
-    d *= (w / total)[:, None] / max(c.latent_temperature, 1e-6) * (np.abs(cos) <= 1)
-    da = b / (na * nb)[:, :, None] - a * (cos / na**2)[:, :, None]
-    db = a / (na * nb)[:, :, None] - b * (cos / nb**2)[:, :, None]
-    grad[:n] += (d[:, :, None] * da).sum(1)
-    np.add.at(grad, who, d[:, :, None] * db)
-    return loss, accuracy, int(valid.sum()), grad
-
-
-def batch_losses(w: dict[str, np.ndarray], x: np.ndarray, descriptors: np.ndarray, labels: tuple | None, config: Model, noise: np.ndarray | None = None, gradients: bool = True) -> tuple[dict[str, float], dict[str, np.ndarray]]:
-    """The weighted terms, accuracy, valid_pairs, similarities and total of one batch, and the gradients of the total."""
-    c, (n, width) = config.losses, x.shape
+    told = np.zeros(4)
+    if len(own):
+        at, who, best, gap = rows[own], np.stack([np.asarray(candidates[k], np.int64) for k in own]), np.asarray(best, np.int64)[own], gap[own]
+        norm = np.sqrt((latent**2).sum(1) + 1e-6)
+        a, b, na, nb = latent[at][:, None, :], latent[who], norm[at][:, None], norm[who]
+        cos = (a * b).sum(2) / (na * nb)
+        logits = np.clip(cos, -1, 1) / max(c.latent_temperature, 1e-6)
+        shifted = logits - logits.max(1, keepdims=True)
+        p = np.exp(shifted) / np.exp(shifted).sum(1, keepdims=True)
+        each, valid = np.arange(len(own)), gap > c.min_gap
+        w = np.where(valid, gap, 0.0)
+        told[:] = (-np.log(np.maximum(p[each, best], 1e-300)) * w).sum(), w.sum(), ((logits.argmax(1) == best) & valid).sum(), valid.sum()
+        d = p.copy()
+        d[each, best] -= 1
+        d *= w[:, None] / max(c.latent_temperature, 1e-6) * (np.abs(cos) <= 1)
+        grad[at] += (d[:, :, None] * (b / (na * nb)[:, :, None] - a * (cos / na**2)[:, :, None])).sum(1)
+        np.add.at(grad, who, d[:, :, None] * (a / (na * nb)[:, :, None] - b * (cos / nb**2)[:, :, None]))
+    summed = group.add(np.concatenate([grad.ravel(), told]))
+    loss, total, right, valid = summed[-4:]
+    return float(loss / max(total, 1e-6)), float(right / max(valid, 1)), int(valid), summed[:-4].reshape(grad.shape) / max(total, 1e-6)
+
+
+def batch_losses(w: dict[str, np.ndarray], x, descriptors: np.ndarray, labels: tuple | None, config: Model, noise: np.ndarray | None = None, gradients: bool = True, group=None, rows: np.ndarray | None = None, n: int | None = None) -> tuple[dict[str, float], dict[str, np.ndarray]]:
+    """The weighted terms, accuracy, valid_pairs, similarities and total of one batch, and the gradients of the total.
+
+    x: log counts of the rows, as ``Bins`` or dense.  noise: for each row, in shares of the latent
+    vectors' deviation, which counts as a constant.  If a ``group`` of tasks shares a batch of ``n``
+    rows, each has some, numbered ``rows`` among all of them, and all get the sums.
+    """
+    group = group or Alone()
+    x = x if isinstance(x, Bins) else Bins.of_dense(x)
+    c, width = config.losses, x.shape[1]
+    n, rows = (x.shape[0], np.arange(x.shape[0])) if n is None else (n, rows)
     enc = stack(w, "encoder", x)
     latent = enc[-1]
-    scale = np.sqrt(((latent - latent.mean(0)) ** 2).mean() + 1e-6)
-    dec = stack(w, "decoder", latent if noise is None else latent + noise * scale)
+    every = np.zeros((n, latent.shape[1]), latent.dtype)
+    every[rows] = latent
+    every = group.add(every)
+    if noise is None:
+        dec = stack(w, "decoder", latent)
+    else:
+        scale = np.sqrt(((every - every.mean(0)) ** 2).mean() + 1e-6)
+        dec = stack(w, "decoder", (latent + noise[rows] * scale).astype(latent.dtype))
     head = stack(w, "descriptor", latent)
-    q, active = dec[-1].astype(np.float64), x > 0
-    delta = np.where(active, q - x, np.maximum(q, 0))
-    size, weight = np.abs(delta), np.where(active, c.huber_active, c.huber_zero) / (n * width)
+    q = dec[-1].astype(np.float64)
+    at, own = (x.row, x.bin), q[x.row, x.bin]
+    # As if no bin were set, and then the set ones.
+    delta, weight = np.maximum(q, 0), np.full(q.shape, c.huber_zero / (n * width))
+    delta[at], weight[at] = own - x.value, c.huber_active / (n * width)
+    size = np.abs(delta)
     out = dict.fromkeys(TERMS, 0.0)
     out["reconstruction"] = float((np.where(size <= c.huber_beta, 0.5 / c.huber_beta * delta**2, size - 0.5 * c.huber_beta) * weight).sum())
     grad = np.clip(delta / c.huber_beta, -1, 1) * weight
     if c.bce_weight > 0:
-        sign = np.where(active, -1.0, 1.0)
-        bins = np.where(active, c.bce_active, c.bce_zero)
+        bins, wrong = np.full(q.shape, c.bce_zero), q.copy()
+        bins[at], wrong[at] = c.bce_active, -own
         if config.bit_frequencies:
             f = np.asarray(config.bit_frequencies)
-            bins = bins * np.where(active, -np.log(f + 1e-6), -np.log(1 - f + 1e-6))
-        bins = bins * c.bce_weight / (n * width)
-        out["bce"] = float((np.maximum(_softplus(sign * q) - LN2, 0) * bins).sum())
-        grad = grad + np.where(sign * q > 0, sign * _sigmoid(sign * q), 0) * bins
+            set_bins = c.bce_active * -np.log(f + 1e-6)
+            bins *= -np.log(1 - f + 1e-6)
+            bins[at] = set_bins[x.bin]
+        bins *= c.bce_weight / (n * width)
+        out["bce"] = float((np.maximum(_softplus(wrong) - LN2, 0) * bins).sum())
+        slope = np.where(wrong > 0, _sigmoid(wrong), 0) * bins
+        slope[at] *= -1
+        grad = grad + slope
     by_latent = np.zeros(latent.shape)
     by_head = np.zeros(head[-1].shape)
     if c.descriptor_weight > 0:
         off = head[-1] - descriptors
-        out["descriptor"] = float((off.astype(np.float64) ** 2).mean() * c.descriptor_weight)
-        by_head = 2 * off * c.descriptor_weight / off.size
-    out["accuracy"], out["valid_pairs"] = 0.0, 0.0
+        out["descriptor"] = float((off.astype(np.float64) ** 2).sum() / (n * off.shape[1]) * c.descriptor_weight)
+        by_head = 2 * off * c.descriptor_weight / (n * off.shape[1])
+    count, binary = similarities(x, dec[-1])
+    sums = group.add(np.array([*(out[t] for t in TERMS), count.sum() / n, binary.sum() / n]))
+    out = dict(zip(TERMS, map(float, sums[:4]), strict=True)) | {"accuracy": 0.0, "valid_pairs": 0.0}
     if c.ranking_weight > 0 and labels is not None:
-        loss, out["accuracy"], out["valid_pairs"], g = _ranking(latent.astype(np.float64), *labels, c)
+        loss, out["accuracy"], out["valid_pairs"], g = _ranking(every.astype(np.float64), *labels, c, rows, group)
         out["ranking"] = loss * c.ranking_weight
-        by_latent += g * c.ranking_weight
+        by_latent += g[rows] * c.ranking_weight
     out["total"] = sum(out[t] for t in TERMS)
-    count, binary = similarities(x, dec[-1])
-    out |= {"count_tanimoto": float(count.mean()), "binary_tanimoto": float(binary.mean())}
+    out |= {"count_tanimoto": float(sums[4]), "binary_tanimoto": float(sums[5])}
     total: dict[str, np.ndarray] = {}
     if not gradients:
         return out, total
 
-    def back(name: str, inputs: list[np.ndarray], g: np.ndarray) -> np.ndarray:
+    def back(name: str, inputs: list, g: np.ndarray) -> np.ndarray:
         for k in range(len(inputs) - 2, -1, -1):
-            total[f"{name}.{k}.weight"], total[f"{name}.{k}.bias"] = inputs[k].T @ g, g.sum(0)
+            total[f"{name}.{k}.weight"] = inputs[k].back(g) if isinstance(inputs[k], Bins) else inputs[k].T @ g
+            total[f"{name}.{k}.bias"] = g.sum(0)
+            if isinstance(inputs[k], Bins):
+                break
             g = g @ w[f"{name}.{k}.weight"].T
             if k:
                 g = g * (inputs[k] > 0)
         return g
 
     back("encoder", enc, back("decoder", dec, grad) + back("descriptor", head, by_head) + by_latent)
+    if group.size > 1:
+        # One sum for all arrays, in the weights' precision.
+        flat = group.add(np.concatenate([total[k].ravel() for k in total]).astype(w["encoder.0.weight"].dtype))
+        ends = np.cumsum([total[k].size for k in total])
+        total = {k: part.reshape(total[k].shape) for k, part in zip(total, np.split(flat, ends[:-1]), strict=True)}
     return out, total
 
 
@@ -268,16 +324,21 @@ def _batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat(held)
 
 
-def _dealt(batches: DataFrame) -> DataFrame:
+def labels_filled(batches: DataFrame) -> DataFrame:
+    """What the losses read of batches; without labels, those of the ranking term are empty."""
     names = ["batch_id", "row", "indices", "counts", "descriptor_targets"]
     empty = {"candidates": F.array().cast("array<int>"), "best_pos": F.lit(0), "top2_gap": F.lit(0.0)}
-    rows = batches.select(*names, *((F.coalesce(k, v) if k in batches.columns else v).alias(k) for k, v in empty.items()))
-    return rows.repartition("batch_id").sortWithinPartitions("batch_id", "row")
+    return batches.select(*names, *((F.coalesce(k, v) if k in batches.columns else v).alias(k) for k, v in empty.items()))
+
+
+def _dealt(batches: DataFrame) -> DataFrame:
+    return labels_filled(batches).repartition("batch_id").sortWithinPartitions("batch_id", "row")
 
 
-def _one(batch: pd.DataFrame, config: Model, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, tuple]:
-    x = dense_rows(batch["indices"], batch["counts"], config.fingerprint_size, kind)
-    return x, np.stack(batch["descriptor_targets"].to_list()), (batch["candidates"].to_list(), batch["best_pos"].to_list(), batch["top2_gap"].to_numpy(np.float64))
+def _one(batch: pd.DataFrame, config: Model, kind: np.dtype) -> tuple[Bins, np.ndarray, tuple]:
+    x = Bins.of(batch["indices"], batch["counts"], config.fingerprint_size, kind)
+    descriptors = np.stack(batch["descriptor_targets"].to_list()) if len(batch) else np.zeros((0, config.descriptor_width))
+    return x, descriptors, (batch["candidates"].to_list(), batch["best_pos"].to_list(), batch["top2_gap"].to_numpy(np.float64))
 
 
 def losses_by_batch(batches: DataFrame, weights: dict[str, np.ndarray], config: Model) -> DataFrame:
@@ -300,122 +361,3 @@ def evaluate(batches: DataFrame, weights: dict[str, np.ndarray], config: Model)
     if not np.isfinite(found["total"]):
         raise ValueError("the validation loss is not finite")
     return found
-
-
-def gradient_step(batches: DataFrame, weights: dict[str, np.ndarray], config: Model, noise_seed: int | None = None) -> tuple[dict[str, float], dict[str, np.ndarray]]:
-    """Means over batches of the measures and of the gradients.
-
-    Each task adds its batches' gradients and sends them once, in blocks of ``BLOCK`` values; Spark adds
-    the blocks.  What reaches the driver is of the size of the weights, which it holds anyway.
-    """
-    shared = batches.sparkSession.sparkContext.broadcast(weights)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        told, n = np.zeros(len(METRICS)), 0
-        for batch in _batches(b.to_pandas() for b in frames):
-            noise = None
-            if noise_seed is not None and config.latent_noise_std > 0:
-                rng = np.random.default_rng([noise_seed, int(batch["batch_id"].iloc[0])])
-                noise = rng.normal(0, config.latent_noise_std, (len(batch), config.latent_width))
-            own, g = batch_losses(shared.value, *_one(batch, config, precision(shared.value)), config, noise)
-            told, n = told + [own[m] for m in METRICS], n + 1
-            for k, v in g.items():
-                total[k] = total[k] + v if k in total else np.asarray(v, np.float64)
-        total["told"] = np.append(told, n)
-        for k, v in total.items():
-            v = v.ravel()
-            for i in range(0, len(v), BLOCK):
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([i // BLOCK], pa.int32()), pa.array([v[i : i + BLOCK].astype("<f8").tobytes()], pa.binary())], ["layer", "block", "data"])
-
-    def added(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sums = None, np.zeros(0)
-        for b in frames:
-            for layer, block, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                values = np.frombuffer(data, "<f8")
-                if key == (layer, block):
-                    sums = sums + values
-                    continue
-                if key is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["layer", "block", "data"])
-                key, sums = (layer, block), values
-        if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["layer", "block", "data"])
-
-    kinds = "layer string, block int, data binary"
-    parts = _dealt(batches).mapInArrow(run, kinds)
-    summed = parts.repartition("layer", "block").sortWithinPartitions("layer", "block").mapInArrow(added, kinds)
-    found: dict[str, dict[int, np.ndarray]] = {}
-    for r in summed.toLocalIterator():
-        found.setdefault(r.layer, {})[r.block] = np.frombuffer(bytes(r.data), "<f8")
-    flat = {k: np.concatenate([v[i] for i in sorted(v)]) for k, v in found.items()}
-    told = flat.pop("told", np.zeros(len(METRICS) + 1))
-    n = max(int(told[-1]), 1)
-    means = dict(zip(METRICS, (told[:-1] / n).tolist(), strict=True)) | {"batches": int(told[-1])}
-    if not np.isfinite(means["total"]):
-        raise ValueError("the loss is not finite")
-    return means, {k: (v / n).reshape(weights[k].shape) for k, v in flat.items()}
-
-
-class Adam:
-    """Moments by layer; ``step`` returns the next weights."""
-
-    def __init__(self, rate: float = 1e-3, steps: int = 0, first: dict | None = None, second: dict | None = None):
-        self.rate, self.steps, self.first, self.second = rate, steps, first or {}, second or {}
-
-    def step(self, weights: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        self.steps += 1
-        out = dict(weights)
-        for k, g in grads.items():
-            self.first[k] = 0.9 * self.first.get(k, 0) + 0.1 * g
-            self.second[k] = 0.999 * self.second.get(k, 0) + 0.001 * g * g
-            m, v = self.first[k] / (1 - 0.9**self.steps), self.second[k] / (1 - 0.999**self.steps)
-            out[k] = (weights[k] - self.rate * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
-        return out
-
-
-def train(batches: DataFrame, config: Model, epochs: int = 5, rate: float = 1e-2, seed: int = 0, weights: dict | None = None, optimizer: Adam | None = None, noise: bool = False, after=None) -> tuple[dict[str, np.ndarray], list[float], Adam]:
-    """Adam on the mean gradient of all batches, one step an epoch; the driver holds the weights, the rows stay where they are.
-
-    ``after(epoch, weights, optimizer, means)`` is called behind each step, to validate or to save.
-    """
-    weights = weights or initial_weights(config, seed)
-    optimizer = optimizer or Adam(rate)
-    losses = []
-    for epoch in range(1, epochs + 1):
-        means, grads = gradient_step(batches, weights, config, optimizer.steps if noise else None)
-        losses.append(means["total"])
-        weights = optimizer.step(weights, grads)
-        if after:
-            after(epoch, weights, optimizer, means)
-    return weights, losses, optimizer
-
-
-# -- checkpoints --------------------------------------------------------------------------------------
-
-
-def save_checkpoint(spark: SparkSession, folder: str, config: Model, weights: dict[str, np.ndarray], optimizer: Adam, state: dict) -> None:
-    """model-config.json, the weights and the optimizer's moments as Parquet, and last state.json."""
-    from ..plans.preprocess import write_text
-
-    folder = folder.rstrip("/")
-    write_text(spark, f"{folder}/model-config.json", config.to_json())
-    weight_table(spark, weights).write.mode("overwrite").parquet(f"{folder}/model")
-    moments = {f"{n}:{k}": np.asarray(v) for n, part in (("first", optimizer.first), ("second", optimizer.second)) for k, v in part.items()}
-    weight_table(spark, moments).write.mode("overwrite").parquet(f"{folder}/optimizer")
-    write_text(spark, f"{folder}/state.json", json.dumps(state | {"optimizer_steps": optimizer.steps, "learning_rate": optimizer.rate}, indent=2))
-
-
-def load_checkpoint(spark: SparkSession, folder: str) -> tuple[Model, dict[str, np.ndarray], Adam, dict]:
-    """What save_checkpoint wrote; a folder without a state gives a fresh optimizer."""
-    from ..plans.preprocess import exists
-
-    folder = folder.rstrip("/")
-    config = Model.from_json(spark.read.text(f"{folder}/model-config.json", wholetext=True).first()[0])
-    weights = load_weights(spark.read.parquet(f"{folder}/model"))
-    if not exists(spark, f"{folder}/state.json"):
-        return config, weights, Adam(), {}
-    state = json.loads(spark.read.text(f"{folder}/state.json", wholetext=True).first()[0])
-    moments = load_weights(spark.read.parquet(f"{folder}/optimizer"))
-    first, second = ({k.split(":", 1)[1]: v.astype(np.float64) for k, v in moments.items() if k.startswith(f"{n}:")} for n in ("first", "second"))
-    return config, weights, Adam(state["learning_rate"], state["optimizer_steps"], first, second), state

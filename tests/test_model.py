@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cucurbit.functions import chem, sparse
-from cucurbit.operators import losses, metrics, model, ranking, vectors
+from cucurbit.operators import bins, labels, losses, metrics, model, ranking, training, vectors
 from cucurbit.types import Losses, Model, Preprocessing, QualityFilter
 
 CONFIG = Model(fingerprint_size=12, descriptor_width=3, latent_width=4, hidden_widths=(6, 5), bit_frequencies=tuple([0.25] * 12), losses=Losses(min_gap=0.0, candidates=2))
@@ -199,27 +199,111 @@ def test_small_batches_get_zeros(spark):
     assert on[0] == pytest.approx(2 * math.log1p(math.exp(-1)))
 
 
+def labelled_batches(spark):
+    """Three batches of 20, 20 and 13 rows, with labels."""
+    rows = vectors.to_arrays(spark.range(53).select("id", F.explode(F.array(F.col("id") % 5, 5 + F.col("id") % 3, 8 + F.col("id") % 4)).alias("i")).select("id", F.col("i").cast("int").alias("idx"), (F.col("id") % 3 + 1).cast("int").alias("cnt")))
+    planned = ranking.planned_batches(rows, "id", 20).withColumn("descriptor_targets", F.array(F.lit(0.5), (F.col("id") % 2).cast("double"), F.lit(1.0)))
+    return labels.labelled(labels.with_steps(planned), 1, 2)
+
+
+def one_process(frame, weights, epochs, noise, rate=0.02):
+    """The same steps in a loop over whole batches."""
+    optimizer, told = training.Adam(rate), []
+    for _ in range(epochs):
+        for _, own in frame.toPandas().sort_values(["batch_id", "row"]).groupby("batch_id"):
+            x, d, marks = model._one(own, CONFIG, np.float32)
+            extra = training.noise_of(CONFIG, optimizer.steps + 1, len(own)) if noise else None
+            measures, grads = model.batch_losses(weights, x, d, marks, CONFIG, extra)
+            weights = optimizer.step(weights, grads)
+            told.append(measures)
+    return weights, optimizer, told
+
+
+@pytest.mark.parametrize(("replicas", "noise"), [(1, True), (2, True), (3, False)])
+def test_training_steps_by_batch(spark, replicas, noise):
+    frame = labelled_batches(spark).cache()
+    state, history = training.train(frame, CONFIG, 2, 0.02, seed=1, noise=noise, replicas=replicas, every=2)
+    weights, optimizer, told = one_process(frame, model.initial_weights(CONFIG, 1), 2, noise)
+    assert state.steps == optimizer.steps == 6
+    for kind, want in (("weights", weights), ("first", optimizer.first), ("second", optimizer.second)):
+        got = model.load_weights(state.table, kind)
+        assert set(got) == set(want) and all(np.abs(got[k] - want[k]).max() < 1e-5 for k in want), kind
+    # Steps 1 and 2 of the first epoch, 4 and 6 of the second.
+    assert [h["sampled"] for h in history] == [2, 2] and [h["batches"] for h in history] == [3, 3]
+    for h, taken in zip(history, ((0, 1), (3, 5)), strict=True):
+        for m in model.METRICS:
+            assert h[m] == pytest.approx(np.mean([told[k][m] for k in taken]), rel=1e-4, abs=1e-6), m
+    assert history[0]["valid_pairs"] > 0
+
+
+def test_training_goes_on_from_a_checkpoint(spark, tmp_path):
+    frame = labelled_batches(spark).cache()
+    whole, _ = training.train(frame, CONFIG, 3, 0.02, seed=1, noise=True, replicas=2)
+    state, _ = training.train(frame, CONFIG, 2, 0.02, seed=1, noise=True, replicas=2)
+    training.save_checkpoint(spark, f"{tmp_path}/run", CONFIG, state, {"completed_epoch": 2})
+    config, state, more = training.load_checkpoint(spark, f"{tmp_path}/run")
+    assert config == CONFIG and state.steps == 6 and more["completed_epoch"] == 2
+    state, history = training.train(frame, config, 1, 0.02, state=state, noise=True, replicas=3)
+    a, b = state.weights(), whole.weights()
+    assert state.steps == 9 and all(np.abs(a[k] - b[k]).max() < 1e-5 for k in b)
+
+
 def test_training_falls_and_evaluates(spark):
-    rows = vectors.to_arrays(spark.range(60).select("id", F.explode(F.array(F.col("id") % 5, 5 + F.col("id") % 3)).alias("i")).select("id", F.col("i").cast("int").alias("idx"), F.lit(3).alias("cnt")))
-    frame = ranking.planned_batches(rows, "id", 20).withColumn("descriptor_targets", F.array(F.lit(0.5), F.lit(0.0), F.lit(1.0)))
-    _, told, optimizer = model.train(frame, CONFIG, 8, 0.02, seed=1)
-    assert told[-1] < told[0] and optimizer.steps == 8
+    frame = labelled_batches(spark).cache()
+    _, told = training.train(frame, CONFIG, 6, 0.02, seed=1)
+    assert told[-1]["total"] < told[0]["total"]
     weights = model.initial_weights(CONFIG, 1)
     by_batch = model.losses_by_batch(frame, weights, CONFIG)
-    assert sorted((r.batch_id, r.rows) for r in by_batch.collect()) == [(0, 20), (1, 20), (2, 20)]
+    assert sorted((r.batch_id, r.rows) for r in by_batch.collect()) == [(0, 20), (1, 20), (2, 13)]
     found = model.evaluate(frame, weights, CONFIG)
-    assert found["total"] == pytest.approx(told[0], rel=1e-6)
+    own = frame.toPandas().sort_values(["batch_id", "row"]).groupby("batch_id")
+    assert found["total"] == pytest.approx(np.mean([model.batch_losses(weights, *model._one(b, CONFIG, np.float32), CONFIG)[0]["total"] for _, b in own]), rel=1e-5)
     assert model.evaluate(frame.where("false"), weights, CONFIG) is None
+    state, none = training.train(frame.where("false"), CONFIG, 1, 0.02, replicas=2)
+    assert state.steps == 0 and none == [{"batches": 0, "sampled": 0}]
     # Noise moves the reconstruction alone.
-    quiet, _ = model.gradient_step(frame, weights, CONFIG)
-    noisy, _ = model.gradient_step(frame, weights, CONFIG, noise_seed=5)
-    assert noisy["descriptor"] == pytest.approx(quiet["descriptor"]) and noisy["reconstruction"] != quiet["reconstruction"]
+    one = frame.where("batch_id = 0").toPandas().sort_values("row")
+    x, d, marks = model._one(one, CONFIG, np.float32)
+    quiet, noisy = (model.batch_losses(weights, x, d, marks, CONFIG, extra)[0] for extra in (None, training.noise_of(CONFIG, 5, 20)))
+    assert noisy["descriptor"] == quiet["descriptor"] and noisy["ranking"] == quiet["ranking"] and noisy["reconstruction"] != quiet["reconstruction"]
+
+
+def test_sparse_rows_equal_dense_ones():
+    r = np.random.default_rng(2)
+    x = np.where(r.random((9, 30)) < 0.3, r.random((9, 30)), 0.0)
+    x[4] = 0
+    own, w, g = bins.Bins.of_dense(x), r.normal(size=(30, 7)), r.normal(size=(9, 7))
+    for cells in (7, 50, 1 << 22):
+        bins.CELLS = cells
+        assert np.allclose(own.times(w), x @ w) and np.allclose(own.back(g), x.T @ g)
+    rows = bins.Bins.of([[3, 1, 3], [], [0]], [[1, 2, 5], [], [7]], 4, np.float64)
+    assert rows.row.tolist() == [0, 0, 2] and rows.bin.tolist() == [1, 3, 0] and np.allclose(rows.value, [np.log(3), np.log(2) + np.log(6), np.log(8)])
+    q = r.normal(size=(9, 30))
+    t, c = np.expm1(x), np.maximum(np.expm1(q), 0)
+    count, binary = model.similarities(own, q)
+    high, union = np.maximum(t, c).sum(1), ((x > 0) | (q > 0)).sum(1)
+    assert np.allclose(count, np.minimum(t, c).sum(1) / high) and np.allclose(binary, ((x > 0) & (q > 0)).sum(1) / union)
+    assert np.allclose(model.squared_errors(own, q), ((x - q) ** 2).mean(1))
+
+
+def test_labels_in_one_pass(spark):
+    """Candidates as the expressions draw them, and similarities and best ones as a join finds them."""
+    rows = [(b, k, 100 * b + k, [(7 * k + j) % 23 for j in range(k % 4)], [1 + (k + j) % 5 for j in range(k % 4)]) for b, n in ((0, 31), (1, 2), (2, 17)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "batch_id int, row int, id int, indices array<int>, counts array<int>")
+    frame = frame.withColumn("pairs", F.array_sort(F.arrays_zip("indices", "counts"))).select("batch_id", "row", "id", F.col("pairs.indices").alias("indices"), F.col("pairs.counts").alias("counts"))
+    got = {(r.batch_id, r.row): r for r in labels.labelled(labels.with_steps(frame, 40), 3, 8).collect()}
+    assert len(got) == len(rows) and {r.step for r in got.values()} == {40, 41, 42}
+    for b, n in ((0, 31), (1, 2), (2, 17)):
+        seed = ranking.ranking_seed(3, 40 + b)
+        drawn = ranking.with_candidates(frame.where(F.col("batch_id") == b), seed, 8, n)
+        assert all(got[b, r.row].candidates == r.candidates for r in drawn.collect())
+        for r in ranking.top2(ranking.candidate_scores(drawn)).collect():
+            assert got[b, r.anchor].best_pos == r.best_pos and got[b, r.anchor].top2_gap == pytest.approx(r.top2_gap)
 
 
 def test_weights_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(model, "BLOCK", 7)
-    w = model.initial_weights(CONFIG)
-    table = model.weight_table(spark, w)
+    table, w = model.weight_table(spark, CONFIG), model.initial_weights(CONFIG)
     assert table.count() > len(w)
     again = model.load_weights(table)
     assert set(again) == set(w) and all((again[k] == w[k]).all() for k in w)

@@ -300,13 +300,16 @@ def test_embed_keeps_rows_and_keys(spark):
 def test_jobs(spark, tmp_path, capsys):
     lines = [f"{702 + i}\t{s}" for i, s in enumerate(["CCO", "CCN", "CCC", "c1ccccc1", "CC(=O)O", "(", "C#N", "CCCl", "CCBr", "OCCO", "c1ccncc1", "CCS"] * 4)]
     (tmp_path / "p.tsv").write_text("\n".join(lines) + "\n")
-    args = [f"{tmp_path}/cache", f"{tmp_path}/run", "--datasets", "pubchem", "--pubchem", f"{tmp_path}/p.tsv", "--fingerprint-size", "64", "--latent-width", "4", "--hidden-widths", "8", "--batch-size", "10", "--tanimoto-ranking-candidates", "3", "--learning-rate", "0.01"]
+    args = [f"{tmp_path}/cache", f"{tmp_path}/run", "--datasets", "pubchem", "--pubchem", f"{tmp_path}/p.tsv", "--fingerprint-size", "64", "--latent-width", "4", "--hidden-widths", "8", "--batch-size", "10", "--tanimoto-ranking-candidates", "3", "--learning-rate", "0.01", "--metric-every", "2", "--replicas", "2"]
     told = jobs.main(["train", *args, "--epochs", "3"])
     losses = [e["train"]["total"] for e in told["epochs"]]
     assert losses[-1] < losses[0] and all(math.isfinite(x) for x in losses) and told["epochs"][0]["train"]["valid_pairs"] > 0
     state = json.loads((tmp_path / "run" / "state.json").read_text())
-    assert state["completed_epoch"] == 3 and state["optimizer_steps"] == 3
+    # Each batch is a step, and the metrics are those of step 1 and the even ones.
+    per_epoch = told["epochs"][0]["train"]["batches"]
+    assert per_epoch >= 4 and state["completed_epoch"] == 3 and state["optimizer_steps"] == 3 * per_epoch == told["steps"]
     more = jobs.main(["train", *args, "--epochs", "1", "--resume"])
+    assert more["steps"] == 4 * per_epoch
     assert more["epochs"][0]["epoch"] == 4 and more["epochs"][0]["train"]["total"] < losses[0]
     assert "using_cached_manifest" in capsys.readouterr().out
     (tmp_path / "in.smi").write_text("CCO\n(\nCC(=O)O\n")
