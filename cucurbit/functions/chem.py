@@ -1,9 +1,9 @@
 """SMILES to atoms and bonds by a small Arrow function; descriptors and counted circular fingerprints as expressions on them.
 
 The parser covers the organic subset, bracket atoms, bonds, branches, ring closures, dots,
-aromatic lower case and the wildcard.  Aromaticity is as written: a ring in Kekule form, as
-C1=CC=CC=C1, has no aromatic atoms.  Fingerprint bits are this library's own: hashes of atom
-environments, counted by bin.
+aromatic lower case and the wildcard.  Aromaticity is found on the graph: c1ccccc1 and C1=CC=CC=C1
+are the same molecule.  Fingerprint bits are this library's own: hashes of atom environments,
+counted by bin.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aromatic import aromatic_rings, double_bonds
+
 #: Standard atomic weights.
 WEIGHTS = {
     "H": 1.008, "He": 4.0026, "Li": 6.94, "Be": 9.0122, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Ne": 20.180,
@@ -44,7 +46,7 @@ BRACKET = re.compile(r"\[(\d+)?(\*|[A-Z][a-z]?|[a-z][a-z]?)(@{0,2}\w{0,0}(?:TH\d
 ORDER = {"-": 1, "/": 1, "\\": 1, "=": 2, "#": 3, "$": 4, ":": 4, "~": 1}
 AROMATIC = 5
 
-GRAPH = "struct<atoms:array<struct<element:string,charge:int,hydrogens:int,aromatic:boolean,near:array<struct<kind:int,other:int>>>>,bonds:array<struct<a:int,b:int,kind:int>>,components:int,ring_atoms:int,ring_bonds:int,error:string>"
+GRAPH = "struct<atoms:array<struct<element:string,charge:int,hydrogens:int,aromatic:boolean,near:array<struct<kind:int,other:int,bond:int>>>>,bonds:array<struct<a:int,b:int,kind:int>>,components:int,ring_atoms:int,ring_bonds:int,error:string>"
 
 
 def parse(smiles: str) -> dict:
@@ -119,15 +121,24 @@ def parse(smiles: str) -> dict:
     for i, (a, b, _) in enumerate(bonds):
         near[a].append((b, i))
         near[b].append((a, i))
+    double = double_bonds(atoms, bonds, near, AROMATIC)
+    for k, b in enumerate(bonds):
+        if b[2] == AROMATIC:
+            b[2] = 2 if k in double else 1
     for i, atom in enumerate(atoms):
         if not atom[4] and atom[0] in VALENCES:
-            used = sum(1 if bonds[k][2] == AROMATIC else bonds[k][2] for _, k in near[i]) + atom[3]
+            used = sum(bonds[k][2] for _, k in near[i])
             choices = VALENCES[atom[0]][:1] if atom[3] else VALENCES[atom[0]]
             atom[2] = next((v - used for v in choices if v >= used), 0)
     components, bridges = _components_and_bridges(near)
     in_ring = [k for k in range(len(bonds)) if k not in bridges]
+    atoms_found, bonds_found = aromatic_rings(atoms, bonds, near, set(in_ring))
+    for i, atom in enumerate(atoms):
+        atom[3] = i in atoms_found
+    for k in bonds_found:
+        bonds[k][2] = AROMATIC
     return {
-        "atoms": [dict(zip(("element", "charge", "hydrogens", "aromatic"), a[:4], strict=True)) | {"near": [{"kind": bonds[k][2], "other": b} for b, k in near[i]]} for i, a in enumerate(atoms)],
+        "atoms": [dict(zip(("element", "charge", "hydrogens", "aromatic"), a[:4], strict=True)) | {"near": [{"kind": bonds[k][2], "other": b, "bond": k} for b, k in near[i]]} for i, a in enumerate(atoms)],
         "bonds": [dict(zip(("a", "b", "kind"), b, strict=True)) for b in bonds],
         "components": components,
         "ring_atoms": len({x for k in in_ring for x in bonds[k][:2]}),
@@ -191,10 +202,7 @@ def _count(atoms: Column, test) -> Column:
 
 
 def descriptors(graph: Column) -> Column:
-    """The struct of 18; the mass adds 32-bit floats in the order of atoms, an atom's hydrogens before it.  Null for a graph with an error.
-
-    Aromatic atoms are those written in lower case; no aromaticity is perceived in Kekule forms.
-    """
+    """The struct of 18; the mass adds 32-bit floats in the order of atoms, an atom's hydrogens before it.  Null for a graph with an error."""
     atoms = graph["atoms"]
     table = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
     weight = lambda a: F.coalesce(F.try_element_at(table, a["element"]), F.lit(0.0)).cast("float")
@@ -227,20 +235,32 @@ def counted_fingerprint(molecules: DataFrame, graph: str = "graph", to: str = "f
     """Adds struct<indices, counts, size>: how often atom environments up to the radius fall in each bin.
 
     An environment's code is a hash of its atom's code and of its neighbours' codes by bond, one
-    radius less; it doesn't depend on the order of atoms.  All within the row, without a shuffle.
+    radius less; it doesn't depend on the order of atoms.  Environments of the same bonds are one, the
+    one of the least radius and then of the least code: around the atoms of a small molecule they
+    soon are all its bonds.  (Atoms alone, of radius 0, count each.)  Within the row, without a shuffle.
     """
     if not 1 <= radius <= 255 or not 0 < size <= 65536:
         raise ValueError("radius must be 1 to 255 and size 1 to 65536")
     g = F.col(graph)
     first = F.transform(g["atoms"], lambda a: F.xxhash64(a["element"], a["charge"], a["hydrogens"], a["aromatic"], F.size(a["near"])))
-    out = molecules.withColumn("__code0", first)
+    out = molecules.withColumn("__code0", first).withColumn("__set0", F.transform(g["atoms"], lambda a: F.array().cast("array<int>")))
     for r in range(1, radius + 1):
-        before = F.col(f"__code{r - 1}")
+        before, grown = F.col(f"__code{r - 1}"), F.col(f"__set{r - 1}")
         code = F.transform(g["atoms"], lambda a, i: F.xxhash64(F.lit(r), F.get(before, i), F.array_sort(F.transform(a["near"], lambda b: F.xxhash64(b["kind"], F.get(before, b["other"]))))))
-        out = out.withColumn(f"__code{r}", code)
-    codes = [f"__code{r}" for r in range(radius + 1)]
-    out = out.withColumn("__bins", F.transform(F.concat(*codes), lambda c: F.pmod(c, F.lit(size)).cast("int")))
-    indices = F.array_sort(F.array_distinct("__bins"))
-    counts = F.transform(indices, lambda i: F.least(F.size(F.filter(F.col("__bins"), lambda b: b == i)), F.lit(65535)))
+        own = F.transform(g["atoms"], lambda a: F.array_sort(F.array_distinct(F.concat(F.transform(a["near"], lambda b: b["bond"]), F.flatten(F.transform(a["near"], lambda b: F.get(grown, b["other"])))))))
+        out = out.withColumn(f"__code{r}", code).withColumn(f"__set{r}", own)
+    def environments(r: int) -> Column:
+        return F.transform(f"__code{r}", lambda c, i: F.struct(F.get(f"__set{r}", i).alias("bonds"), F.lit(r).alias("r"), c.alias("code")))
+
+    each = [environments(r) for r in range(1, radius + 1)]
+    out = out.withColumn("__all", F.array_sort(F.filter(F.concat(*each), lambda x: F.size(x["bonds"]) > 0)))
+    others = F.filter("__all", lambda x, i: (i == 0) | (F.get("__all", i - 1)["bonds"] != x["bonds"]))
+    codes = F.concat("__code0", F.transform(others, lambda x: x["code"]))
+    out = out.withColumn("__bins", F.array_sort(F.transform(codes, lambda c: F.pmod(c, F.lit(size)).cast("int"))))
+    # Runs of equal bins: where they start, and how far it is to the next.
+    starts = F.filter(F.transform("__bins", lambda b, i: i), lambda i: (i == 0) | (F.get("__bins", i - 1) != F.get("__bins", i)))
+    out = out.withColumn("__starts", starts)
+    indices = F.transform("__starts", lambda i: F.get("__bins", i))
+    counts = F.transform("__starts", lambda i, k: F.least(F.coalesce(F.get("__starts", k + 1), F.size("__bins")) - i, F.lit(65535)))
     value = F.when(g["error"].isNull(), F.struct(indices.alias("indices"), counts.alias("counts"), F.lit(size).alias("size")))
-    return out.withColumn(to, value).drop("__bins", *codes)
+    return out.withColumn(to, value).drop("__all", "__bins", "__starts", *(f"__{x}{r}" for x in ("code", "set") for r in range(radius + 1)))
