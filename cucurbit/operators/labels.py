@@ -64,43 +64,68 @@ def with_steps(batched: DataFrame, first: int = 0) -> DataFrame:
     return batched.join(steps, "batch_id")
 
 
+def _each_batch(rows: DataFrame, make, schema: str) -> DataFrame:
+    """Applies ``make`` to the rows of each batch, in the order of row, as a task's sorted stream has them.  batch_id has to be the first column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(b)] if len(b) else [0]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if held and held[0].column(0)[0].as_py() != ids[i]:
+                    yield from make(pa.Table.from_batches(held).combine_chunks()).to_batches()
+                    held = []
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from make(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return rows.repartition("batch_id").sortWithinPartitions("batch_id", "row").mapInArrow(run, schema)
+
+
+def _similarities(rows: pa.Table, who: np.ndarray) -> np.ndarray:
+    """Counted similarities of a batch's rows with their candidates."""
+    indices, counts = (rows[c].chunk(0) for c in ("indices", "counts"))
+    row = np.repeat(np.arange(len(rows)), np.diff(indices.offsets.to_numpy()))
+    bin_, count = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (indices, counts))
+    width = int(bin_.max(initial=0)) + 1
+    if (np.diff(key := row * width + bin_) <= 0).any():
+        # The counts of a repeated bin are added.
+        key, own = np.unique(key, return_inverse=True)
+        row, bin_, count = key // width, key % width, np.bincount(own, count).astype(np.int64)
+    return count_similarities(row, bin_, count, len(rows), who)
+
+
 def labelled(batched: DataFrame, epoch: int, candidates: int) -> DataFrame:
     """batched: batch_id, row (0 on), step, indices and counts.  Adds candidates, best_pos and top2_gap, by a seed of the epoch and the step.
 
     A task reads whole batches as a sorted stream, so a batch's vectors travel once, however many
     candidates it has.  Batches under three rows get none.
     """
-    names = batched.columns
-    at = {c: names.index(c) for c in ("batch_id", "step", "indices", "counts")}
 
-    def label(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def label(rows: pa.Table) -> pa.Table:
         n = len(rows)
-        who = draw(n, candidates, ranking_seed(epoch, rows.column(at["step"])[0].as_py()))
-        best, gap = np.zeros(n, np.int64), np.zeros(n)
-        if who.shape[1]:
-            indices, counts = (rows.column(at[c]).combine_chunks() for c in ("indices", "counts"))
-            row = np.repeat(np.arange(n), np.diff(indices.offsets.to_numpy()))
-            bin_, count = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (indices, counts))
-            if (np.diff(row * (int(bin_.max(initial=0)) + 1) + bin_) <= 0).any():
-                key, own = np.unique(row * (int(bin_.max()) + 1) + bin_, return_inverse=True)
-                row, bin_, count = key // (int(bin_.max()) + 1), key % (int(bin_.max()) + 1), np.bincount(own, count).astype(np.int64)
-            best, gap = best_two(count_similarities(row, bin_, count, n, who))
+        who = draw(n, candidates, ranking_seed(epoch, rows["step"][0].as_py()))
+        best, gap = best_two(_similarities(rows, who)) if who.shape[1] else (np.zeros(n, np.int64), np.zeros(n))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * who.shape[1], pa.int32()), pa.array(who.ravel(), pa.int32()))
-        for b in rows.append_column("candidates", lists).append_column("best_pos", pa.array(best, pa.int32())).append_column("top2_gap", pa.array(gap)).to_batches():
-            yield b
+        return rows.append_column("candidates", lists).append_column("best_pos", pa.array(best, pa.int32())).append_column("top2_gap", pa.array(gap))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            ids = b.column(at["batch_id"]).to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(b)] if len(b) else [0]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if held and held[0].column(at["batch_id"])[0].as_py() != ids[i]:
-                    yield from label(pa.Table.from_batches(held))
-                    held = []
-                held.append(b.slice(i, j - i))
-        if held:
-            yield from label(pa.Table.from_batches(held))
+    rows = batched.select("batch_id", *(c for c in batched.columns if c != "batch_id"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return _each_batch(rows, label, f"{schema}, candidates array<int>, best_pos int, top2_gap double")
+
+
+def best_candidates(batched: DataFrame, seed: int, candidates: int) -> DataFrame:
+    """batched: batch_id (long), row, indices and counts.  batch_id, anchor, best_pos, best_score and top2_gap of each row of batches of three or more, by one seed for all batches."""
+    names = ["batch_id", "anchor", "best_pos", "best_score", "top2_gap"]
+
+    def judge(rows: pa.Table) -> pa.Table:
+        who = draw(len(rows), candidates, seed)
+        if not who.shape[1]:
+            rows, who = rows.slice(0, 0), who[:0]
+            return pa.table([rows["batch_id"], rows["row"], pa.array([], pa.int32()), pa.array([], pa.float64()), pa.array([], pa.float64())], names)
+        scores = _similarities(rows, who)
+        best, gap = best_two(scores)
+        return pa.table([rows["batch_id"], rows["row"], pa.array(best, pa.int32()), pa.array(scores[np.arange(len(best)), best]), pa.array(gap)], names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batched.schema)
-    return batched.repartition("batch_id").sortWithinPartitions("batch_id", "row").mapInArrow(run, f"{schema}, candidates array<int>, best_pos int, top2_gap double")
+    return _each_batch(batched.select("batch_id", "row", "indices", "counts"), judge, "batch_id long, anchor int, best_pos int, best_score double, top2_gap double")

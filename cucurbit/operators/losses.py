@@ -1,13 +1,15 @@
-"""Reconstruction losses and metrics over long tables; a bin without a row is zero.
+"""Reconstruction losses and metrics.
 
-``active`` tables hold the bins that a target sets (row_id, idx, target_log); ``predicted``
-tables all bins (row_id, idx, pred).  The sparse forms sum all bins as if no target were set and
-then correct the active ones, which is the same sum.
+Dense forms read long tables: ``active`` the bins that a target sets (row_id, idx, target_log),
+``predicted`` all bins (row_id, idx, pred); a bin without a row is zero.  Sparse forms read rows: all
+predictions as an array pred, and the bins that the target sets as arrays indices (each once) and
+target_log.  They sum all bins as if no target were set and then correct the set ones, which is the
+same sum, within the row: no join, and nothing is exploded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sparse import class_weights, huber, softplus
@@ -29,25 +31,43 @@ def huber_dense(active: DataFrame, predicted: DataFrame, c: Losses) -> DataFrame
     return joined(active, predicted).agg(F.avg(huber(delta, c.huber_beta) * F.when(on, c.huber_active).otherwise(c.huber_zero)).alias("loss"))
 
 
-def huber_sparse(active: DataFrame, predicted: DataFrame, c: Losses) -> DataFrame:
-    zero = huber(F.greatest(F.col("pred"), F.lit(0.0)), c.huber_beta) * c.huber_zero
-    every = predicted.agg(F.sum(zero).alias("every"), F.count("*").alias("n"))
-    fix = huber(F.abs(F.col("pred") - F.col("target_log")), c.huber_beta) * c.huber_active - zero
-    active_part = active.where("target_log > 0").join(predicted, ["row_id", "idx"]).agg(F.coalesce(F.sum(fix), F.lit(0.0)).alias("fix"))
-    return every.crossJoin(active_part).select(((F.col("every") + F.col("fix")) / F.col("n")).alias("loss"))
+def in_rows(active: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Long tables as rows: row_id, pred, indices (places in pred) and target_log."""
+    bins = predicted.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", "pred"))).alias("__p"))
+    own = active.where("target_log > 0").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("idx", "target_log"))).alias("__t"))
+    place = F.transform("__t.idx", lambda i: (F.array_position("__p.idx", i) - 1).cast("int"))
+    return bins.join(own, "row_id", "left").select("row_id", F.col("__p.pred").alias("pred"), F.coalesce(place, F.array().cast("array<int>")).alias("indices"), F.coalesce("__t.target_log", F.array().cast("array<double>")).alias("target_log"))
 
 
-def bce_sparse(active: DataFrame, predicted: DataFrame, c: Losses, weights: DataFrame | None = None) -> DataFrame:
-    """max(softplus(-q or +q) - ln 2, 0) for active or other bins; weights: idx, w_pos, w_neg."""
+def _sum(values: Column, of) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + of(x))
+
+
+def _set(of) -> Column:
+    """The sum over the set bins of a function of place, prediction and target."""
+    return _sum(F.arrays_zip("indices", "target_log"), lambda x: of(x["indices"], F.get("pred", x["indices"]), x["target_log"]))
+
+
+def _mean(rows: DataFrame, total: Column) -> DataFrame:
+    return rows.agg((F.sum(total) / F.sum(F.size("pred"))).alias("loss"))
+
+
+def huber_sparse(rows: DataFrame, c: Losses) -> DataFrame:
+    zero = lambda q: huber(F.greatest(q, F.lit(0.0)), c.huber_beta) * c.huber_zero
+    return _mean(rows, _sum(F.col("pred"), zero) + _set(lambda i, q, z: huber(F.abs(q - z), c.huber_beta) * c.huber_active - zero(q)))
+
+
+def bce_sparse(rows: DataFrame, c: Losses, weights: DataFrame | None = None) -> DataFrame:
+    """max(softplus(-q or +q) - ln 2, 0) for set or other bins; weights: idx, w_pos, w_neg of all bins."""
     term = lambda x: F.greatest(softplus(x) - LN2, F.lit(0.0))
-    rows = predicted
-    if weights is not None:
-        rows = rows.join(F.broadcast(weights), "idx")  # one row a bin, and the width is fixed
-    neg = term(F.col("pred")) * c.bce_zero * (F.col("w_neg") if weights is not None else F.lit(1.0))
-    pos = term(-F.col("pred")) * c.bce_active * (F.col("w_pos") if weights is not None else F.lit(1.0))
-    every = rows.agg(F.sum(neg).alias("every"), F.count("*").alias("n"))
-    fix = active.where("target_log > 0").join(rows, ["row_id", "idx"]).agg(F.coalesce(F.sum(pos - neg), F.lit(0.0)).alias("fix"))
-    return every.crossJoin(fix).select(((F.col("every") + F.col("fix")) / F.col("n")).alias("loss"))
+    if weights is None:
+        zero = lambda q: term(q) * c.bce_zero
+        return _mean(rows, _sum(F.col("pred"), zero) + _set(lambda i, q, z: term(-q) * c.bce_active - zero(q)))
+    # One row, of the width of a fingerprint.
+    lists = weights.agg(F.array_sort(F.collect_list(F.struct("idx", "w_pos", "w_neg"))).alias("__w")).select(F.col("__w.w_pos").alias("__pos"), F.col("__w.w_neg").alias("__neg"))
+    every = _sum(F.arrays_zip("pred", "__neg"), lambda x: term(x["pred"]) * c.bce_zero * x["__neg"])
+    fix = _set(lambda i, q, z: term(-q) * c.bce_active * F.get("__pos", i) - term(q) * c.bce_zero * F.get("__neg", i))
+    return _mean(rows.crossJoin(F.broadcast(lists)), every + fix)
 
 
 def descriptor_loss(rows: DataFrame, weight: float = 0.05) -> DataFrame:
@@ -56,17 +76,19 @@ def descriptor_loss(rows: DataFrame, weight: float = 0.05) -> DataFrame:
     return each.agg((F.avg(F.pow(F.col("d.predicted") - F.col("d.target"), 2)) * weight).alias("loss"))
 
 
-def reconstruction_metrics(active: DataFrame, predicted: DataFrame) -> DataFrame:
+def reconstruction_metrics(rows: DataFrame) -> DataFrame:
     """By row: log_mse, count_tanimoto, bit_agreement (a predicted count of 0.5 or more is a bit) and nonzero_mae."""
-    t = F.expm1("z")
-    p = F.greatest(F.expm1("pred"), F.lit(0.0))
-    rows = joined(active, predicted).select("row_id", "pred", "z", t.alias("t"), p.alias("p"))
-    high = F.sum(F.greatest("t", "p"))
-    return rows.groupBy("row_id").agg(
-        F.avg(F.pow(F.col("z") - F.col("pred"), 2)).alias("log_mse"),
-        F.when(high <= 0, 1.0).otherwise(F.sum(F.least("t", "p")) / high).alias("count_tanimoto"),
-        F.avg(((F.col("t") > 0) == (F.col("p") >= 0.5)).cast("double")).alias("bit_agreement"),
-        F.coalesce(F.avg(F.when(F.col("t") > 0, F.abs(F.col("t") - F.col("p")))), F.lit(0.0)).alias("nonzero_mae"),
+    count = lambda q: F.greatest(F.expm1(q), F.lit(0.0))
+    bit = lambda q: F.when(count(q) >= 0.5, 1.0).otherwise(0.0)
+    n, k = F.size("pred"), F.size("indices")
+    shared = _set(lambda i, q, z: F.least(F.expm1(z), count(q)))
+    high = _sum(F.col("pred"), count) + _set(lambda i, q, z: F.expm1(z)) - shared
+    return rows.select(
+        "row_id",
+        ((_sum(F.col("pred"), lambda q: q * q) + _set(lambda i, q, z: z * z - 2 * z * q)) / n).alias("log_mse"),
+        F.when(high <= 0, 1.0).otherwise(shared / high).alias("count_tanimoto"),
+        ((_sum(F.col("pred"), lambda q: 1 - bit(q)) + _set(lambda i, q, z: 2 * bit(q) - 1)) / n).alias("bit_agreement"),
+        F.when(k > 0, _set(lambda i, q, z: F.abs(F.expm1(z) - count(q))) / k).otherwise(0.0).alias("nonzero_mae"),
     )
 
 
@@ -99,16 +121,16 @@ def bin_weights(active: DataFrame, width: int) -> DataFrame:
     return frequency.select(F.col("idx").cast("long").alias("idx"), pos.alias("w_pos"), neg.alias("w_neg"))
 
 
-def composed_loss(active: DataFrame, predicted: DataFrame, descriptors: DataFrame, ranked: DataFrame, c: Losses, weights: DataFrame | None = None) -> DataFrame:
+def composed_loss(rows: DataFrame, descriptors: DataFrame, ranked: DataFrame, c: Losses, weights: DataFrame | None = None) -> DataFrame:
     """One row: the four weighted terms and their total; a term of weight 0 is 0 and isn't computed.
 
     descriptors: predicted and target arrays by row; ranked: what ranking_loss gives, its terms averaged over batches.
     """
-    off = active.sparkSession.range(1).select(F.lit(0.0).alias("loss"))
-    bce = bce_sparse(active, predicted, c, weights).select(F.col("loss") * c.bce_weight) if c.bce_weight > 0 else off
+    off = rows.sparkSession.range(1).select(F.lit(0.0).alias("loss"))
+    bce = bce_sparse(rows, c, weights).select(F.col("loss") * c.bce_weight) if c.bce_weight > 0 else off
     near = ranked.agg(F.coalesce(F.avg("loss"), F.lit(0.0)) * c.ranking_weight) if c.ranking_weight > 0 else off
     by = descriptor_loss(descriptors, c.descriptor_weight) if c.descriptor_weight > 0 else off
-    terms = (huber_sparse(active, predicted, c).toDF("reconstruction"), bce.toDF("bce"), by.toDF("descriptor"), near.toDF("ranking"))
+    terms = (huber_sparse(rows, c).toDF("reconstruction"), bce.toDF("bce"), by.toDF("descriptor"), near.toDF("ranking"))
     out = terms[0]
     for t in terms[1:]:
         out = out.crossJoin(F.broadcast(t))  # one row each

@@ -6,16 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sampled(batch: Column, every: int) -> Column:
-    """Whether a batch, counted from 1 in its epoch, has its metrics taken: the first, and each whose number ``every`` divides."""
-    first = batch == 1
-    return first | (batch % every == 0) if every else first
+def sampled(step: Column, every: int) -> Column:
+    """Whether a step, counted from 1 over all epochs, has its metrics taken: the first, and each whose number ``every`` divides."""
+    first = step == 1
+    return first | (step % every == 0) if every else first
 
 
-def epoch_means(by_batch: DataFrame, every: int) -> DataFrame:
-    """by_batch: epoch, batch (from 1) and loss.  The mean loss of each epoch's sampled batches, and how many there are."""
-    taken = F.when(sampled(F.col("batch"), every), F.col("loss"))
-    return by_batch.groupBy("epoch").agg(F.coalesce(F.avg(taken), F.lit(0.0)).alias("mean"), F.count("*").alias("batches"), F.count(taken).alias("loss_batches"))
+def epoch_means(by_step: DataFrame, every: int) -> DataFrame:
+    """by_step: epoch, step (from 1, over all epochs) and loss.  The mean loss of each epoch's sampled steps, its batches, and how many are sampled."""
+    taken = F.when(sampled(F.col("step"), every), F.col("loss"))
+    return by_step.groupBy("epoch").agg(F.coalesce(F.avg(taken), F.lit(0.0)).alias("mean"), F.count("*").alias("batches"), F.count(taken).alias("loss_batches"))
 
 
 def mean_of_means(rows: DataFrame, *values: str, batch: str = "batch_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import chem, ids, sparse
+from .operators import labels as label_ops
 from .operators import losses, metrics, ranking, vectors
 from .operators import model as model_ops
 from .plans import embed as embed_plan
@@ -221,12 +222,20 @@ def active(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), (F.col("l_partkey") % 64).alias("idx")).agg(F.log1p(F.least(F.sum("l_quantity"), F.lit(65535.0))).alias("target_log"))
 
 
+def rows_of_bins(spark, d):
+    """The same as rows: all predictions as an array, and the set bins."""
+    sums = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("row_id"), (F.col("l_partkey") % 64).cast("int").alias("idx")).agg(F.log1p(F.least(F.sum("l_quantity"), F.lit(65535.0))).alias("target_log"))
+    own = sums.groupBy("row_id").agg(F.collect_list(F.struct("idx", "target_log")).alias("t"))
+    pred = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 0.25 * ((F.col("row_id") + i) % 17) - 1.0)
+    return own.select("row_id", pred.alias("pred"), F.col("t.idx").alias("indices"), F.col("t.target_log").alias("target_log"))
+
+
 JOINED = f"{PRED}, {ACT}, j AS (SELECT p.row_id, p.idx, p.pred, coalesce(target_log, 0) AS z, exp(coalesce(target_log, 0)) - 1 AS t, greatest(exp(p.pred) - 1, 0) AS c FROM pred p LEFT JOIN act a ON a.row_id = p.row_id AND a.idx = p.idx)"
 
 
 @query("reconstruction_metrics", f"WITH {JOINED} SELECT row_id, round(avg((z - pred) ** 2), 6) AS log_mse, round(sum(least(t, c)) / sum(greatest(t, c)), 6) AS count_tanimoto, round(avg(CASE WHEN (t > 0) = (c >= 0.5) THEN 1.0 ELSE 0.0 END), 6) AS bit_agreement, round(coalesce(avg(abs(t - c)) FILTER (t > 0), 0), 6) AS nonzero_mae FROM j GROUP BY row_id")
 def reconstruction_metrics(spark, d):
-    return rounded(losses.reconstruction_metrics(active(spark, d), predicted(spark, d)), "log_mse", "count_tanimoto", "bit_agreement", "nonzero_mae")
+    return rounded(losses.reconstruction_metrics(rows_of_bins(spark, d)), "log_mse", "count_tanimoto", "bit_agreement", "nonzero_mae")
 
 
 @query("log_mse_rows", f"WITH {JOINED} SELECT row_id, round(sum((z - pred) ** 2) / 64, 6) AS log_mse FROM j GROUP BY row_id")
@@ -277,7 +286,7 @@ def huber_dense(spark, d):
 
 @query("huber_sparse", HUBER_SQL)
 def huber_sparse(spark, d):
-    return rounded(losses.huber_sparse(active(spark, d), predicted(spark, d), Losses()), "loss")
+    return rounded(losses.huber_sparse(rows_of_bins(spark, d), Losses()), "loss")
 
 
 BCE = "greatest(greatest(x, 0) + ln(1 + exp(-abs(x))) - ln(2.0), 0)"
@@ -285,7 +294,7 @@ BCE = "greatest(greatest(x, 0) + ln(1 + exp(-abs(x))) - ln(2.0), 0)"
 
 @query("bce_sparse", f"WITH {JOINED}, e AS (SELECT CASE WHEN z > 0 THEN -pred ELSE pred END AS x, CASE WHEN z > 0 THEN 1.0 ELSE 4.0 END AS w FROM j) SELECT round(avg({BCE} * w), 6) AS loss FROM e")
 def bce_sparse(spark, d):
-    return rounded(losses.bce_sparse(active(spark, d), predicted(spark, d), Losses()), "loss")
+    return rounded(losses.bce_sparse(rows_of_bins(spark, d), Losses()), "loss")
 
 
 CLASS_SQL = f"{ACT}, n AS (SELECT count(DISTINCT row_id) AS n FROM act), f AS (SELECT k.idx, count(act.row_id) / max(n.n) AS p FROM (SELECT unnest(range(64)) AS idx) k CROSS JOIN n LEFT JOIN act ON act.idx = k.idx GROUP BY k.idx)"
@@ -302,13 +311,7 @@ def bce_class_weights(spark, d):
 
 @query("bce_weighted", f"WITH {JOINED}, {CLASS_SQL.removeprefix(ACT + ', ')}, e AS (SELECT CASE WHEN z > 0 THEN -pred ELSE pred END AS x, CASE WHEN z > 0 THEN -ln(p + 1e-6) ELSE 4.0 * -ln(1 - p + 1e-6) END AS w FROM j JOIN f ON f.idx = j.idx) SELECT round(avg({BCE} * w), 6) AS loss FROM e")
 def bce_weighted(spark, d):
-    return rounded(losses.bce_sparse(active(spark, d), predicted(spark, d), Losses(), bin_weights(spark, d)), "loss")
-
-
-#: Names from when some queries had a form for all of lineitem beside one for a part; all of them read it all now.
-for _name in ("dense_counts_small", "reconstruction_metrics", "log_mse_rows", "log_count_tanimoto", "sparse_vs_dense_tanimoto", "binary_tanimoto_sparse", "huber_dense", "huber_sparse", "bce_sparse", "bce_weighted", "bce_class_weights"):
-    QUERIES[f"{_name.removesuffix('_small')}_all"] = QUERIES[_name]
-    SQL[f"{_name.removesuffix('_small')}_all"] = SQL[_name]
+    return rounded(losses.bce_sparse(rows_of_bins(spark, d), Losses(), bin_weights(spark, d)), "loss")
 
 
 @query("descriptor_loss", "SELECT round(0.05 * avg((a - b) ** 2), 6) AS loss FROM (SELECT unnest([l_quantity, l_tax, l_discount]) AS a, unnest([25.0, 0.04, 0.05]) AS b FROM lineitem)")
@@ -317,10 +320,11 @@ def descriptor_loss(spark, d):
     return rounded(losses.descriptor_loss(rows), "loss")
 
 
-@query("total_loss", "SELECT id, round(1.0 + 0.3 + 0.2 * id, 6) AS total FROM range(3) t(id)")
+@query("total_loss", "SELECT l_linenumber AS line, round(sum(l_quantity) + sum(l_tax) + sum(l_discount), 6) AS total FROM lineitem GROUP BY 1")
 def total_loss(spark, d):
-    parts = spark.range(3).select("id", F.lit(1.0).alias("reconstruction"), F.lit(0.3).alias("bce"), (F.col("id") * 0.2).alias("descriptor"), F.lit(None).cast("double").alias("ranking"))
-    return rounded(losses.total_loss(parts).select("id", "total"), "total")
+    """The terms of each line number: sums of quantities, taxes and discounts, and none for ranking."""
+    parts = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("line")).agg(F.sum("l_quantity").alias("reconstruction"), F.sum("l_tax").alias("bce"), F.sum("l_discount").alias("descriptor"))
+    return rounded(losses.total_loss(parts.withColumn("ranking", F.lit(None).cast("double"))).select("line", "total"), "total")
 
 
 E_HUBER = f"SELECT avg((CASE WHEN dlt <= 1.0 THEN 0.5 * dlt * dlt ELSE dlt - 0.5 END) * w) FROM (SELECT CASE WHEN z > 0 THEN abs(pred - z) ELSE greatest(pred, 0) END AS dlt, CASE WHEN z > 0 THEN 1.0 ELSE 0.05 END AS w FROM j)"
@@ -332,7 +336,7 @@ def composed_loss(spark, d):
     """All four terms; line discounts stand in for the batches' ranking losses."""
     rows = table(spark, d, "lineitem")
     described = rows.select(F.array("l_quantity", "l_tax", "l_discount").alias("predicted"), F.array(F.lit(25.0), F.lit(0.04), F.lit(0.05)).alias("target"))
-    out = losses.composed_loss(active(spark, d), predicted(spark, d), described, rows.select(F.col("l_discount").alias("loss")), Losses())
+    out = losses.composed_loss(rows_of_bins(spark, d), described, rows.select(F.col("l_discount").alias("loss")), Losses())
     return rounded(out, *out.columns)
 
 
@@ -383,7 +387,7 @@ SCORES = f"{VEC}, {BATCHED}, {STATE}, {WALK}, totals AS (SELECT id, sum(cnt) AS
 
 
 def labels(spark, d):
-    return ranking.top2(ranking.candidate_scores(ranking.with_candidates(batched(spark, d), SEED, K, BATCH - 1)))
+    return label_ops.best_candidates(batched(spark, d), SEED, K)
 
 
 @query("top2_gap", f"WITH {SCORES} SELECT batch_id, anchor, best_pos, round(best_score, 6) AS best_score, round(top2_gap, 6) AS top2_gap FROM labels")
@@ -443,25 +447,27 @@ def ranking_accuracy(spark, d):
 
 
 def steps(spark, d):
-    """Events as steps: 20 make a batch, 10 batches an epoch; batches are numbered from 1 in their epoch."""
+    """Events as examples: 20 make a batch, 10 batches an epoch; a batch is a step, numbered from 1 over all epochs."""
     n = F.col("event_id")
-    return table(spark, d, "events").select("event_id", F.floor(n / 20).cast("long").alias("batch_id"), F.floor(n / 200).cast("long").alias("epoch"), (F.floor(n / 20) % 10 + 1).alias("batch"), "value")
+    return table(spark, d, "events").select("event_id", F.floor(n / 20).cast("long").alias("batch_id"), F.floor(n / 200).cast("long").alias("epoch"), (F.floor(n / 20) + 1).cast("long").alias("step"), "value")
 
 
-STEPS = "steps AS (SELECT event_id, event_id // 20 AS batch_id, event_id // 200 AS epoch, (event_id // 20) % 10 + 1 AS batch, value FROM events)"
+STEPS = "steps AS (SELECT event_id, event_id // 20 AS batch_id, event_id // 200 AS epoch, event_id // 20 + 1 AS step, value FROM events)"
 
 
-@query("epoch_mean_sampled", f"WITH {STEPS}, b AS (SELECT epoch, batch, avg(value) AS v FROM steps GROUP BY 1, 2) SELECT epoch, round(avg(v), 6) AS mean FROM b WHERE batch = 1 OR batch % 5 = 0 GROUP BY 1")
+@query("epoch_mean_sampled", f"WITH {STEPS}, b AS (SELECT epoch, step, avg(value) AS v FROM steps GROUP BY 1, 2) SELECT epoch, round(coalesce(avg(v) FILTER (step = 1 OR step % 7 = 0), 0), 6) AS mean, count(*) AS batches, count(*) FILTER (step = 1 OR step % 7 = 0) AS loss_batches FROM b GROUP BY 1")
 def epoch_mean_sampled(spark, d):
-    """The first batch of an epoch and each fifth: 1, 5 and 10."""
-    by_batch = steps(spark, d).groupBy("epoch", "batch").agg(F.avg("value").alias("loss"))
-    return rounded(metrics.epoch_means(by_batch, 5).select("epoch", "mean"), "mean")
+    """The first step of all and each seventh: 1, 7 in the first epoch, 14 in the second, 21 and 28 in the third."""
+    by_step = steps(spark, d).groupBy("epoch", "step").agg(F.avg("value").alias("loss"))
+    return rounded(metrics.epoch_means(by_step, 7), "mean")
 
 
-@query("validation_mean_of_means", f"WITH {STEPS}, b AS (SELECT batch_id, avg(value) AS v FROM steps WHERE event_id % 3 > 0 GROUP BY 1) SELECT round(avg(v), 6) AS mean FROM b")
+@query("validation_mean_of_means", "WITH b AS (SELECT event_id // 20 + (event_id % 20) // 14 AS batch_id, avg(value) AS v FROM events GROUP BY 1) SELECT round(avg(v), 6) AS mean FROM b")
 def validation_mean_of_means(spark, d):
-    """Batches of unequal size: two events of three are in the pass."""
-    return rounded(metrics.mean_of_means(steps(spark, d).where("event_id % 3 > 0"), "value").withColumnRenamed("value", "mean"), "mean")
+    """Batches of unequal size: the last six of twenty events are of the next batch."""
+    n = F.col("event_id")
+    rows = table(spark, d, "events").withColumn("batch_id", (F.floor(n / 20) + F.floor(n % 20 / 14)).cast("long"))
+    return rounded(metrics.mean_of_means(rows, "value").withColumnRenamed("value", "mean"), "mean")
 
 
 @query("running_best_loss", f"WITH {STEPS}, b AS (SELECT epoch, batch_id, avg(value) AS v FROM steps GROUP BY 1, 2) SELECT epoch, batch_id, round(min(v) OVER (PARTITION BY epoch ORDER BY batch_id), 6) AS best FROM b")

@@ -68,16 +68,16 @@ def test_loss_literals(spark):
     z, q = [[1.1, 0, 0.7, 0], [0, 0.3, 0, 0]], [[0.5, 0.4, -0.2, -1.0], [0.2, 1.9, 0.0, -0.3]]
     c = Losses(huber_beta=0.7)
     a, p = tables(spark, z, q)
-    assert got(losses.huber_sparse(a, p, c)) == pytest.approx(got(losses.huber_dense(a, p, c)), abs=1e-6)
+    assert got(losses.huber_sparse(losses.in_rows(a, p), c)) == pytest.approx(got(losses.huber_dense(a, p, c)), abs=1e-6)
     a, p = tables(spark, [[0, 0, 0, 1.0]], [[-3.0, -0.1, -2.0, 1.0]])
     assert got(losses.huber_dense(a, p, Losses(huber_zero=1.0, huber_active=0.0))) == 0
     a, p = tables(spark, [[1.0, 0, 0, 0]], [[1.0, 0.4, 0.4, 0.4]])
     assert got(losses.huber_dense(a, p, Losses(huber_zero=1.0))) == pytest.approx(0.06)
     a, p = tables(spark, [[1.0, 0]], [[-1.0, 1.0]])
     w = spark.createDataFrame([(0, 3.0, 11.0), (1, 7.0, 5.0)], "idx int, w_pos double, w_neg double")
-    assert got(losses.bce_sparse(a, p, Losses(bce_zero=1.0), w)) == pytest.approx((3 + 5) * (math.log1p(math.exp(1)) - math.log(2)) / 2)
+    assert got(losses.bce_sparse(losses.in_rows(a, p), Losses(bce_zero=1.0), w)) == pytest.approx((3 + 5) * (math.log1p(math.exp(1)) - math.log(2)) / 2)
     a, p = tables(spark, [[1.0, 0]], [[-2.0, -5.0]])
-    assert got(losses.bce_sparse(a, p, Losses())) == pytest.approx((math.log1p(math.exp(2)) - math.log(2)) / 2, abs=1e-6)
+    assert got(losses.bce_sparse(losses.in_rows(a, p), Losses())) == pytest.approx((math.log1p(math.exp(2)) - math.log(2)) / 2, abs=1e-6)
     parts = spark.createDataFrame([(1.0, 0.3, 0.2, 0.4), (1.0, None, None, None)], "reconstruction double, bce double, descriptor double, ranking double")
     assert [round(r.total, 9) for r in losses.total_loss(parts).collect()] == [1.9, 1.0]
 
@@ -92,9 +92,9 @@ def test_composed_terms_can_be_off(spark):
     a, p = tables(spark, [[1.0, 0]], [[-1.0, 1.0]])
     d = spark.createDataFrame([([1.0], [0.0])], "predicted array<double>, target array<double>")
     ranked = spark.createDataFrame([(2.0,), (4.0,)], "loss double")
-    every = losses.composed_loss(a, p, d, ranked, Losses()).first()
+    every = losses.composed_loss(losses.in_rows(a, p), d, ranked, Losses()).first()
     assert every.descriptor == pytest.approx(0.05) and every.ranking == pytest.approx(0.3) and every.total == pytest.approx(every.reconstruction + every.bce + 0.35)
-    off = losses.composed_loss(a, p, d, ranked, Losses(bce_weight=0, descriptor_weight=0, ranking_weight=0)).first()
+    off = losses.composed_loss(losses.in_rows(a, p), d, ranked, Losses(bce_weight=0, descriptor_weight=0, ranking_weight=0)).first()
     assert (off.bce, off.descriptor, off.ranking) == (0, 0, 0) and off.total == pytest.approx(every.reconstruction)
 
 
@@ -118,12 +118,14 @@ def test_metric_literals(spark):
     assert got.repeated == pytest.approx(4 / (6 + 11 - 4))
 
 
-def test_sampled_batches(spark):
-    rows = spark.createDataFrame([(0, b, float(b)) for b in range(1, 13)], "epoch int, batch int, loss double")
-    taken = lambda n: [r.batch for r in rows.where(metrics.sampled(F.col("batch"), n)).orderBy("batch").collect()]
-    assert taken(5) == [1, 5, 10] and taken(0) == [1] and taken(1) == list(range(1, 13))
-    got = metrics.epoch_means(rows, 5).first()
-    assert got["mean"] == pytest.approx(16 / 3) and (got.batches, got.loss_batches) == (12, 3)
+def test_sampled_steps(spark):
+    """Steps are counted over all epochs: of two epochs of ten batches, and each fifth, 1, 5 and 10 and then 15 and 20, not 11."""
+    rows = spark.createDataFrame([((s - 1) // 10, s, float(s)) for s in range(1, 21)], "epoch int, step int, loss double")
+    taken = lambda n: [r.step for r in rows.where(metrics.sampled(F.col("step"), n)).orderBy("step").collect()]
+    assert taken(5) == [1, 5, 10, 15, 20] and taken(0) == [1] and taken(1) == list(range(1, 21))
+    got = {r.epoch: (r["mean"], r.batches, r.loss_batches) for r in metrics.epoch_means(rows, 5).collect()}
+    assert got == {0: (pytest.approx(16 / 3), 10, 3), 1: (17.5, 10, 2)}
+    assert [training.sampled(s, 5) for s in (1, 2, 5, 11, 15)] == [True, False, True, False, True] and not training.sampled(5, 0)
     assert metrics.row_estimates(1001, 100) == (901, 100) and metrics.row_estimates(10, 2000) == (0, 10)
     assert metrics.examples_per_second(10, 0) == 0 and metrics.examples_per_second(10, 2) == 5 and metrics.millis_per_batch(1, 0) == 0 and metrics.millis_per_batch(2, 4) == 500
 
