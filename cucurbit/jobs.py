@@ -168,7 +168,7 @@ def train_job(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def embed_job(spark: SparkSession, a: argparse.Namespace) -> dict:
     config, state, _ = training.load_checkpoint(spark, a.checkpoint)
-    rows = molecules.read_molecules(spark, a.input, a.smiles_column)
+    rows = molecules.in_order(molecules.read_molecules(spark, a.input, a.smiles_column, places=True))
     watch = Observation()
     encodings.write_encodings(embedding.embed(rows, state.weights(), config, a.batch_size, watch=watch), a.output, config.latent_width, a.parquet_compression)
     left = watch.get["skipped"]

@@ -34,16 +34,36 @@ def smi_lines(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = (
     return kept.select(*keep, F.split("__line", r"\s+", 2)[0].alias("smiles"))
 
 
-def read_smi(spark: SparkSession, path: str) -> DataFrame:
-    return smi_lines(spark.read.text(path))
+#: Where a row was read: its file, the start of the split, and a number that ascends within the split.
+PLACE = ("place_file", "place_split", "place_row")
 
 
-def read_stdin(spark: SparkSession, lines: Iterable[str] | None = None) -> DataFrame:
+def with_places(rows: DataFrame, of_files: bool = True) -> DataFrame:
+    """rows as a reader gives them, with PLACE."""
+    file, split = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start")) if of_files else (F.lit(""), F.lit(0).cast("long"))
+    return rows.select("*", file.alias(PLACE[0]), split.alias(PLACE[1]), F.monotonically_increasing_id().alias(PLACE[2]))
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """rows with PLACE, ranged and sorted by it, without it: files by path, and each as it is written, however it was split.
+
+    What follows should be narrow, as an embedding is: partitions, and so part files, then keep this order.
+    """
+    return rows.orderBy(*PLACE).drop(*PLACE)
+
+
+def read_smi(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    lines = spark.read.text(path)
+    return smi_lines(with_places(lines), keep=PLACE) if places else smi_lines(lines)
+
+
+def read_stdin(spark: SparkSession, lines: Iterable[str] | None = None, places: bool = False) -> DataFrame:
     """Lines that the driver's standard input holds."""
-    return smi_lines(spark.createDataFrame([(x.rstrip("\n"),) for x in (lines if lines is not None else sys.stdin)], "value string"))
+    rows = spark.createDataFrame([(x.rstrip("\n"),) for x in (lines if lines is not None else sys.stdin)], "value string")
+    return smi_lines(with_places(rows, False), keep=PLACE) if places else smi_lines(rows)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str, smiles_column: str = "smiles", multi_line: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str, smiles_column: str = "smiles", multi_line: bool = True, places: bool = False) -> DataFrame:
     """A file with a header; the column's name must match exactly, and rows of another width are errors.
 
     A file with line ends inside quotes can't be split and is one task; without them, ``multi_line=False`` reads it in many.
@@ -57,29 +77,33 @@ def read_delimited(spark: SparkSession, path: str, sep: str, smiles_column: str
     rows = spark.read.schema(schema).csv(path, header=True, sep=sep, mode="FAILFAST", multiLine=multi_line, quote='"', escape='"', enforceSchema=True)
     # All columns are kept until here: with one pruned, ragged rows would pass.
     value = F.when(F.struct(*rows.columns).isNotNull(), trim(F.col(f"c{at}")))
-    return rows.select(value.alias("smiles")).where(F.col("smiles").isNotNull() & (F.col("smiles") != ""))
+    rows = with_places(rows) if places else rows
+    return rows.select(*(PLACE if places else ()), value.alias("smiles")).where(F.col("smiles").isNotNull() & (F.col("smiles") != ""))
 
 
-def read_mgf(spark: SparkSession, path: str) -> DataFrame:
+def read_mgf(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
     """The SMILES= value of each record that has one; compressed files are read as they are."""
     records = spark.read.option("lineSep", "END IONS").text(path)
     found = F.regexp_extract("value", r"(?m)^SMILES=(.*?)\r?$", 1)
-    return records.where(F.col("value").contains("BEGIN IONS")).select(found.alias("smiles")).where(F.col("smiles") != "")
+    records = with_places(records) if places else records
+    return records.where(F.col("value").contains("BEGIN IONS")).select(*(PLACE if places else ()), found.alias("smiles")).where(F.col("smiles") != "")
 
 
-def read_molecules(spark: SparkSession, path: str, smiles_column: str = "smiles") -> DataFrame:
-    """By the path's extension; unknown ones are errors."""
+def read_molecules(spark: SparkSession, path: str, smiles_column: str = "smiles", places: bool = False) -> DataFrame:
+    """By the path's extension; unknown ones are errors.  With ``places``, each row's PLACE beside it."""
     if path in STDIN:
-        return read_stdin(spark)
+        return read_stdin(spark, places=places)
     kind = compound_extension(path)
     if kind in ("smi", "smiles"):
-        return read_smi(spark, path)
+        return read_smi(spark, path, places)
     if kind in ("csv", "tsv"):
-        return read_delimited(spark, path, "," if kind == "csv" else "\t", smiles_column)
+        return read_delimited(spark, path, "," if kind == "csv" else "\t", smiles_column, places=places)
     if kind == "mgf" or kind.startswith("mgf."):
-        return read_mgf(spark, path)
+        return read_mgf(spark, path, places)
     if kind == "parquet":
-        return spark.read.parquet(path).select(F.col(smiles_column).alias("smiles"))
+        rows = spark.read.parquet(path)
+        rows = with_places(rows) if places else rows
+        return rows.select(*(PLACE if places else ()), F.col(smiles_column).alias("smiles"))
     raise ValueError(f"no reader for {path!r}")
 
 

@@ -297,6 +297,31 @@ def test_embed_keeps_rows_and_keys(spark):
     assert none.count() == 0
 
 
+def test_input_order(spark, tmp_path):
+    """Two files in many splits come out as they are written, with what can't be read left out."""
+    many = [["C" * (1 + (7 * k + f) % 40) + "O" * (k % 3) if k % 11 else "(" for k in range(3000)] for f in (0, 1)]
+    os.makedirs(tmp_path / "in.smi")
+    for f, lines in enumerate(many):
+        (tmp_path / "in.smi" / f"{'ba'[f]}.smi").write_text("\n".join(lines) + "\n")
+    want = [s for s in many[1] + many[0] if s != "("]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = molecules.read_molecules(spark, f"{tmp_path}/in.smi", places=True)
+        assert read.rdd.getNumPartitions() > 8
+        rows = embed.embed(molecules.in_order(read), model.initial_weights(TINY), TINY)
+        encodings.write_encodings(rows, f"{tmp_path}/out.tsv", 4)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = [x.split("\t")[0] for x in part_text(tmp_path / "out.tsv").splitlines() if not x.startswith("smiles\t")]
+    assert got == want
+    (tmp_path / "t.csv").write_text("a,smiles\n1,CC\n2,O\n")
+    assert [r.smiles for r in molecules.in_order(molecules.read_molecules(spark, f"{tmp_path}/t.csv", places=True)).collect()] == ["CC", "O"]
+    rows.select("smiles").write.parquet(f"{tmp_path}/t.parquet")
+    assert [r.smiles for r in molecules.in_order(molecules.read_molecules(spark, f"{tmp_path}/t.parquet", places=True)).collect()] == want
+    assert [r.smiles for r in molecules.in_order(molecules.read_stdin(spark, ["N x", "C", "O"], places=True)).collect()] == ["N", "C", "O"]
+
+
 def test_jobs(spark, tmp_path, capsys):
     lines = [f"{702 + i}\t{s}" for i, s in enumerate(["CCO", "CCN", "CCC", "c1ccccc1", "CC(=O)O", "(", "C#N", "CCCl", "CCBr", "OCCO", "c1ccncc1", "CCS"] * 4)]
     (tmp_path / "p.tsv").write_text("\n".join(lines) + "\n")
