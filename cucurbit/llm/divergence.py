@@ -1,11 +1,12 @@
 """Operator 12: audit of how the sources of a language differ, by mergeable radix tries.
 
-1. Each partition counts its terms into byte tries, one a language: an edge holds a run of bytes, a
-   leaf the number of documents with the term and a counter for each source.  A trie that has
-   ``LEAVES`` leaves is written and a new one begun, so a task's memory is bounded.
-2. The leaves are ranged by language and prefix.  A task merges those of its range, which come in the
-   order of a walk, into one trie; what lies before the last term is complete and goes out, if
-   enough documents hold the term.  A frequent term has one leaf for each trie, however often it occurs.
+1. Each partition counts its terms into byte tries, one a language.  A node branches by byte once it
+   has ``BURST`` terms below it, until then it holds what is left of them; a leaf has the number of
+   documents with the term and a counter for each source.  When there are ``LEAVES`` leaves, they are
+   written and new tries begun, so a task's memory is bounded.
+2. The leaves are ranged by language and prefix, and come to a task in the order of one walk over all
+   tries: merging the tries of a range is adding up the leaves of a term, which lie together.  A
+   frequent term has one leaf for each trie, however often it occurs.
 3. The walk over the kept leaves, in UTF-8 order, makes shares of counts, adds up the differences of
    all pairs of sources of a language and holds each source's ``TOP`` terms, by value and then by
    term.  Sums and candidates of tasks are put together by Spark.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,11 @@ from .common import parts, saved
 MIN_DOCS = 30
 TOP = 50
 SCALE, SMOOTH = 1_000_000_000, 5
-LEAVES = 100_000
-#: Words counted before they go into the tries, each distinct one once.
-AT_ONCE = 500_000
+LEAVES = 300_000
+#: Terms below a node that does not branch.
+BURST = 512
+#: Words counted before they go into the tries, each distinct one of a group once.
+AT_ONCE = 1_000_000
 BLOCK = 500
 #: Cells of the sums over pairs that a task holds.
 CELLS = 4_000_000
@@ -46,119 +50,169 @@ CHUNK = 1024
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: Where a leaf, a dict of counts by source, has its documents.
+DOCS = None
+
+
+class Node:
+    """Children by byte, once there are any, and leaves by what is left of their terms."""
+
+    __slots__ = ("kids", "held")
+
+    def __init__(self):
+        self.kids: dict[int, Node] | None = None
+        self.held: dict[bytes, dict] = {}
+
+    def burst(self) -> None:
+        self.kids, held, self.held = {}, self.held, {}
+        for rest, leaf in held.items():
+            if not rest:
+                self.held[rest] = leaf
+                continue
+            if (kid := self.kids.get(rest[0])) is None:
+                kid = self.kids[rest[0]] = Node()
+            kid.held[rest[1:]] = leaf
+
+
 class Trie:
-    """A byte trie with runs of bytes as edges.  A node is [edge, children by first byte, leaf]; a leaf is [documents, counts by source]."""
+    """A byte trie with counters at its leaves; ``known`` has the leaves by term, for those that come again."""
 
     def __init__(self):
-        self.root: list = [b"", {}, None]
-        self.leaves = 0
+        self.root, self.known = Node(), {}
+
+    @property
+    def leaves(self) -> int:
+        return len(self.known)
 
-    def leaf(self, term: bytes) -> list:
+    def leaf(self, term: bytes) -> dict:
         """The leaf of a term, made if there is none."""
+        if (leaf := self.known.get(term)) is not None:
+            return leaf
         node, at = self.root, 0
-        while at < len(term):
-            kid = node[1].get(term[at])
-            if kid is None:
-                kid = node[1][term[at]] = [term[at:], {}, None]
-            elif not term.startswith(kid[0], at):
-                n, edge = 1, kid[0]
-                while at + n < len(term) and edge[n] == term[at + n]:
-                    n += 1
-                kid[0] = edge[n:]
-                kid = node[1][term[at]] = [edge[:n], {edge[n]: kid}, None]
-            node, at = kid, at + len(kid[0])
-        if node[2] is None:
-            node[2] = [0, {}]
-            self.leaves += 1
-        return node[2]
-
-    def add(self, term: bytes, docs: int, counts) -> None:
-        """Adds a leaf's counters, as merging tries does."""
-        own = self.leaf(term)
-        own[0] += docs
-        for source, n in counts:
-            own[1][source] = own[1].get(source, 0) + n
-
-    def walk(self) -> Iterator[tuple[bytes, list]]:
+        while node.kids is not None and at < len(term):
+            if (kid := node.kids.get(term[at])) is None:
+                kid = node.kids[term[at]] = Node()
+            node, at = kid, at + 1
+        leaf = self.known[term] = node.held[term[at:]] = {DOCS: 0}
+        if node.kids is None and len(node.held) > BURST:
+            node.burst()
+        return leaf
+
+    def walk(self) -> Iterator[tuple[bytes, dict]]:
         """Terms and leaves in the order of their bytes."""
         todo = [(b"", self.root)]
         while todo:
             before, node = todo.pop()
-            term = before + node[0]
-            if node[2] is not None:
-                yield term, node[2]
-            todo.extend((term, node[1][b]) for b in sorted(node[1], reverse=True))
+            for rest in sorted(node.held):
+                yield before + rest, node.held[rest]
+            for byte in sorted(node.kids or (), reverse=True):
+                todo.append((before + bytes([byte]), node.kids[byte]))
 
 
 SCHEMA = "lang string, term string, docs long, sources array<string>, counts array<long>"
-ARROW = pa.schema([("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+NAMES = ["lang", "term", "docs", "sources", "counts"]
 
 
-def _rows(lang: str, leaves, most: int = 4096) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for term, (docs, counts) in leaves:
-        held.append({"lang": lang, "term": term.decode("utf-8"), "docs": docs, "sources": list(counts), "counts": list(counts.values())})
-        if len(held) == most:
-            yield pa.RecordBatch.from_pylist(held, ARROW)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, ARROW)
+def _rows(lang: str, trie: Trie, most: int = 8192) -> Iterator[pa.RecordBatch]:
+    """A trie's leaves as rows, in the order of the walk."""
+    walk = trie.walk()
+    while some := list(islice(walk, most)):
+        docs = [leaf.pop(DOCS) for _, leaf in some]
+        ends = pa.array(np.concatenate([[0], np.cumsum([len(leaf) for _, leaf in some])]), pa.int32())
+        sources, counts = (pa.array(list(chain.from_iterable(x)), t) for x, t in (((leaf for _, leaf in some), pa.string()), ((leaf.values() for _, leaf in some), pa.int64())))
+        terms = pa.array([t for t, _ in some], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), terms, pa.array(docs), pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, counts)], NAMES)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves of the partition's tries, and a row without a term for each group."""
     tries: dict[str, Trie] = defaultdict(Trie)
     groups: set[tuple[str, str]] = set()
-    counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
-    docs: dict[str, Counter] = defaultdict(Counter)
+    counts: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
     seen = 0
 
     def into_tries() -> None:
-        for (lang, source), terms in counts.items():
+        for (lang, source), (terms, docs) in counts.items():
+            trie = tries[lang]
+            known, find = trie.known.get, trie.leaf
             for term, n in terms.items():
-                own = tries[lang].leaf(term)[1]
-                own[source] = own.get(source, 0) + n
-        for lang, terms in docs.items():
-            for term, n in terms.items():
-                tries[lang].leaf(term)[0] += n
+                leaf = known(term) or find(term)
+                leaf[source] = leaf.get(source, 0) + n
+                leaf[DOCS] += docs[term]
         counts.clear()
-        docs.clear()
 
     for b in parts(batches, 256):
         texts, langs, sources = pc.fill_null(b.column("text").cast(pa.large_binary()), b""), pc.fill_null(b.column("lang"), "").to_pylist(), pc.fill_null(b.column("source"), "").to_pylist()
         for text, lang, source in zip(texts, langs, sources, strict=True):
             groups.add((lang, source))
             terms = text.as_py().translate(NORMAL).split()
-            counts[lang, source].update(terms)
-            docs[lang].update(set(terms))
+            own, docs = counts[lang, source]
+            own.update(terms)
+            docs.update(set(terms))
             seen += len(terms)
             if seen >= AT_ONCE:
                 into_tries()
                 seen = 0
                 if sum(t.leaves for t in tries.values()) >= LEAVES:
                     for k, t in tries.items():
-                        yield from _rows(k, t.walk())
+                        yield from _rows(k, t)
                     tries.clear()
     into_tries()
     for k, t in tries.items():
-        yield from _rows(k, t.walk())
+        yield from _rows(k, t)
     ordered = sorted(groups)
     for at in range(0, len(ordered), 4096):
-        yield pa.RecordBatch.from_pylist([{"lang": k, "term": None, "docs": 0, "sources": [s], "counts": [0]} for k, s in ordered[at : at + 4096]], ARROW)
+        some = ordered[at : at + 4096]
+        columns = ([k for k, _ in some], [None] * len(some), [0] * len(some), [[s] for _, s in some], [[0]] * len(some))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], NAMES)
+
+
+def _runs(rows: pa.Table) -> np.ndarray:
+    """Where the leaves of a term begin, in rows ordered by lang and term."""
+    same = [pc.equal(rows[c][1:], rows[c][:-1]).to_numpy() for c in ("lang", "term")]
+    return np.flatnonzero(np.concatenate([[True], ~(same[0] & same[1])]))
+
+
+def _merge(rows: pa.Table, min_docs: int) -> pa.RecordBatch | None:
+    """One leaf for each term that is in enough documents; the rows hold all leaves of their terms, in the order of a walk."""
+    one = rows.combine_chunks()
+    start = _runs(one)
+    docs = np.add.reduceat(one["docs"].to_numpy(), start)
+    size = np.diff([*start, len(one)])
+    if not (enough := docs >= min_docs).any():
+        return None
+    one = one.filter(pa.array(np.repeat(enough, size))).combine_chunks()
+    docs, size = docs[enough], size[enough]
+    start = np.cumsum(size) - size
+    lists, counts = one["sources"].chunk(0), one["counts"].chunk(0).flatten().to_numpy()
+    sources = lists.flatten().dictionary_encode()
+    each = np.repeat(np.repeat(np.arange(len(size)), size), np.diff(lists.offsets.to_numpy()))
+    key = each * len(sources.dictionary) + sources.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    key = key[order][first]
+    ends = pa.array(np.searchsorted(key, np.arange(len(size) + 1) * len(sources.dictionary)), pa.int32())
+    merged = [sources.dictionary.take(pa.array(key % len(sources.dictionary))), pa.array(np.add.reduceat(counts[order], first))]
+    return pa.RecordBatch.from_arrays([*(one[c].combine_chunks().take(pa.array(start)) for c in ("lang", "term")), pa.array(docs), *(pa.ListArray.from_arrays(ends, x) for x in merged)], NAMES)
 
 
 def _merged(min_docs: int):
+    """Merges the walks of tries that Spark's sort has put into one: the leaves of a term lie together."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, last, trie = "", b"", Trie()
-        for b in parts(batches, 4096):
-            for row in b.to_pylist():
-                term = row["term"].encode("utf-8")
-                if row["lang"] != lang or trie.leaves >= CHUNK and term != last:
-                    yield from _rows(lang, ((t, x) for t, x in trie.walk() if x[0] >= min_docs))
-                    lang, trie = row["lang"], Trie()
-                trie.add(term, row["docs"], zip(row["sources"], row["counts"], strict=True))
-                last = term
-        yield from _rows(lang, ((t, x) for t, x in trie.walk() if x[0] >= min_docs))
+        held: list[pa.RecordBatch] = []
+        for b in parts(batches, 8192):
+            # The last term may go on in the next batch.
+            last = int(_runs(pa.Table.from_batches([b]))[-1])
+            if held and (last or any(held[-1].column(c)[0] != b.column(c)[0] for c in ("lang", "term"))):
+                if (out := _merge(pa.Table.from_batches([*held, b.slice(0, last)]), min_docs)) is not None:
+                    yield out
+                held = []
+            elif last and (out := _merge(pa.Table.from_batches([b.slice(0, last)]), min_docs)) is not None:
+                yield out
+            held.append(b.slice(last))
+        if held and (out := _merge(pa.Table.from_batches(held), min_docs)) is not None:
+            yield out
 
     return run
 

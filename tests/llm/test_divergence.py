@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from cucurbit.llm import divergence
@@ -64,17 +65,23 @@ def test_query(spark, sf_dir):
     assert result(divergence.op12_divergence(spark, sf_dir)) == brute([tuple(r) for r in rows], 30)
 
 
-def test_trie():
+@pytest.mark.parametrize("burst", [512, 3])
+def test_trie(monkeypatch, burst):
+    monkeypatch.setattr(divergence, "BURST", burst)
     r = random.Random(1)
     terms = ["".join(r.choice("abñ漢") for _ in range(r.randrange(1, 6))).encode() for _ in range(500)]
-    a, b, want = divergence.Trie(), divergence.Trie(), defaultdict(Counter)
+    tries, want = [divergence.Trie() for _ in range(3)], defaultdict(Counter)
     for k, t in enumerate(terms):
-        (a if k % 2 else b).add(t, 1, [(f"s{k % 3}", k)])
-        want[t].update({f"s{k % 3}": k, "docs": 1})
-    for t, (docs, counts) in b.walk():
-        a.add(t, docs, counts.items())
-    assert [(t, Counter({**c, "docs": d})) for t, (d, c) in a.walk()] == sorted(want.items())
-    assert a.leaves == len(want)
+        leaf = tries[k % 3].leaf(t)
+        leaf["s"] = leaf.get("s", 0) + k
+        leaf[divergence.DOCS] += 1
+        want[t].update({"s": k, "docs": 1})
+    assert sum(t.leaves for t in tries) >= len(want)
+    walks = [list(t.walk()) for t in tries]
+    assert all([t for t, _ in w] == sorted({t for t, _ in w}) for w in walks)
+    rows = sorted((row for t in tries for b in divergence._rows("x", t) for row in b.to_pylist()), key=lambda r: r["term"].encode())
+    merged = [r for b in divergence._merged(1)(iter(pa.Table.from_pylist(rows).to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert [(r["term"].encode(), r["docs"], r["sources"], r["counts"]) for r in merged] == [(t, c["docs"], ["s"], [c["s"]]) for t, c in sorted(want.items())]
 
 
 def test_large_counts_are_exact():
