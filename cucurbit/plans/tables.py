@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names."""
+    """The folder that spark.checkpoint.dir names; a local one only where it is unset and Spark runs in one process."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
-    raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return "file:///tmp/cucurbit-checkpoints"
 
 
 def saved(frame: DataFrame) -> DataFrame:

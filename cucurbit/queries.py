@@ -581,6 +581,30 @@ def quality_filter_bounds(spark, d):
     return described(spark, d).where("d is not null").where(rule.accepts(F.col("d"))).select("p_partkey")
 
 
+#: Rings that a grammar over part keys hangs on its chains: SMILES, and carbons, nitrogens, hydrogens with one bond taken, aromatic atoms and ring bonds.
+RINGS = [("", 0, 0, 1, 0, 0), ("c1ccccc1", 6, 0, 5, 6, 6), ("C1=CC=CC=C1", 6, 0, 5, 6, 6), ("c1ccncc1", 5, 1, 4, 6, 6), ("C1CCCCC1", 6, 0, 11, 0, 6), ("c1ccc2ccccc2c1", 10, 0, 7, 10, 11), ("C1=CNC=C1", 4, 1, 4, 5, 5), ("C1=CC=CC=CC=C1", 8, 0, 7, 0, 8)]
+RING_SQL = f"rings AS (SELECT * FROM (VALUES {', '.join(f'({k}, {', '.join(map(str, r[1:]))})' for k, r in enumerate(RINGS))}) t(r, c, n, h, aromatic, bonds))"
+
+
+def made_molecules(spark, d):
+    """A molecule for each part, by rules on its key: a chain of carbons, nitrogens and an oxygen, a ring or none, and every fifth with a sodium ion."""
+    key, ring = F.col("p_partkey"), F.array(*(F.lit(r[0]) for r in RINGS))
+    chain = F.concat(F.expr("repeat('C', p_partkey % 9 + 1)"), F.expr("repeat('N', p_partkey div 9 % 4)"), F.lit("O"))
+    ion = F.when(key % 5 == 0, ".[Na+]").otherwise("")
+    return table(spark, d, "part").select("p_partkey", F.concat(chain, F.get(ring, F.expr("CAST(p_partkey div 36 % 8 AS INT)")), ion).alias("smiles"))
+
+
+@query("grammar_descriptors", f"""WITH {RING_SQL}, p AS (SELECT p_partkey, p_partkey % 9 + 1 AS a, p_partkey // 9 % 4 AS b, p_partkey // 36 % 8 AS r, CASE WHEN p_partkey % 5 = 0 THEN 1 ELSE 0 END AS na FROM part),
+m AS (SELECT *, a + c AS cs, b + n AS ns, 2 * a + b + 1 + h AS hs FROM p JOIN rings USING (r))
+SELECT p_partkey, floor((12.011 * cs + 14.007 * ns + 15.999 + 1.008 * hs + 22.990 * na + 0.0005)::DOUBLE * 100) / 100 AS molecular_mass, na::INT AS formal_charge, cs::INT AS carbon_count, ns::INT AS nitrogen_count, hs::INT AS hydrogen_count,
+  (cs + ns + 1 + na)::INT AS heavy_atom_count, (c + n)::INT AS ring_atom_count, bonds::INT AS ring_bond_count, (1 + na)::INT AS connected_component_count, aromatic::INT AS aromatic_atom_count FROM m""")
+def grammar_descriptors(spark, d):
+    """Aromaticity, hydrogens and rings of molecules that differ by row, in both notations of rings."""
+    rows = made_molecules(spark, d).withColumn("graph", chem.molecule_graph(F.col("smiles"))).withColumn("d", chem.descriptors(F.col("graph")))
+    names = ["formal_charge", "carbon_count", "nitrogen_count", "hydrogen_count", "heavy_atom_count", "ring_atom_count", "ring_bond_count", "connected_component_count", "aromatic_atom_count"]
+    return rows.select("p_partkey", (F.floor((F.col("d.molecular_mass").cast("double") + 0.0005) * 100) / 100).alias("molecular_mass"), *(F.col(f"d.{c}").alias(c) for c in names))
+
+
 SCALES = {"molecular_mass": 1000.0, "formal_charge": 8.0}
 
 
@@ -642,14 +666,14 @@ FORWARD = ", ".join([
 ])
 
 
-@query("full_forward", f"WITH {FORWARD} SELECT l.row_id AS cid, round(l.x, 4) AS latent_sum, round(r.x, 4) AS reconstructed_sum, round(h.x, 4) AS descriptor_sum FROM (SELECT row_id, sum(x) AS x FROM lat GROUP BY 1) l JOIN (SELECT row_id, sum(x) AS x FROM rec GROUP BY 1) r USING (row_id) JOIN (SELECT row_id, sum(x) AS x FROM head GROUP BY 1) h USING (row_id)")
+@query("full_forward", f"WITH {FORWARD} SELECT l.row_id AS cid, round(l.x, 4) + 0.0 AS latent_sum, round(r.x, 4) + 0.0 AS reconstructed_sum, round(h.x, 4) + 0.0 AS descriptor_sum FROM (SELECT row_id, sum(x) AS x FROM lat GROUP BY 1) l JOIN (SELECT row_id, sum(x) AS x FROM rec GROUP BY 1) r USING (row_id) JOIN (SELECT row_id, sum(x) AS x FROM head GROUP BY 1) h USING (row_id)")
 def full_forward(spark, d):
     """Encoder, decoder and descriptor head over the orders, with weights made by a rule; sums of each output."""
     import numpy as np
 
     rows = vectors.to_arrays(vectors.order_vectors(table(spark, d, "lineitem"), 64)).withColumnRenamed("id", "cid")
     out = model_ops.forward(rows, {k: v.astype(np.float64) for k, v in literal_weights(TINY).items()}, TINY)
-    added = {f"{to}_sum": F.round(sparse.total(F.col(c)), 4) for to, c in (("latent", "latent"), ("reconstructed", "reconstructed_log_counts"), ("descriptor", "descriptor_predictions"))}
+    added = {f"{to}_sum": F.round(sparse.total(F.col(c)), 4) + 0.0 for to, c in (("latent", "latent"), ("reconstructed", "reconstructed_log_counts"), ("descriptor", "descriptor_predictions"))}
     return out.select("cid", *(v.alias(k) for k, v in added.items()))
 
 
