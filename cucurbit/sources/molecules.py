@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import record_status, stable_molecule_id
@@ -63,10 +64,61 @@ def read_stdin(spark: SparkSession, lines: Iterable[str] | None = None, places:
     return smi_lines(with_places(rows, False), keep=PLACE) if places else smi_lines(rows)
 
 
+def quoted_records(lines: DataFrame, sep: str) -> DataFrame:
+    """lines: value, without its line end, and PLACE.  The records they make, as value with the PLACE of their first line.
+
+    A line ends a record or leaves a quoted field open, depending on whether it begins inside one: it
+    keeps that state, turns it or ends in one of the two whatever came before.  Such steps add up, so
+    each split is read by itself, its lines from the last fixed state on by the parity of turns, and the
+    splits of a file are added up in a row for each.  Only lines of records of several are grouped.
+    A quoted field that a file leaves open is an error.
+    """
+    file, split, row = PLACE
+    d = "\\t" if sep == "\t" else re.escape(sep)
+    rest = f'[^"]*+(?:""[^"]*+)*+"[^{d}]*+'
+    field = f'(?:"{rest}|[^"{d}][^{d}]*+|)'
+    ends = {k: F.col("value").rlike(f"^{head}(?:{d}{field})*+$") for k, head in (("__from_start", field), ("__from_open", rest))}
+    turn = (~F.col("__from_start") & F.col("__from_open")).cast("int")
+    fixed = F.when(F.col("__from_start") == F.col("__from_open"), (~F.col("__from_start")).cast("int"))
+    own = Window.partitionBy(file, split).orderBy(row)
+    so_far, before = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(Window.unboundedPreceding, -1)
+    marked = lines.withColumns(ends).withColumns({"__turn": turn, "__fixed": fixed}).withColumn("__turns", F.sum("__turn").over(so_far))
+    at_fixed = F.when(F.col("__fixed").isNotNull(), F.struct(F.col("__fixed").alias("state"), F.col("__turns").alias("turns")))
+    marked = marked.withColumn("__known", F.last(at_fixed, ignorenulls=True).over(before))
+
+    def state(known: Column, turns: Column, incoming: Column) -> Column:
+        """Whether a quoted field is open, after so many turns in all and the last fixed state before."""
+        return F.pmod(F.when(known.isNull(), incoming + turns).otherwise(known["state"] + turns - known["turns"]), F.lit(2))
+
+    # Of each split, what it does to the state that it begins with.
+    sums = marked.groupBy(file, split).agg(F.max_by("__turns", row).alias("__turn"), F.max_by(F.coalesce(at_fixed, "__known"), row).alias("__last"))
+    by_file = Window.partitionBy(file).orderBy(split)
+    earlier = by_file.rowsBetween(Window.unboundedPreceding, -1)
+    # A split with a fixed state ends in one; the others turn it so many times.
+    sums = sums.withColumn("__end", F.when(F.col("__last").isNotNull(), F.pmod(F.col("__last.state") + F.col("__turn") - F.col("__last.turns"), F.lit(2))))
+    sums = sums.withColumn("__total", F.sum("__turn").over(by_file.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.when(F.col("__end").isNotNull(), F.struct(F.col("__end").alias("state"), F.col("__total").alias("turns")))
+    sums = sums.withColumn("__incoming", state(F.last(end, ignorenulls=True).over(earlier), F.coalesce(F.sum("__turn").over(earlier), F.lit(0)), F.lit(0)))
+    joined = marked.join(sums.select(file, split, "__incoming"), [file, split])
+    joined = joined.withColumn("__open", state(F.col("__known"), F.col("__turns") - F.col("__turn"), F.col("__incoming")))
+    joined = joined.withColumn("__after", F.when(F.col("__open") == 1, ~F.col("__from_open")).otherwise(~F.col("__from_start")))
+    # What is asked of records must not be asked of lines that make none: a column that isn't deterministic holds filters back.
+    held = lambda c: F.when(F.monotonically_increasing_id() >= 0, c).alias("value")
+    single = joined.where("__open = 0 AND NOT __after").select(held(F.col("value")), *PLACE)
+    several = joined.where("__open = 1 OR __after")
+    # The first line of each line's record: in its split, or the last one of the splits before.
+    several = several.withColumn("__first", F.last(F.when(F.col("__open") == 0, F.struct(split, row)), ignorenulls=True).over(Window.partitionBy(file).orderBy(split, row).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct(split, row, "value", "__after")))
+    records = several.groupBy(file, "__first").agg(parts.alias("__lines"))
+    whole = F.when(F.element_at("__lines", -1)["__after"], F.raise_error(F.concat(F.lit("a quoted field is left open in "), F.col(file)))).otherwise(F.array_join("__lines.value", "\n"))
+    return single.unionByName(records.select(held(whole.cast("string")), file, F.col(f"__first.{split}").alias(split), F.col(f"__first.{row}").alias(row)))
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str, smiles_column: str = "smiles", multi_line: bool = True, places: bool = False) -> DataFrame:
     """A file with a header; the column's name must match exactly, and rows of another width are errors.
 
-    A file with line ends inside quotes can't be split and is one task; without them, ``multi_line=False`` reads it in many.
+    Line ends inside quotes are part of a field; a file is read in many tasks all the same, and rows come
+    in its order.  ``multi_line=False`` says that there are none, and spares the shuffles that this takes.
     """
     header = spark.read.option("header", False).option("sep", sep).option("quote", '"').option("escape", '"').csv(path).first()
     names = [] if header is None else list(header)
@@ -74,11 +126,22 @@ def read_delimited(spark: SparkSession, path: str, sep: str, smiles_column: str
         raise ValueError(f"{path} has no column {smiles_column!r}")
     at = names.index(smiles_column)
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    rows = spark.read.schema(schema).csv(path, header=True, sep=sep, mode="FAILFAST", multiLine=multi_line, quote='"', escape='"', enforceSchema=True)
+    if multi_line:
+        lines = with_places(spark.read.option("lineSep", "\n").text(path))
+        records = quoted_records(lines, sep).withColumn("value", F.regexp_replace("value", "\r$", ""))
+        # The first record of a file is its header.
+        heads = records.where(F.col(PLACE[1]) == 0).groupBy(PLACE[0]).agg(F.min(PLACE[2]).alias("__head"))
+        body = records.join(heads, PLACE[0]).where(~((F.col(PLACE[1]) == 0) & (F.col(PLACE[2]) == F.col("__head"))) & (F.trim("value") != ""))
+        parsed = F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "mode": "FAILFAST"})
+        rows = body.select(*PLACE, parsed.alias("__c")).select(*PLACE, "__c.*")
+    else:
+        rows = spark.read.schema(schema).csv(path, header=True, sep=sep, mode="FAILFAST", quote='"', escape='"', enforceSchema=True)
+        rows = with_places(rows) if places else rows
     # All columns are kept until here: with one pruned, ragged rows would pass.
-    value = F.when(F.struct(*rows.columns).isNotNull(), trim(F.col(f"c{at}")))
-    rows = with_places(rows) if places else rows
-    return rows.select(*(PLACE if places else ()), value.alias("smiles")).where(F.col("smiles").isNotNull() & (F.col("smiles") != ""))
+    value = F.when(F.struct(*(f"c{i}" for i in range(len(names)))).isNotNull(), trim(F.col(f"c{at}")))
+    known = places or multi_line
+    out = rows.select(*(PLACE if known else ()), value.alias("smiles")).where(F.col("smiles").isNotNull() & (F.col("smiles") != ""))
+    return in_order(out) if multi_line and not places else out
 
 
 def read_mgf(spark: SparkSession, path: str, places: bool = False) -> DataFrame:

@@ -297,6 +297,49 @@ def test_embed_keeps_rows_and_keys(spark):
     assert none.count() == 0
 
 
+def quoted_text(n):
+    """Rows of a name, a SMILES and a note, with line ends, separators and quotes in quoted fields, and quotes in unquoted ones."""
+    import random
+
+    r, out = random.Random(n), []
+    for k in range(n):
+        note = r.choice(["plain", 'two\nlines', 'a "quoted" word', "comma, here", "\n\n", 'ends with "', '"', "x\ny\nz,\n", ""])
+        raw = r.choice([None, None, None, f'5" pipe {k}', f'a"b"c{k}'])
+        out.append((f"n{k}", "C" * (1 + k % 9), raw or '"' + note.replace('"', '""') + '"'))
+    return "name,smiles,note\n" + "\n".join(",".join(x) for x in out) + "\n", [x[1] for x in out]
+
+
+@pytest.mark.parametrize("n", [1, 40, 2500])
+def test_quoted_line_ends_in_many_tasks(spark, tmp_path, n):
+    """What a csv reader gives in one piece, read in many splits that begin anywhere."""
+    import csv
+    import io
+
+    os.makedirs(tmp_path / "in.csv")
+    texts = [quoted_text(n), quoted_text(n + 1)]
+    for name, (text, _) in zip("ab", texts, strict=True):
+        (tmp_path / "in.csv" / f"{name}.csv").write_text(text)
+    want = [r["smiles"] for text, _ in texts for r in csv.DictReader(io.StringIO(text, newline=""))]
+    assert want == [s for _, own in texts for s in own]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = [r.smiles for r in molecules.in_order(molecules.read_delimited(spark, f"{tmp_path}/in.csv", ",", places=True)).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
+def test_bad_quoted_files(spark, tmp_path):
+    (tmp_path / "ragged.csv").write_text('a,smiles\n"x\ny",C\n1,CC,3\n')
+    (tmp_path / "open.csv").write_text('a,smiles\n1,C\n"never closed,CC\n2,O\n')
+    (tmp_path / "crlf.csv").write_text('a,smiles\r\n"x\r\ny",C\r\n2,O\r\n', newline="")
+    for name, what in (("ragged", "MALFORMED"), ("open", "left open")):
+        with pytest.raises(Exception, match=f"(?s){what}"):
+            molecules.read_delimited(spark, f"{tmp_path}/{name}.csv", ",").collect()
+    assert [r.smiles for r in molecules.in_order(molecules.read_delimited(spark, f"{tmp_path}/crlf.csv", ",", places=True)).collect()] == ["C", "O"]
+
+
 def test_input_order(spark, tmp_path):
     """Two files in many splits come out as they are written, with what can't be read left out."""
     many = [["C" * (1 + (7 * k + f) % 40) + "O" * (k % 3) if k % 11 else "(" for k in range(3000)] for f in (0, 1)]
