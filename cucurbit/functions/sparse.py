@@ -24,8 +24,20 @@ def count_at(indices: Column, counts: Column, i: Column) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1)["c"]).otherwise(0)
 
 
+def _let(value: Column, body) -> Column:
+    """The body on a value that is made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dense_counts(indices: Column, counts: Column, width: int = WIDTH) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: count_at(indices, counts, i))
+    """All bins from 0 to the width; of several entries of a bin the last counts.  The entries are sorted, and the gaps between them filled."""
+    inside = F.filter(F.transform(F.arrays_zip(indices.alias("i"), counts.alias("c")), lambda p, k: F.struct(p["i"].alias("i"), k.alias("k"), p["c"].alias("c"))), lambda p: (p["i"] >= 0) & (p["i"] < width))
+
+    def filled(last: Column) -> Column:
+        gaps = F.transform(last, lambda p, k: F.concat(F.array_repeat(F.lit(0), p["i"] - F.coalesce(F.get(last, k - 1)["i"], F.lit(-1)) - 1), F.array(p["c"])))
+        return F.flatten(F.concat(gaps, F.array(F.array_repeat(F.lit(0), F.lit(width - 1) - F.coalesce(F.get(last, F.size(last) - 1)["i"], F.lit(-1))))))
+
+    return _let(F.array_sort(inside), lambda e: _let(F.filter(e, lambda p, k: F.coalesce(F.get(e, k + 1)["i"] != p["i"], F.lit(True))), filled))
 
 
 def dense_log_counts(indices: Column, counts: Column, width: int = WIDTH) -> Column:

@@ -114,3 +114,10 @@ def test_fingerprints_of_both_notations(spark):
         found.setdefault(r.k, []).append((tuple(r.fingerprint.indices), tuple(r.fingerprint.counts)))
         assert sum(r.fingerprint.counts) == slow_fingerprint(r.s, 3)[1] and list(r.fingerprint.indices) == sorted(set(r.fingerprint.indices))
     assert all(a == b for a, b in found.values())
+
+
+@pytest.mark.parametrize("bad", [0.0, -1.0, float("inf"), float("nan")])
+def test_scales_have_to_be_positive(spark, bad):
+    for name in ("mass_scale", "charge_scale", "count_scale"):
+        with pytest.raises(ValueError):
+            chem.regression_targets(F.lit(None), **{name: bad})

@@ -63,6 +63,23 @@ def tables(spark, z, q):
     return spark.createDataFrame(a, "row_id int, idx int, target_log double"), spark.createDataFrame(p, "row_id int, idx int, pred double")
 
 
+def test_dense_views(spark):
+    """Unsorted and repeated entries, none, and some outside the width."""
+    rows = [([5, 0, 2], [7, 1, 3]), ([], []), ([3, 3, 1], [4, 9, 2]), ([0, 7], [5, 6]), ([8, -1, 4], [1, 1, 2])]
+    frame = spark.createDataFrame(rows, "indices array<int>, counts array<int>")
+    i, c = F.col("indices"), F.col("counts")
+    got = frame.select(sparse.dense_counts(i, c, 8).alias("d"), sparse.dense_log_counts(i, c, 8).alias("l"), sparse.pairs_sorted(i, c).alias("p")).collect()
+    for (indices, counts), r in zip(rows, got, strict=True):
+        want = [0] * 8
+        for k, n in zip(indices, counts, strict=True):
+            if 0 <= k < 8:
+                want[k] = n
+        assert r.d == want and r.l == pytest.approx([math.log1p(x) for x in want])
+        assert [tuple(p) for p in r.p] == sorted(zip(indices, counts, strict=True))
+    wide = spark.range(1).select(F.array(F.lit(4095), F.lit(7)).alias("i"), F.array(F.lit(2), F.lit(1)).alias("c")).select(sparse.dense_counts(F.col("i"), F.col("c")).alias("d")).first().d
+    assert len(wide) == 4096 and wide[7] == 1 and wide[4095] == 2 and sum(wide) == 3
+
+
 def test_loss_literals(spark):
     got = lambda frame: frame.first().loss
     z, q = [[1.1, 0, 0.7, 0], [0, 0.3, 0, 0]], [[0.5, 0.4, -0.2, -1.0], [0.2, 1.9, 0.0, -0.3]]
