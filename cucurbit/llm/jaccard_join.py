@@ -25,7 +25,9 @@ own shingles.
    blocks of members, and only the pairs that pass come out.  Pairs within a component need no look.
 
 Defined results: null and wordless texts have an empty set and no links; fewer words than a
-shingle make one shingle.  Rows with equal ids are rows of their own.
+shingle make one shingle.  Rows with equal ids are rows of their own.  A row without an id is linked
+like any other, and its component is named by the least id there is in it, or by null.  Other columns
+are not looked at.
 """
 
 from __future__ import annotations

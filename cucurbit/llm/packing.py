@@ -14,7 +14,8 @@ pieces of each length (in salted groups, with offsets by group) and looks each n
 plan, which gives its sequence and its offset there.
 
 Defined results: a null or empty text is the end id alone, one token.  Repeated rows and ids are
-packed as they come; equal ones may change places with each other.
+packed as they come; equal ones may change places with each other.  Null ids stay null.  Of the
+documents id and text are read; their other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -70,7 +70,10 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The measurements and the failure bits of every rule, as the long ``failed``."""
+    """The measurements and the failure bits of every rule, as the long ``failed``.
+
+    Columns of these names are replaced, and columns named __words, __lines, __windows, __sorted and __twice go.
+    """
     bits = " | ".join(f"if({sql}, {1 << bit}L, 0L)" for bit, _, sql in RULES)
     # A filter on the bits must not be pushed below the measurements, which would take them anew
     # for every rule and window: an expression that isn't deterministic stays where it is.

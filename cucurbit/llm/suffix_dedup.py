@@ -20,7 +20,8 @@ What a task finds tied among its own rows is settled before the shuffle, so that
 row from each task for each distinct hull.  Groups are read as sorted streams; none is held.
 
 Defined results: null and empty texts have no bytes; texts shorter than a string keep all.
-Rows with equal ids or texts are matched like any others, so both copies of a long text go.
+Rows with equal ids or texts are matched like any others, so both copies of a long text go.  A row
+without an id is a row like any other and keeps its null.  Other columns are not looked at.
 """
 
 from __future__ import annotations
