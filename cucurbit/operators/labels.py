@@ -129,3 +129,14 @@ def best_candidates(batched: DataFrame, seed: int, candidates: int) -> DataFrame
         return pa.table([rows["batch_id"], rows["row"], pa.array(best, pa.int32()), pa.array(scores[np.arange(len(best)), best]), pa.array(gap)], names)
 
     return _each_batch(batched.select("batch_id", "row", "indices", "counts"), judge, "batch_id long, anchor int, best_pos int, best_score double, top2_gap double")
+
+
+def drawn(batched: DataFrame, seed: int, candidates: int) -> DataFrame:
+    """batch_id (long), row and candidates of each row, by one seed for all batches; none in batches under three rows."""
+
+    def pick(rows: pa.Table) -> pa.Table:
+        who = draw(len(rows), candidates, seed)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * who.shape[1], pa.int32()), pa.array(who.ravel(), pa.int32()))
+        return pa.table([rows["batch_id"], rows["row"], lists], ["batch_id", "row", "candidates"])
+
+    return _each_batch(batched.select("batch_id", "row"), pick, "batch_id long, row int, candidates array<int>")

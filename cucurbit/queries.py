@@ -379,7 +379,7 @@ cand AS (SELECT batch_id, row, id, i AS pos, c + CASE WHEN c >= row THEN 1 ELSE
 
 @query("ranking_candidates", f"WITH {BATCHED}, {STATE}, {WALK} SELECT batch_id, row AS anchor, string_agg(candidate::VARCHAR, ',' ORDER BY pos) AS candidates FROM cand GROUP BY 1, 2")
 def ranking_candidates(spark, d):
-    rows = ranking.with_candidates(batched(spark, d), SEED, K, BATCH - 1).where(F.size("candidates") > 0)
+    rows = label_ops.drawn(ranking.planned_batches(vec(spark, d).select("id").distinct(), "id", BATCH), SEED, K).where(F.size("candidates") > 0)
     return rows.select("batch_id", F.col("row").alias("anchor"), F.array_join(F.col("candidates").cast("array<string>"), ",").alias("candidates"))
 
 
