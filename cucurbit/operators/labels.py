@@ -59,7 +59,7 @@ def best_two(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_steps(batched: DataFrame, first: int = 0) -> DataFrame:
-    """Adds step: the number of the row's batch among all that have rows, from ``first`` on."""
+    """Adds step: the number of the row's batch among all that have rows, from ``first`` on.  One task numbers the batches, a row for each."""
     steps = batched.select("batch_id").distinct().withColumn("step", F.row_number().over(Window.orderBy("batch_id")) - 1 + first)
     return batched.join(steps, "batch_id")
 
