@@ -29,17 +29,22 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def dense_counts(indices: Column, counts: Column, width: int = WIDTH) -> Column:
-    """All bins from 0 to the width; of several entries of a bin the last counts.  The entries are sorted, and the gaps between them filled."""
-    inside = F.filter(F.transform(F.arrays_zip(indices.alias("i"), counts.alias("c")), lambda p, k: F.struct(p["i"].alias("i"), k.alias("k"), p["c"].alias("c"))), lambda p: (p["i"] >= 0) & (p["i"] < width))
+def dense(indices: Column, values: Column, width: Column, zero: Column) -> Column:
+    """All bins from 0 to the width; of several entries of a bin the last counts.  The entries are sorted, and the gaps between them filled with ``zero``."""
+    inside = F.filter(F.transform(F.arrays_zip(indices.alias("i"), values.alias("c")), lambda p, k: F.struct(p["i"].alias("i"), k.alias("k"), p["c"].alias("c"))), lambda p: (p["i"] >= 0) & (p["i"] < width))
 
     def filled(last: Column) -> Column:
-        gaps = F.transform(last, lambda p, k: F.concat(F.array_repeat(F.lit(0), p["i"] - F.coalesce(F.get(last, k - 1)["i"], F.lit(-1)) - 1), F.array(p["c"])))
-        return F.flatten(F.concat(gaps, F.array(F.array_repeat(F.lit(0), F.lit(width - 1) - F.coalesce(F.get(last, F.size(last) - 1)["i"], F.lit(-1))))))
+        gaps = F.transform(last, lambda p, k: F.concat(F.array_repeat(zero, p["i"] - F.coalesce(F.get(last, k - 1)["i"], F.lit(-1)) - 1), F.array(p["c"])))
+        return F.flatten(F.concat(gaps, F.array(F.array_repeat(zero, width - 1 - F.coalesce(F.get(last, F.size(last) - 1)["i"], F.lit(-1))))))
 
     return _let(F.array_sort(inside), lambda e: _let(F.filter(e, lambda p, k: F.coalesce(F.get(e, k + 1)["i"] != p["i"], F.lit(True))), filled))
 
 
+def dense_counts(indices: Column, counts: Column, width: int = WIDTH) -> Column:
+    """All bins from 0 to the width; of several entries of a bin the last counts."""
+    return dense(indices, counts, F.lit(width), F.lit(0))
+
+
 def dense_log_counts(indices: Column, counts: Column, width: int = WIDTH) -> Column:
     return F.transform(dense_counts(indices, counts, width), lambda c: F.log1p(c.cast("double")))
 
@@ -66,10 +71,14 @@ def binary_tanimoto(ia: Column, ib: Column) -> Column:
 
 
 def dense_count_tanimoto(a: Column, b: Column) -> Column:
-    """Of two dense count arrays."""
-    low = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
-    high = total(F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
-    return F.when(high <= 0, F.lit(1.0)).otherwise(low / F.greatest(high, F.lit(1e-12)))
+    """Of two dense count arrays, each made once."""
+
+    def score(x: Column) -> Column:
+        low = total(F.zip_with(x["a"], x["b"], lambda c, d: F.least(c, d)))
+        high = total(F.zip_with(x["a"], x["b"], lambda c, d: F.greatest(c, d)))
+        return _let(F.struct(low.alias("low"), high.alias("high")), lambda s: F.when(s["high"] <= 0, F.lit(1.0)).otherwise(s["low"] / F.greatest(s["high"], F.lit(1e-12))))
+
+    return _let(F.struct(a.alias("a"), b.alias("b")), score)
 
 
 def from_log(x: Column) -> Column:
