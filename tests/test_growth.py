@@ -16,3 +16,26 @@ def test_only_lines_travel(spark, sf_dir, name):
     """One exchange, of the lines; bins are neither exploded nor joined."""
     plan = plan_of(QUERIES[name](spark, sf_dir))
     assert len(re.findall(r"\bExchange\b", plan)) == 1 and "Generate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["grammar_descriptors", "smiles_descriptors", "regression_targets", "ecfp_fingerprints"])
+def test_molecules_are_spread(spark, sf_dir, name):
+    """The table is one small split, and parsing its rows is work for all cores."""
+    assert QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_molecule_is_read_once_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from cucurbit.functions import chem
+
+    real, seen = chem.read, []
+    monkeypatch.setattr(chem, "read", lambda x: seen.append(x) or real(x))
+    batch = ["CCO", None, "c1ccccc1", "(", "CCO", "", "[Na+].C", "(", "c1ccccc1"]
+    got = chem._graph(pa.array(batch)).to_pylist()
+    assert sorted(seen) == sorted({x or "" for x in batch})
+    for x, g in zip(batch, got, strict=True):
+        try:
+            assert g == chem.parse(x or "")
+        except ValueError as e:
+            assert g == dict.fromkeys(g) | {"error": str(e)}
