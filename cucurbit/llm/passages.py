@@ -11,10 +11,9 @@ many tokens.  Two passages that are alike share the least hash under most of ``H
    (Texts with the same words are one class and travel once.)  If the two differ in the ``SIDE``
    tokens before or behind the least one, other texts may lie between a window and its partner:
    it then meets the group's first too, and the first and the one before it in the part of the
-   group that has the same least token before it, or behind it, under one of ``SKETCH`` other
-   functions, as one of the two sides is within the passage.  Of these parts it takes the
-   ``RAREST``: a template's words put thousands of texts in one group, and what few of them share
-   tells the copies of one filled-in form apart.
+   group that has the same least token before it, or behind it, under each of ``SKETCH`` other
+   functions, as one of the two sides is within the passage: a template's words put thousands of
+   texts in one group, and what few of them share tells the copies of one filled-in form apart.
 2. For each pair of texts that meet, the intervals that their windows have in common are laid
    over each other; stretches covered under ``ENOUGH`` functions or more are candidates.  A meeting
    in a small part of a large group counts twice, as a second token is shared there.
@@ -52,8 +51,8 @@ HASHES = 6
 ENOUGH = 3
 #: Tokens on either side of a window's least one: of a passage's tokens, so many lie on one of its sides.
 SIDE = (MIN_WORDS - SHINGLE) // 2
-#: Functions under which the least token of a side is a key, and how many of a window's keys, the rarest of its group, it is paired by.
-SKETCH, RAREST = 6, 6
+#: Functions under which the least token of a side is a key.
+SKETCH = 6
 #: A group of half so many windows is large, and a part of it small if it is a pair or a ``LARGE``-th of it.
 LARGE = 32
 BUCKET_WINDOWS = 150_000
@@ -236,24 +235,17 @@ def meetings(blocks: DataFrame, buckets: int) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1], [True]]))
         size = np.repeat(np.diff(edge), np.diff(edge))
         several = np.flatnonzero(size > 2)
-        sizes, parts_of = np.full((KEYS - 1, len(several)), len(sig) + 1), []
-        for key, own in zip(keys[1:], sizes, strict=True):
+        for key in keys[1:] if len(several) else ():
             both = sig[several].astype(U) << U(16) | key[several].astype(U)
             by = np.argsort(both, kind="stable")
             both = both[by]
-            n = np.diff(np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1], [True]]))) if len(by) else np.zeros(0, np.int64)
+            n = np.diff(np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1], [True]])))
             n = np.repeat(n, n)
-            own[by[n > 1]] = n[n > 1]
-            parts_of.append((by[n > 1], both[n > 1]))
-        place = np.empty_like(sizes)
-        np.put_along_axis(place, np.argsort(sizes, 0, kind="stable"), np.arange(KEYS - 1)[:, None], 0)
-        for (by, both), own, rank in zip(parts_of, sizes, place, strict=True) if len(several) else ():
-            picked, small = once.copy(), once.copy()
-            picked[several] = (rank < RAREST) & (own <= len(sig))
-            small[several] = (2 * size[several] >= LARGE) & (own <= np.maximum(2, size[several] // LARGE))
-            where = several[by]
+            where, both, n = several[by[n > 1]], both[n > 1], n[n > 1]
+            small = once.copy()
+            small[where] = (2 * size[where] >= LARGE) & (n <= np.maximum(2, size[where] // LARGE))
             first, second = linked(both)
-            keep = ~settled[second] & (picked[first] | picked[second])
+            keep = ~settled[second]
             pairs.append((first[keep], second[keep], small[second[keep]]))
         met = np.unique(np.concatenate([a.astype(U) << U(32) | b.astype(U) << U(1) | x.astype(U) for a, b, x in pairs]))
         # Of equal pairs the marked one is the last.

@@ -125,3 +125,20 @@ def test_template_with_one_edit(spark, variants, left, own, right):
     found = {x.doc_id for x in passages.passage_report(spark.createDataFrame(rows, "doc_id long, text string"))[1].where("n_repeated > 0").collect()}
     print(f"{variants} variants, {left} + {own} + {right}: {len(found & want)} of {len(want)} texts")
     assert found <= want and len(found) >= 0.95 * len(want)
+
+
+def test_every_key_pairs(spark):
+    """Two windows of a large group share the last key only, and each of them shares the other keys with a window of its own."""
+    n = passages.KEYS - 1
+    # Numbers of classes: 0 comes first, 1 to n - 1 are partners of x, then y's partners; others lie between x and y.
+    x, y = 2 * n, 2 * n + 2
+    keys = np.arange(1, (2 * n + 3) * passages.KEYS + 1, dtype=np.uint16).reshape(passages.KEYS, -1)
+    for k in range(1, n):
+        keys[k, k], keys[k, n + k] = keys[k, x], keys[k, y]
+    keys[n, y] = keys[n, x]
+    m = keys.shape[1]
+    row = (0, np.full(m, 5, np.uint32), np.arange(m, dtype=np.uint16), np.full(m, 30, np.int32), np.full((2, m), 30, np.uint16), keys, np.arange(100, 100 + m, dtype=np.uint64))
+    blocks = spark.createDataFrame([(row[0], *(bytearray(np.ascontiguousarray(v).tobytes()) for v in row[1:]))], "bucket int, sig binary, own binary, mids binary, spans binary, keys binary, classes binary")
+    met = {(r.a - 100, r.b - 100) for r in passages.meetings(blocks, 1).collect()}
+    assert (x, y) in met
+    assert all((k, x) in met and (n + k, y) in met for k in range(1, n))
