@@ -190,7 +190,8 @@ class WordBpe:
         for piece in slices(texts):
             lists = pc.ascii_split_whitespace(piece)
             coded = lists.flatten().dictionary_encode()
-            chunks = coded.dictionary.to_pylist()
+            # By way of numpy, as to_pylist makes a scalar of each.
+            chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             ids: list[bytes] = []
             for at in range(0, len(chunks), CACHED_CHUNKS // 2):
                 own = chunks[at : at + CACHED_CHUNKS // 2]
@@ -210,7 +211,7 @@ class WordBpe:
         """Ids and the text that they stand for."""
         for offsets, codes, ids in self.encode_column(texts):
             joined = pc.binary_join(pa.ListArray.from_arrays(offsets, ids.take(codes)), b"")
-            said = pa.array([self.decode(i) for i in ids.to_pylist()], pa.string())
+            said = pa.array([self.decode(i) for i in ids.to_numpy(zero_copy_only=False).tolist()], pa.string())
             full = pc.greater(pc.binary_length(ids), 0).take(codes).to_numpy(zero_copy_only=False)
             before = np.concatenate([[0], np.cumsum(full)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(before[offsets.to_numpy()]), said.take(codes.filter(pa.array(full))))
