@@ -166,7 +166,7 @@ def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """List offsets, codes of the strings between white space, and the strings by code."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     c = lists.flatten().dictionary_encode()
-    return lists.offsets.to_numpy(), c.indices.to_numpy(), c.dictionary.to_pylist()
+    return lists.offsets.to_numpy(), c.indices.to_numpy(), c.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def set_apart(offsets: np.ndarray, codes: np.ndarray, chunks: list[str]) -> Iterator[tuple[int, str]]:
