@@ -39,3 +39,21 @@ def test_a_molecule_is_read_once_a_batch(monkeypatch):
             assert g == chem.parse(x or "")
         except ValueError as e:
             assert g == dict.fromkeys(g) | {"error": str(e)}
+
+
+@pytest.mark.parametrize("rule", ["none", "low", "random"])
+def test_links_need_no_sample(rule):
+    """The sampled counts of shingles are an order of cost: whatever they are, linked sets have a signature in common."""
+    import numpy as np
+
+    from cucurbit.llm import jaccard_join
+
+    draw = np.random.default_rng(3)
+    for size in (40, 90, 300, 1000):
+        base = np.unique(draw.integers(0, 1 << 63, size, dtype=np.uint64))
+        lost = len(base) // 4  # the most that a subset may lack: 75 of 100 are left
+        other = np.sort(draw.permutation(base)[lost:])
+        counts = {"none": (base[:0], np.zeros(0, np.int64)), "low": (base, np.arange(len(base))), "random": (base, draw.integers(0, 99, len(base)))}[rule]
+        h, whose = np.concatenate([base, other]), np.repeat([0, 1], [len(base), len(other)])
+        sigs, texts = jaccard_join.signatures(h, whose, np.array([len(base), len(other)]), counts)
+        assert set(sigs[texts == 0].tolist()) & set(sigs[texts == 1].tolist())
