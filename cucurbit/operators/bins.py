@@ -18,9 +18,13 @@ class Bins:
     def of(cls, indices, counts, width: int, kind: np.dtype = np.float32) -> Bins:
         """From lists of indices and counts; the logs of a repeated index are added."""
         sizes = [len(i) for i in indices]
-        row = np.repeat(np.arange(len(sizes)), sizes)
         bin_ = np.concatenate([np.asarray(i, np.int64) for i in indices]) if sizes else np.zeros(0, np.int64)
-        value = np.log1p(np.concatenate([np.asarray(c, kind) for c in counts])) if sizes else np.zeros(0, kind)
+        return cls.of_flat(sizes, bin_, np.concatenate([np.asarray(c, kind) for c in counts]) if sizes else np.zeros(0, kind), width, kind)
+
+    @classmethod
+    def of_flat(cls, sizes, indices: np.ndarray, counts: np.ndarray, width: int, kind: np.dtype = np.float32) -> Bins:
+        """The same from the entries of all rows, one after the other, and their number in each row."""
+        row, bin_, value = np.repeat(np.arange(len(sizes)), sizes), indices.astype(np.int64), np.log1p(counts.astype(kind))
         key = row * width + bin_
         if (np.diff(key) <= 0).any():
             key, own = np.unique(key, return_inverse=True)

@@ -23,6 +23,8 @@ LN2 = 0.6931471805599453
 TERMS = ("reconstruction", "bce", "descriptor", "ranking")
 #: Values in one row of a table of weights, stored as little-endian bytes.
 BLOCK = 1 << 18
+#: Bins of whole batches that are restored at a time.
+CELLS = 1 << 18
 WEIGHTS = "kind string, layer string, shape array<int>, block int, data binary"
 
 
@@ -225,6 +227,33 @@ def _ranking(latent: np.ndarray, candidates, best, gap: np.ndarray, c: Losses, r
     return float(loss / max(total, 1e-6)), float(right / max(valid, 1)), int(valid), summed[:-4].reshape(grad.shape) / max(total, 1e-6)
 
 
+def _bin_terms(q: np.ndarray, x: Bins, config: Model, gradients: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """By row, the sums over bins of the reconstruction and bce terms, and their gradient by q; the caller divides by the bins of all rows of a batch."""
+    c, at, own = config.losses, (x.row, x.bin), q[x.row, x.bin]
+    # As if no bin were set, and then the set ones.
+    delta, weight = np.maximum(q, 0), np.full(q.shape, c.huber_zero, np.float64)
+    delta[at], weight[at] = own - x.value, c.huber_active
+    size = np.abs(delta)
+    reconstruction = (np.where(size <= c.huber_beta, 0.5 / c.huber_beta * delta**2, size - 0.5 * c.huber_beta) * weight).sum(1)
+    grad = np.clip(delta / c.huber_beta, -1, 1) * weight if gradients else None
+    bce = np.zeros(len(q))
+    if c.bce_weight > 0:
+        bins, wrong = np.full(q.shape, c.bce_zero, np.float64), q.copy()
+        bins[at], wrong[at] = c.bce_active, -own
+        if config.bit_frequencies:
+            f = np.asarray(config.bit_frequencies)
+            set_bins = c.bce_active * -np.log(f + 1e-6)
+            bins *= -np.log(1 - f + 1e-6)
+            bins[at] = set_bins[x.bin]
+        bins *= c.bce_weight
+        bce = (np.maximum(_softplus(wrong) - LN2, 0) * bins).sum(1)
+        if gradients:
+            slope = np.where(wrong > 0, _sigmoid(wrong), 0) * bins
+            slope[at] *= -1
+            grad += slope
+    return reconstruction, bce, grad
+
+
 def batch_losses(w: dict[str, np.ndarray], x, descriptors: np.ndarray, labels: tuple | None, config: Model, noise: np.ndarray | None = None, gradients: bool = True, group=None, rows: np.ndarray | None = None, n: int | None = None) -> tuple[dict[str, float], dict[str, np.ndarray]]:
     """The weighted terms, accuracy, valid_pairs, similarities and total of one batch, and the gradients of the total.
 
@@ -248,27 +277,9 @@ def batch_losses(w: dict[str, np.ndarray], x, descriptors: np.ndarray, labels: t
         dec = stack(w, "decoder", (latent + noise[rows] * scale).astype(latent.dtype))
     head = stack(w, "descriptor", latent)
     q = dec[-1].astype(np.float64)
-    at, own = (x.row, x.bin), q[x.row, x.bin]
-    # As if no bin were set, and then the set ones.
-    delta, weight = np.maximum(q, 0), np.full(q.shape, c.huber_zero / (n * width))
-    delta[at], weight[at] = own - x.value, c.huber_active / (n * width)
-    size = np.abs(delta)
     out = dict.fromkeys(TERMS, 0.0)
-    out["reconstruction"] = float((np.where(size <= c.huber_beta, 0.5 / c.huber_beta * delta**2, size - 0.5 * c.huber_beta) * weight).sum())
-    grad = np.clip(delta / c.huber_beta, -1, 1) * weight
-    if c.bce_weight > 0:
-        bins, wrong = np.full(q.shape, c.bce_zero), q.copy()
-        bins[at], wrong[at] = c.bce_active, -own
-        if config.bit_frequencies:
-            f = np.asarray(config.bit_frequencies)
-            set_bins = c.bce_active * -np.log(f + 1e-6)
-            bins *= -np.log(1 - f + 1e-6)
-            bins[at] = set_bins[x.bin]
-        bins *= c.bce_weight / (n * width)
-        out["bce"] = float((np.maximum(_softplus(wrong) - LN2, 0) * bins).sum())
-        slope = np.where(wrong > 0, _sigmoid(wrong), 0) * bins
-        slope[at] *= -1
-        grad = grad + slope
+    *by_row, grad = _bin_terms(q, x, config, gradients)
+    out["reconstruction"], out["bce"] = (float(v.sum() / (n * width)) for v in by_row)
     by_latent = np.zeros(latent.shape)
     by_head = np.zeros(head[-1].shape)
     if c.descriptor_weight > 0:
@@ -299,7 +310,7 @@ def batch_losses(w: dict[str, np.ndarray], x, descriptors: np.ndarray, labels: t
                 g = g * (inputs[k] > 0)
         return g
 
-    back("encoder", enc, back("decoder", dec, grad) + back("descriptor", head, by_head) + by_latent)
+    back("encoder", enc, back("decoder", dec, grad / (n * width)) + back("descriptor", head, by_head) + by_latent)
     if group.size > 1:
         # One sum for all arrays, in the weights' precision.
         flat = group.add(np.concatenate([total[k].ravel() for k in total]).astype(w["encoder.0.weight"].dtype))
@@ -332,7 +343,31 @@ def labels_filled(batches: DataFrame) -> DataFrame:
 
 
 def _dealt(batches: DataFrame) -> DataFrame:
-    return labels_filled(batches).repartition("batch_id").sortWithinPartitions("batch_id", "row")
+    """Whole batches by task, in order; rows without a batch are left out."""
+    return labels_filled(batches.where(F.col("batch_id").isNotNull())).repartition("batch_id").sortWithinPartitions("batch_id", "row")
+
+
+def _whole(stream: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Whole batches, from a stream in their order: as many at a time as have ``most`` rows together."""
+    held: list[pa.RecordBatch] = []
+    rows, last = 0, None
+    for b in stream:
+        if not b.num_rows:
+            continue
+        ids = b["batch_id"].to_numpy()
+        at = 0
+        for start in np.flatnonzero(np.append(last is not None and ids[0] != last, ids[1:] != ids[:-1])).tolist():
+            if rows + start - at >= most:
+                yield _joined([*held, b.slice(at, start - at)])
+                held, rows, at = [], 0, start
+        held.append(b.slice(at))
+        rows, last = rows + b.num_rows - at, ids[-1]
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _one(batch: pd.DataFrame, config: Model, kind: np.dtype) -> tuple[Bins, np.ndarray, tuple]:
@@ -341,16 +376,47 @@ def _one(batch: pd.DataFrame, config: Model, kind: np.dtype) -> tuple[Bins, np.n
     return x, descriptors, (batch["candidates"].to_list(), batch["best_pos"].to_list(), batch["top2_gap"].to_numpy(np.float64))
 
 
+def _measured(w: dict[str, np.ndarray], part: pa.RecordBatch, config: Model) -> pa.RecordBatch:
+    """The measures of whole batches, in one pass over all their rows; only the ranking term of labelled ones looks at each batch for itself."""
+    c, width, n = config.losses, config.fingerprint_size, part.num_rows
+    ids = part["batch_id"].to_numpy()
+    start = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    rows = np.diff(start, append=n)
+    lengths = lambda name: part[name].value_lengths().to_numpy(zero_copy_only=False)
+    flat = lambda name: part[name].flatten().to_numpy(zero_copy_only=False)
+    mean = lambda by_row: np.add.reduceat(by_row, start) / rows
+    x = Bins.of_flat(lengths("indices"), flat("indices"), flat("counts"), width, precision(w))
+    latent = stack(w, "encoder", x)[-1]
+    back = stack(w, "decoder", latent)[-1]
+    by_row = _bin_terms(back.astype(np.float64), x, config, False)[:2]
+    out = dict(zip(TERMS[:2], (mean(v) / width for v in by_row), strict=True)) | {m: np.zeros(len(start)) for m in (*TERMS[2:], "accuracy", "valid_pairs")}
+    if c.descriptor_weight > 0:
+        if len(np.unique(lengths("descriptor_targets"))) > 1:
+            raise ValueError("rows differ in their number of descriptors")
+        off = (stack(w, "descriptor", latent)[-1] - flat("descriptor_targets").reshape(n, -1)).astype(np.float64)
+        out["descriptor"] = mean((off**2).sum(1)) / off.shape[1] * c.descriptor_weight
+    if c.ranking_weight > 0:
+        asked = lengths("candidates")
+        best, gap = part["best_pos"].to_numpy(), part["top2_gap"].to_numpy()
+        # A batch whose rows have no two candidates has no ranking term.
+        for k in np.flatnonzero(np.maximum.reduceat(asked, start) > 1):
+            own = slice(start[k], start[k] + rows[k])
+            loss, out["accuracy"][k], out["valid_pairs"][k], _ = _ranking(latent[own].astype(np.float64), part["candidates"][own].to_pylist(), best[own], gap[own], c)
+            out["ranking"][k] = loss * c.ranking_weight
+    out["total"] = sum(out[t] for t in TERMS)
+    out["count_tanimoto"], out["binary_tanimoto"] = map(mean, similarities(x, back))
+    return pa.RecordBatch.from_pydict({"batch_id": ids[start].astype(np.int64), "rows": rows.astype(np.int64)} | {m: out[m] for m in METRICS})
+
+
 def losses_by_batch(batches: DataFrame, weights: dict[str, np.ndarray], config: Model) -> DataFrame:
     """batches: batch_id, row, indices, counts, descriptor_targets, and candidates, best_pos and top2_gap if they are labelled.  One row a batch: rows and the measures of METRICS."""
     shared = batches.sparkSession.sparkContext.broadcast(weights)
+    most = max(1, CELLS // config.fingerprint_size)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _batches(frames):
-            own, _ = batch_losses(shared.value, *_one(batch, config, precision(shared.value)), config, gradients=False)
-            yield pd.DataFrame([{"batch_id": batch["batch_id"].iloc[0], "rows": len(batch)} | {m: float(own[m]) for m in METRICS}])
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_measured(shared.value, part, config) for part in _whole(stream, most))
 
-    return _dealt(batches).mapInPandas(run, "batch_id long, rows long, " + ", ".join(f"{m} double" for m in METRICS))
+    return _dealt(batches).mapInArrow(run, "batch_id long, rows long, " + ", ".join(f"{m} double" for m in METRICS))
 
 
 def evaluate(batches: DataFrame, weights: dict[str, np.ndarray], config: Model) -> dict[str, float] | None:

@@ -18,6 +18,45 @@ def test_only_lines_travel(spark, sf_dir, name):
     assert len(re.findall(r"\bExchange\b", plan)) == 1 and "Generate" not in plan and "Join" not in plan
 
 
+def test_evaluation_deals_rows_twice(spark, sf_dir):
+    """Lines by order and orders by batch; then measures of batches, and one row."""
+    plan = plan_of(QUERIES["evaluation"](spark, sf_dir))
+    assert len(re.findall(r"\bExchange hashpartitioning", plan)) == 3 and len(re.findall(r"\bExchange\b", plan)) == 4
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_batches_are_measured_together(monkeypatch, labelled):
+    """Many small batches go through the model at once, wherever the stream is cut, and get what each gets for itself."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from cucurbit.operators import model
+    from cucurbit.types import Losses, Model
+
+    config = Model(fingerprint_size=16, descriptor_width=3, latent_width=4, hidden_widths=(6,), losses=Losses())
+    w, draw, rows = {k: v.astype(np.float64) for k, v in model.initial_weights(config, 3).items()}, np.random.default_rng(5), []
+    for batch, n in enumerate(draw.permutation([1, 2, 3, 7, 40] * 30).tolist()):
+        for row in range(n):
+            own = np.sort(draw.permutation(16)[: draw.integers(0, 6)]).tolist()
+            # Every third batch has no labels.
+            others = [k for k in range(n) if k != row][:4] if labelled and batch % 3 and n > 2 else []
+            rows.append({"batch_id": batch, "row": row, "indices": own, "counts": draw.integers(1, 9, len(own)).tolist(), "descriptor_targets": draw.random(3).tolist(), "candidates": others, "best_pos": int(draw.integers(0, 2)), "top2_gap": float(draw.random())})
+    kinds = {"batch_id": pa.int64(), "row": pa.int32(), "indices": pa.list_(pa.int32()), "counts": pa.list_(pa.int32()), "descriptor_targets": pa.list_(pa.float64()), "candidates": pa.list_(pa.int32()), "best_pos": pa.int32(), "top2_gap": pa.float64()}
+    table, frame = pa.Table.from_pylist(rows, pa.schema(list(kinds.items()))), pd.DataFrame(rows)
+    want = [model.batch_losses(w, *model._one(b, config, np.float64), config, gradients=False)[0] for _, b in frame.groupby("batch_id")]
+    assert any(r["ranking"] for r in want) == labelled
+    for cut, most in ((17, 500), (1, 30), (10_000, 1), (10_000, 1 << 20)):
+        passes, real = [], model.similarities
+        monkeypatch.setattr(model, "similarities", lambda *a, real=real: passes.append(1) or real(*a))
+        got = [r for part in model._whole(iter(table.to_batches(max_chunksize=cut)), most) for r in model._measured(w, part, config).to_pylist()]
+        monkeypatch.setattr(model, "similarities", real)
+        assert [r["batch_id"] for r in got] == list(range(150)) and [r["rows"] for r in got] == frame.groupby("batch_id").size().tolist()
+        assert len(passes) <= len(rows) / most + 1
+        for g, x in zip(got, want, strict=True):
+            assert {m: g[m] for m in model.METRICS} == pytest.approx({m: x[m] for m in model.METRICS}, rel=1e-12, abs=1e-12)
+
+
 @pytest.mark.parametrize("name", ["grammar_descriptors", "smiles_descriptors", "regression_targets", "ecfp_fingerprints"])
 def test_molecules_are_spread(spark, sf_dir, name):
     """The table is one small split, and parsing its rows is work for all cores."""

@@ -287,6 +287,13 @@ def test_training_falls_and_evaluates(spark):
     assert noisy["descriptor"] == quiet["descriptor"] and noisy["ranking"] == quiet["ranking"] and noisy["reconstruction"] != quiet["reconstruction"]
 
 
+def test_rows_without_a_batch_are_left_out(spark):
+    frame = labelled_batches(spark)
+    more = frame.unionByName(frame.where("batch_id = 0").withColumn("batch_id", F.lit(None).cast("long")))
+    got = model.losses_by_batch(more, model.initial_weights(CONFIG, 1), CONFIG).collect()
+    assert sorted((r.batch_id, r.rows) for r in got) == [(0, 20), (1, 20), (2, 13)]
+
+
 def test_sparse_rows_equal_dense_ones():
     r = np.random.default_rng(2)
     x = np.where(r.random((9, 30)) < 0.3, r.random((9, 30)), 0.0)
