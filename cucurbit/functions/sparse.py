@@ -103,9 +103,10 @@ def set_bins(values: Column) -> Column:
 
 def dense_binary_tanimoto(a: Column, b: Column) -> Column:
     """Bins above zero in both / in either, of two dense arrays; 1 if there are none."""
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: ((x > 0) & (y > 0)).cast("int")), F.lit(0), lambda n, x: n + x)
-    any_ = F.aggregate(F.zip_with(a, b, lambda x, y: ((x > 0) | (y > 0)).cast("int")), F.lit(0), lambda n, x: n + x)
-    return F.when(any_ == 0, F.lit(1.0)).otherwise(both / any_)
+    pairs = F.zip_with(a, b, lambda x, y: F.struct(((x > 0) & (y > 0)).cast("int").alias("both"), ((x > 0) | (y > 0)).cast("int").alias("any")))
+    count = lambda p, name: F.aggregate(p, F.lit(0), lambda n, x: n + x[name])
+    counts = _let(pairs, lambda p: F.struct(count(p, "both").alias("both"), count(p, "any").alias("any")))
+    return _let(counts, lambda n: F.when(n["any"] == 0, F.lit(1.0)).otherwise(n["both"] / n["any"]))
 
 
 def log_mse(target: Column, predicted: Column) -> Column:

@@ -18,6 +18,12 @@ def test_only_lines_travel(spark, sf_dir, name):
     assert len(re.findall(r"\bExchange\b", plan)) == 1 and "Generate" not in plan and "Join" not in plan
 
 
+def test_dense_bins_are_paired_once(spark, sf_dir):
+    """The arrays of a row are filled and paired once, not for each count over again."""
+    plan = plan_of(QUERIES["binary_tanimoto_dense"](spark, sf_dir))
+    assert plan.count("zip_with(") == 1 and plan.count("array_sort(") == 1
+
+
 def test_evaluation_deals_rows_twice(spark, sf_dir):
     """Lines by order and orders by batch; then measures of batches, and one row."""
     plan = plan_of(QUERIES["evaluation"](spark, sf_dir))
